@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from triplespan.llm import bpe, mixing
+from triplespan.llm import bpe, jaccard_join, mixing, quality_rules
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
 }
 ORACLE_SQL = {"op6_mix_sources": mixing.OP6_SQL}
