@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from triplespan.llm import bpe, jaccard_join, mixing, quality_rules
+from triplespan.llm import bpe, jaccard_join, mixing, pii, quality_rules, rule_ensemble, secrets, toxicity
 
 QUERIES = {
+    "op2_quality_classifier": rule_ensemble.op2_quality_classifier,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
+    "op9_pii": pii.op9_pii,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {"op6_mix_sources": mixing.OP6_SQL}
