@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from triplespan.llm import bpe, jaccard_join, mixing, pii, quality_rules, rule_ensemble, secrets, toxicity
+from triplespan.llm import bpe, jaccard_join, mixing, pii, quality_rules, rule_ensemble, secrets, toxicity, webp
 
 QUERIES = {
+    "op1_webp_media": webp.op1_webp_media,
     "op2_quality_classifier": rule_ensemble.op2_quality_classifier,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
