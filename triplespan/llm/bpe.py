@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -196,6 +197,23 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: st
     return df.mapInArrow(run, _extended(df, [(out, T.BinaryType())]))
 
 
+def encoded_with_digest(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """Adds n_tokens, token_ids and decoded_sha256, the SHA-256 of the bytes that the ids stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            ids, digest = [], []
+            for t in b.column(text):
+                s = c.written_ids(t.as_py())
+                ids.append(np.fromstring(s, np.int32, sep=" "))
+                digest.append(hashlib.sha256(c.decode_written(s)).hexdigest())
+            b = b.append_column("n_tokens", pa.array(map(len, ids), pa.int64()))
+            yield b.append_column("token_ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded_sha256", pa.array(digest, pa.string()))
+
+    return df.mapInArrow(run, _extended(df, [("n_tokens", T.LongType()), ("token_ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())]))
+
+
 def digests(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the written ids and of the bytes decoded from them."""
 

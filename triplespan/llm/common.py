@@ -42,6 +42,12 @@ def removed(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def without(docs: DataFrame, ids: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """`docs` but those whose doc_id is in the written table `ids`, which is broadcast if it is small, as counted."""
+    ids = ids.select("doc_id").where("doc_id is not null")
+    return docs.join(F.broadcast(ids) if 16 * ids.count() <= most_bytes else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def words(text: Column) -> Column:
     """Array of the text's words; empty for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from triplespan.llm import bpe, jaccard_join, mixing, pii, quality_rules, rule_ensemble, secrets, toxicity, webp
+from triplespan.llm import bpe, jaccard_join, mixing, pii, quality_rules, rule_ensemble, secrets, substring_dedup, toxicity, webp
 
 QUERIES = {
     "op1_webp_media": webp.op1_webp_media,
     "op2_quality_classifier": rule_ensemble.op2_quality_classifier,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_secret_scan": secrets.op7_secret_scan,

@@ -14,6 +14,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _rng.integers(0, 1 << 64, 256, U64)
 BASE = int(_rng.integers(0, 1 << 63, dtype=U64)) * 2 + 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Another one, for a second hash that is independent of the first.
+SECOND = _rng.integers(0, 1 << 64, 256, U64)
 #: Bytes of text that are hashed at a time, so that memory is bounded whatever the batch holds.
 CHUNK = 1 << 20
 
@@ -48,7 +50,7 @@ class Words:
     """Words of the texts of a string array: `start`, `end` (byte places in `data`), `hash`, and `first`,
     where first[i] : first[i + 1] are the words of text i. Null texts have none."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, table: np.ndarray = BYTE):
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
@@ -66,7 +68,7 @@ class Words:
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
         sums = np.zeros(n + 1, U64)
-        np.cumsum(BYTE[raw] * powers(BASE, max(n, 1))[:n], out=sums[1:])
+        np.cumsum(table[raw] * powers(BASE, max(n, 1))[:n], out=sums[1:])
         back = powers(INVERSE, max(n, 1))
         length = (self.end - self.start).astype(U64)
         self.hash = mixed((sums[self.end] - sums[self.start]) * (back[self.start] if n else U64(1)) + length * U64(0x9E3779B97F4A7C15))
