@@ -1,0 +1,105 @@
+"""Secrets and personal data: base spans against plain expressions, added spans on planted cases."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from helpers import frame, prose, texts
+
+from triplespan.llm import pii, secrets
+
+SECRET = {
+    "assign": re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def secret_base(text):
+    out = []
+    for k, (kind, p) in enumerate(SECRET.items()):
+        for m in p.finditer(text):
+            a, b = m.span(2) if kind == "assign" else m.span()
+            if b - a >= (6, 20, 24)[k]:
+                out.append((a, k, kind, b))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out))
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+PERSONAL = {
+    "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
+    "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(p) <= 255 for p in s.split("."))),
+    "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 12 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and luhn(d)),
+    "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+}
+
+
+def personal_base(text):
+    out = [(m.start(), k, kind, m.end()) for k, (kind, (p, ok)) in enumerate(PERSONAL.items()) for m in p.finditer(text) if ok(m[0])]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(out))
+
+
+def noise(seed, alphabet, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+SAMPLES = [
+    *(noise(k, ["password", "token", "API_KEY", "apikey", "secret", "=", ": ", '"', "'", " ", "abc123", "AKIA", "Z9", "deadbeef", "0123456789", "\n", "é", "x."], 60) for k in range(60)),
+    *(noise(k, ["a", "@", ".", "b-c", "1", "255", "256", "+", "-", " ", "(", ")", "4111111111111111", "12", "é", "\n", "10.0.0.1"], 60) for k in range(100, 190)),
+    "1" * 3000, "1." * 2000, "a@" * 2000, "+1" * 1500, "AKIA" * 900, "", "x" * 5000,
+]
+
+
+def test_base_spans(spark):
+    df = texts(spark, *SAMPLES, None)
+    for r, s in zip(secrets.scanned(df).orderBy("doc_id").collect(), [*SAMPLES, ""], strict=True):
+        want = secret_base(s)
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), s
+        assert r["n_assign"] == want.count("assign:") and r["n_access"] == want.count("access:") and r["n_hex"] == want.count("hex:")
+        assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
+    for r, s in zip(pii.found(df).orderBy("doc_id").collect(), [*SAMPLES, ""], strict=True):
+        want = personal_base(s)
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), s
+        assert [r[f"n_{k}"] for k in PERSONAL] == [want.count(f"{k}:") for k in PERSONAL]
+        assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
+
+
+def test_novelty(spark):
+    key = noise(4, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40)
+    found = {r["doc_id"]: r["spans"] for r in secrets.scanned(texts(spark, f"the auth header is {key} here", f"a long walk to {key} here", "auth of zzzz1111zzzz1111zzzz1111", f"{key} {key} {key} auth {key}")).collect()}
+    assert found[0] == "novel:19:59" and found[1] == "" and found[2] == "" and found[3] == ""  # known from what surrounds it
+
+
+def test_redaction(spark):
+    df = texts(spark, 'x password = "hunter22" y', None, "plain")
+    assert [r["text"] for r in secrets.redacted(df).orderBy("doc_id").collect()] == ['x password = "[SECRET]" y', None, "plain"]
+    assert secrets.redacted(df).columns == df.columns and secrets.redacted(frame(spark, [])).count() == 0
+
+
+def test_bootstrap(spark):
+    """A pattern that precedes many phone numbers finds one that no base expression knows."""
+    rows = [f"{prose(k, 5)} call me: +44 20 7946 {1000 + 7 * k} {prose(k + 99, 4)}" for k in range(40)]
+    rows += [f"{prose(k, 9)} number is {k}" for k in range(300, 330)]
+    rows += [f"write mail to: user{k}@mail{k}.org now" for k in range(30)] + ["write mail to: odd77name(at)mail org"]
+    found = {r["doc_id"]: r["spans"] for r in pii.found(texts(spark, *rows)).collect()}
+    assert sum(s.startswith("phone") for s in found.values()) == 40 and all(found[k] == "" for k in range(40, 70))
+    edges = {(r["pattern"], r["shape"]): r["as_kind"] for r in pii.patterns(pii.extracted(texts(spark, *rows))).collect()}
+    assert any(k[0] == "mail to:".replace(":", "") and v == 0 for k, v in edges.items())
+
+
+def test_unseen(spark):
+    """An identifier in another notation is found through its context."""
+    seeds = [f"{prose(k, 4)} server at 10.0.{k}.{k + 1} end" for k in range(60)]
+    odd = [f"{prose(k, 4)} server at 10.0.{k}.300 end" for k in range(3)]
+    found = {r["doc_id"]: r["spans"] for r in pii.found(texts(spark, *seeds, *odd)).collect()}
+    assert all("ip_ctx" in found[60 + k] for k in range(3)) and all(found[k].startswith("ip:") for k in range(60))
+
+
+@pytest.mark.parametrize("f", [secrets.scanned, pii.found])
+def test_cases(spark, f):
+    assert f(frame(spark)).count() == 17 and f(frame(spark, [])).count() == 0

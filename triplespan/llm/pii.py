@@ -149,7 +149,8 @@ def found(docs: DataFrame) -> DataFrame:
     unseen = table.select("row", F.explode("found").alias("f")).where("f.kind < 0").select("row", "f.pattern", "f.shape", "f.start", "f.end")
     more = unseen.join(patterns(table), ["pattern", "shape"]).groupBy("row").agg(F.collect_set(F.struct("start", (F.col("as_kind") + len(KINDS)).alias("kind"), "end")).alias("more"))
     names = (*KINDS, *(f"{k}_ctx" for k in KINDS))
-    counts = (F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{name}") for i, name in enumerate(KINDS))
+    of_kind = lambda i: lambda s: s["kind"] == i
+    counts = (F.size(F.filter("spans", of_kind(i))).cast("long").alias(f"n_{name}") for i, name in enumerate(KINDS))
     every = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return table.select("row", "doc_id", "spans").join(more, "row", "left").select("doc_id", *counts, F.sha2(written(F.col("spans"), KINDS).cast("binary"), 256).alias("base_sha256"), written(every, names).alias("spans"))
 
