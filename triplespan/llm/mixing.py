@@ -26,7 +26,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """source, source_size, target from rows (source, size). One row per source meets in the windows here.
 
     Capped sharing in closed form: in order of most * size / weight, a source is capped while its own cap per
-    weight is at most the level that the rest would get; the level of the others is the same for all of them.
+    weight is at most the level that the rest would get; the others get the level that the first of them finds.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = W.partitionBy(F.lit(0))
@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
     )
     found = ranked.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("w"))
-    share = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
+    share = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)  # that of the first one that is not capped
     return found.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(share * F.col("w")).alias("target"))
 
 
@@ -74,7 +74,7 @@ WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''),
      levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER up, 0)) / ((sum(w) OVER ())::DOUBLE - coalesce(sum(w) OVER up, 0)::DOUBLE) AS level
                 FROM ranked WINDOW up AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
      targets AS (SELECT source, source_size, CASE WHEN cap <= level * w THEN cap
-                   ELSE (min(CASE WHEN cap > level * w THEN level END) OVER ()) * w END AS target FROM levels),
+                   ELSE (max(CASE WHEN cap > level * w THEN level END) OVER ()) * w END AS target FROM levels),
      rated AS (SELECT doc_id, size, source_size, target,
                  CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
                  (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
