@@ -1,8 +1,9 @@
 """Operator 10: severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are the terms (runs of letters, lower-cased) whose presence the labels tie to toxicity: of the labelled
-sample (at most `SAMPLE` rows, those with the smallest hash of doc_id) those with a likelihood ratio of at least
-`LEAST_G2`, at most `TERMS`, the strongest first. A text's feature is log(1 + count). Labels only say toxic or not, so
+sample (at most `SAMPLE` rows, those with the smallest hash of doc_id) those in `LEAST_ROWS` rows or more whose likelihood
+ratio pays for its term as an information criterion asks, `G2_PER_LOG_ROW` times the logarithm of the sample's size, at
+most `TERMS`, the strongest first. A text's feature is log(1 + count). Labels only say toxic or not, so
 grades are 0 for not toxic and 1 to 3 for toxic rows by the amount of tied terms, the sum of their features, cut at the
 sample's thirds; toxic rows without any tied term say nothing about which text is toxic and count as grade 0. The model is P(grade <= k) = sigmoid(theta_k - w x): one weight vector for all thresholds. Every document gets
 its expected severity sum_k P(grade > k), and is toxic if P(grade >= 1) reaches the cutoff that parts the sample best.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from triplespan.llm import common
 
-SAMPLE, TERMS, LEAST_G2, LEAST_ROWS, GRADES = 10_000, 512, 30.0, 8, 4
+SAMPLE, TERMS, G2_PER_LOG_ROW, LEAST_ROWS, GRADES = 10_000, 512, 3.2, 3, 4
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -46,7 +47,7 @@ class Model:
             terms = LETTERS.findall(text.lower())
             for t in self.weights.keys() & set(terms):
                 x += self.weights[t] * math.log1p(terms.count(t))
-        return [1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds]
+        return [1 / (1 + math.exp(min(700.0, t - x))) if t < math.inf else 0.0 for t in self.thresholds]
 
 
 def terms(text: Column) -> Column:
@@ -69,7 +70,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     both = (a + b) / (n1 + n0)
     g2 = 2 * (cell(a, both * n1) + cell(b, both * n0) + cell(n1 - a, (1 - both) * n1) + cell(n0 - b, (1 - both) * n0))
     counted = table.select("toxic", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    tied = counted.where((a + b >= LEAST_ROWS) & (a * n0 > b * n1)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
+    tied = counted.where((a + b >= LEAST_ROWS) & (a * n0 > b * n1)).withColumn("g2", g2).where(F.col("g2") >= G2_PER_LOG_ROW * math.log(n1 + n0))
     names = [r["term"] for r in tied.orderBy(F.desc("g2"), "term").limit(TERMS).collect()]
     found = F.filter("terms", lambda t: t.isin(names)) if names else F.array().cast("array<string>")
     kept = table.select("doc_id", "toxic", found.alias("terms")).orderBy("doc_id").collect()
