@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triplespan.functions import chemistry, text
-from triplespan.operators import documents, grounding, scoring
+from triplespan.operators import documents, grounding, listing, scoring
 from triplespan.sources import rdf, tables
 from triplespan.streaming import incremental
 
@@ -138,3 +138,17 @@ def test_sources(spark, tmp_path):
     assert sorted((r["formula"], r["smiles"]) for r in tables.unit_database(spark, str(tmp_path / "u.csv")).collect()) == [("A", "y"), ("B", "w")]
     (tmp_path / "l.json").write_text('[{"label": "a"}, {"subject": "s"}]')
     assert tables.json_list(spark, str(tmp_path / "l.json"), "label string, subject string").count() == 2
+
+
+def test_listing(spark):
+    assert values(spark, listing.without_prefixes, "@prefix a: <b> .\n\na:x a:y a:z .\nPREFIX c: <d>\n") == ["a:x a:y a:z ."]
+    assert values(spark, listing.fenced_json, 'x\n```json\n{"a": 1}\n```\ny', ' {"a": 2} ') == ['{"a": 1}', '{"a": 2}']
+    assert values(spark, lambda c: listing.json_records(c, "a int"), '{"a": 1}\n{"a": 2}\n{bad}', '[{"a": 3},\n{"a": 4}]') == [[(1,), (2,)], [(3,), (4,)]]
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, smiles string, synonyms array<string>")
+    wanted = spark.createDataFrame([("1-1",), ("2-2",), ("3-3",)], "cas string")
+    found = listing.resolved(wanted, rows((2, "b", ["1-1"]), (1, "a", ["x", "1-1"])), rows((7, "z", ["1-1", "2-2"])))
+    assert sorted(map(tuple, found.select("cas", "smiles").collect())) == [("1-1", "a"), ("2-2", "z")]
+    entries = spark.createDataFrame([("9", "B", True), ("9", "A", False), ("9", "C", True)], "number string, refcode string, has_3d boolean")
+    assert listing.chosen_entry(entries).first()["refcode"] == "B"
+    solutions = spark.createDataFrame([("http://x/a#b", None), ("http://x/c", " l ")], "synthesis string, label string")
+    assert sorted(map(tuple, listing.entity_rows(solutions).collect())) == [("http://x/a#b", "b"), ("http://x/c", "l")]

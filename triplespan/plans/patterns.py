@@ -139,15 +139,6 @@ def not_exists(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, shared(a, b), "left_anti")
 
 
-def count_distinct(solutions: DataFrame, by: Sequence[str], variable: str, name: str) -> DataFrame:
-    return solutions.groupBy(*by).agg(F.count_distinct(variable).alias(name))
-
-
-def count_solutions(solutions: DataFrame, by: Sequence[str], variable: str, name: str) -> DataFrame:
-    """Counts solutions with `variable` bound, repeated ones included."""
-    return solutions.groupBy(*by).agg(F.count(variable).alias(name))
-
-
 ORDERS = {"asc": lambda c: c.asc_nulls_first(), "desc": lambda c: c.desc_nulls_last()}
 
 

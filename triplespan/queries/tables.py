@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplespan.functions import chemistry, text
-from triplespan.operators import documents, grounding, scoring
+from triplespan.operators import documents, grounding, listing, scoring
 from triplespan.plans.patterns import local_name
 from triplespan.queries.registry import on_graph, on_tables
 from triplespan.sources import rdf, tables
@@ -318,3 +318,43 @@ SELECT part, tp, fp, fn, round(precision, 3) AS precision, round(recall, 3) AS r
 def score_report(table) -> DataFrame:
     counts = scoring.micro(scoring.multisets(*_pairs(table), ["k"], "v").withColumn("part", F.col("k") % 3), ["part"]).select("part", "tp", "fp", "fn")
     return tables.report(counts, "part").drop("f1")
+
+
+# lists
+
+
+def _kinds(table) -> DataFrame:
+    parts = table("part").select(F.lit("part").alias("kind"), F.col("p_name").alias("label"))
+    return parts.unionByName(table("nation").select(F.lit("nation").alias("kind"), F.col("n_name").alias("label")))
+
+
+@on_tables("""SELECT DISTINCT p_name AS label FROM part WHERE contains(lower(p_name), 'ring')""")
+def label_list(table) -> DataFrame:
+    return listing.listed(_kinds(table), kind="part", contains="RING")
+
+
+@on_tables("""SELECT 'part' AS kind, count(*) AS n, count(DISTINCT p_name) AS n_distinct, min(length(p_name)) AS shortest, max(length(p_name)) AS longest, round(avg(length(p_name)), 6) AS mean_length FROM part
+UNION ALL SELECT 'nation', count(*), count(DISTINCT n_name), min(length(n_name)), max(length(n_name)), round(avg(length(n_name)), 6) FROM nation""")
+def label_statistics(table) -> DataFrame:
+    return listing.label_statistics(_kinds(table)).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@on_tables("""SELECT DISTINCT p_name AS label FROM part WHERE contains(upper(p_name), 'B') AND contains(upper(p_name), 'LT')""")
+def label_elements(table) -> DataFrame:
+    return listing.with_elements(table("part").select(F.col("p_name").alias("label")).distinct(), ["b", "Lt"])
+
+
+@on_tables("""SELECT o_orderpriority AS category, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_hit FROM orders GROUP BY 1""")
+def derived_in_truth(table) -> DataFrame:
+    derived = table("orders").select(F.col("o_orderpriority").alias("category"), F.col("o_orderkey").cast("string").alias("doi"), F.col("o_orderstatus").alias("formula"))
+    truth = table("orders").groupBy(F.col("o_orderpriority").alias("category"), F.pmod("o_orderkey", F.lit(97))).agg(F.array_join(F.collect_list(F.col("o_orderkey").cast("string")), "; ").alias("dois"))
+    return listing.derived_in_truth(derived, truth.select("category", "dois", F.lit("F").alias("formula")))
+
+
+@on_tables("""SELECT round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS status, 1.0::DOUBLE AS bag, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS all_fields FROM (SELECT o_orderstatus AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS b FROM orders)""")
+def exact_rates(table) -> DataFrame:
+    bag = lambda *names: F.array(*(F.col(n).cast("string") for n in names)).alias("bag")
+    truth = table("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), bag("o_custkey", "o_orderpriority"))
+    found = table("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "F").otherwise(F.col("o_orderstatus")).alias("status"), bag("o_orderpriority", "o_custkey"))
+    rates = listing.exact_rates(truth, found, "o_orderkey", ["status", "bag"])
+    return rates.select(*(F.round(c, 6).alias(c) for c in rates.columns))
