@@ -52,7 +52,7 @@ def without_prefixes(text: Column) -> Column:
 def fenced_json(text: Column) -> Column:
     """The first fenced block of JSON, or the whole text."""
     block = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(block != "", block).otherwise(text))
+    return trimmed(F.when(block != "", block).otherwise(text))
 
 
 def json_records(text: Column, schema: str) -> Column:
