@@ -42,10 +42,23 @@ def removed(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def without(docs: DataFrame, ids: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
-    """`docs` but those whose doc_id is in the written table `ids`, which is broadcast if it is small, as counted."""
-    ids = ids.select("doc_id").where("doc_id is not null")
-    return docs.join(F.broadcast(ids) if 16 * ids.count() <= most_bytes else ids, "doc_id", "left_anti").select(*docs.columns)
+#: A side of at most this many bytes, as counted, is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(ids: DataFrame) -> DataFrame:
+    """A table of id columns, marked for broadcast only if its count proves it small."""
+    return F.broadcast(ids) if 16 * len(ids.columns) * ids.count() <= BROADCAST_BYTES else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`docs` but those whose key is in `ids`."""
+    return docs.join(if_small(ids.select(key).where(F.col(key).isNotNull())), key, "left_anti").select(*docs.columns)
+
+
+def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`docs` whose key is in `ids`."""
+    return docs.join(if_small(ids.select(key)), key, "left_semi").select(*docs.columns)
 
 
 def words(text: Column) -> Column:
