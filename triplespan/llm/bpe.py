@@ -183,7 +183,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str
             got = pa.array([c.encode(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
             yield b.append_column(ids, got)
 
-    return df.mapInArrow(run, _extended(df, [(ids, T.ArrayType(T.IntegerType()))]))
+    return df.transform(common.in_arrow, run, _extended(df, [(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
@@ -194,7 +194,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: st
         for b in batches:
             yield b.append_column(out, pa.array(map(c.decode, b.column(ids).to_pylist()), pa.binary()))
 
-    return df.mapInArrow(run, _extended(df, [(out, T.BinaryType())]))
+    return df.transform(common.in_arrow, run, _extended(df, [(out, T.BinaryType())]))
 
 
 def encoded_with_digest(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -211,7 +211,7 @@ def encoded_with_digest(df: DataFrame, text: str = "text", path: str = VOCABULAR
             b = b.append_column("n_tokens", pa.array(map(len, ids), pa.int64()))
             yield b.append_column("token_ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded_sha256", pa.array(digest, pa.string()))
 
-    return df.mapInArrow(run, _extended(df, [("n_tokens", T.LongType()), ("token_ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())]))
+    return df.transform(common.in_arrow, run, _extended(df, [("n_tokens", T.LongType()), ("token_ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())]))
 
 
 def digests(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -228,7 +228,7 @@ def digests(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 decoded.append(sha(c.decode_written(s)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").transform(common.in_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

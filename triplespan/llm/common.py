@@ -20,6 +20,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Rows of an Arrow batch, fewer than Spark's own 10,000, as texts are long and batches are held in memory twice.
+BATCH_ROWS = 1_000
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow` with batches of BATCH_ROWS rows, unless the session names a size."""
+    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(size, None) is None:
+        conf.set(size, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a folder under the warehouse only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -120,7 +120,7 @@ def extracted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, spans_type), pa.array(found, found_type)], ["doc_id", "spans", "found"])
 
     schema = "doc_id long, spans array<struct<start:int,kind:int,end:int>>, found array<struct<pattern:string,instance:string,shape:string,kind:int,start:int,end:int>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").transform(common.in_arrow, run, schema)
 
 
 def patterns(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE, support: int = SUPPORT) -> DataFrame:

@@ -103,7 +103,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 spans.append(written_spans(every))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").transform(common.in_arrow, run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -125,7 +125,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             i = b.schema.get_field_index(text)
             yield b.set_column(i, b.schema.field(i), pa.array([clean(scanner, t.as_py()) for t in b.column(i)], b.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.in_arrow, run, docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

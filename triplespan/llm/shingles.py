@@ -17,7 +17,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Another one, for a second hash that is independent of the first.
 SECOND = _rng.integers(0, 1 << 64, 256, U64)
 #: Bytes of text that are hashed at a time, so that memory is bounded whatever the batch holds.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

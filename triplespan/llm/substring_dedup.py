@@ -57,7 +57,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 new = np.concatenate([[True], (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])])[: len(at)]
                 yield pa.RecordBatch.from_arrays([pa.array(found[new], pa.int64()), pa.array(doc[new], pa.int64())], ["anchor", "doc_id"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
+    return docs.where("doc_id is not null").select("doc_id", "text").transform(common.in_arrow, run, "anchor long, doc_id long")
 
 
 class FingerprintIndex:
@@ -134,7 +134,7 @@ def windows_on(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, two), pa.array(ids), pa.array(keys), pa.array((start - first[doc]).astype(np.int32)), pa.array(later)], ["window", "verify", "doc_id", "text_key", "start", "later"])
 
     schema = "window long, verify long, doc_id long, text_key long, start int, later boolean"
-    return docs.select("doc_id", "text", "text_key").join(wanted, "doc_id").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "text_key").join(wanted, "doc_id").transform(common.in_arrow, run, schema)
 
 
 def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -171,7 +171,7 @@ def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 ranges.append(np.stack([np.concatenate([at[:1], at[gap + 1]]), ends], 1).ravel().astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array([False] * len(b)), pa.array(ranges, pa.list_(pa.int32()))], ["doc_id", "text_key", "whole", "ranges"])
 
-    return lost.mapInArrow(run, "doc_id long, text_key long, whole boolean, ranges array<int>").union(whole)
+    return lost.transform(common.in_arrow, run, "doc_id long, text_key long, whole boolean, ranges array<int>").union(whole)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _kept(docs: DataFrame, batches: int, schema: str, of) -> DataFrame:
                 out.append(of(b" ".join(kept)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", name])
 
-    return docs.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "whole", "ranges").mapInArrow(run, schema)
+    return docs.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "whole", "ranges").transform(common.in_arrow, run, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

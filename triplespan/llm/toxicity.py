@@ -139,7 +139,7 @@ def marked(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     if clash := {"severity", "p_toxic", "toxic"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
     new = [("severity", T.DoubleType()), ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in new)]))
+    return docs.transform(common.in_arrow, run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in new)]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
