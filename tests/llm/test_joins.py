@@ -117,6 +117,18 @@ def test_passages(spark, batches):
     assert got == want and sum(x[2] for x in want.values()) > 1000
 
 
+def test_copies_beyond_broadcast(spark, monkeypatch):
+    """Whole copies leave one row each, also where they are too many to be broadcast."""
+    passage = prose(1, 60)
+    rows = [(i, f"{prose(100 + i, 20)} {passage} {prose(200 + i, 9)}") for i in range(6)]
+    rows += [(i, rows[i % 3][1]) for i in range(6, 12)] + [(12, "few words"), (13, "few words"), (14, prose(7, 30))]
+    df = texts(spark, *(t for _, t in rows))
+    small = sorted(map(tuple, substring_dedup.deduplicated(df).collect()))
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)
+    found = sorted(map(tuple, substring_dedup.deduplicated(df).collect()))
+    assert found == small == [(i, n, n - len(kept), " ".join(kept)) for i, (kept, n) in sorted(without_repeats(rows).items())]
+
+
 def test_passage_cases(spark):
     found = substring_dedup.deduplicated(frame(spark)).collect()
     by_id = {r["doc_id"]: r for r in found}

@@ -143,10 +143,8 @@ def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     texts = known.select("doc_id", "text_key", F.xxhash64(F.lit(1), "text").alias("second"))
     firsts = texts.groupBy("text_key", "second").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = common.written(texts.join(firsts, ["text_key", "second"]).where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
-    n_copies = copies.count()
-    rest = known
-    if 16 * n_copies <= BROADCAST_BYTES:  # beyond that, copies are compared like other documents
-        rest = known.join(F.broadcast(copies), ["doc_id", "text_key"], "left_anti")
+    small = 16 * copies.count() <= BROADCAST_BYTES
+    rest = known.join(F.broadcast(copies) if small else copies, ["doc_id", "text_key"], "left_anti")
     index, hits = FingerprintIndex(), None
     lo, hi = known.agg(F.min("doc_id"), F.max("doc_id")).first()
     lo, hi = (0, -1) if lo is None else (lo, hi)
