@@ -75,6 +75,20 @@ def test_novelty(spark):
     assert found[0] == "novel:19:59" and found[1] == "" and found[2] == "" and found[3] == ""  # known from what surrounds it
 
 
+def test_unspaced_assignments(spark):
+    """The name before an inner = is context; the span is the value, with its padding."""
+    key = noise(4, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40)
+    names = ["private_key=", "AWS_SECRET_ACCESS_KEY=", "https://host.org/x?signature=", "auth=", "x=1&bearer==", "mode=auth=", "the auth a="]
+    plain = [f"size={key}", "private_key=" + "zzzz1111" * 5, "private_key=short1"]
+    found = [r["spans"] for r in secrets.scanned(texts(spark, *(f"see {n}{key}== end" for n in names), *plain)).orderBy("doc_id").collect()]
+    value = [f"novel:{4 + len(n)}:{4 + len(n) + 42}" for n in names[:-1]]
+    assert found == [*value, "novel:13:57", "", "", ""]  # the last name is not sensitive, so it stays with its token
+    other = noise(5, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40)
+    assert secrets.Scanner().spans(f"the auth {key}=auth={other}")[1] == [(9, 3, 95)]  # both keys
+    clean = [r["text"] for r in secrets.redacted(texts(spark, f"export private_key={key}\nuser=me")).collect()]
+    assert clean == ["export private_key=[SECRET]\nuser=me"]
+
+
 def test_redaction(spark):
     df = texts(spark, 'x password = "hunter22" y', None, "plain")
     assert [r["text"] for r in secrets.redacted(df).orderBy("doc_id").collect()] == ['x password = "[SECRET]" y', None, "plain"]

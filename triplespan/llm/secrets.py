@@ -5,7 +5,8 @@ Base kinds: assign (a sensitive name, `=` or `:`, a value of 6 or more character
 characters with letters and digits, no part of a base span, with a sensitive word within `NEAR` characters before it,
 whose marginal compressed size (zstandard of its surroundings with it, less without it, primed by a dictionary of
 common identifiers) is at least `NOVEL` bytes a character. Tokens that the dictionary or the surrounding code already
-hold cost little and are left alone.
+hold cost little and are left alone. In an assignment without spaces (`private_key=Zx81k...`) the name before an inner
+`=` is context, and the value after it is the token; the token as a whole is tried where no value qualifies.
 
 Spans are (kind, start, end) in code points, end exclusive, by start and then kind in the order above. Null and empty
 texts have none. Extra columns pass through `redacted`. An empty table gives an empty result.
@@ -28,6 +29,7 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]+")
+INNER = re.compile(r"=+(?=[^=])")
 SENSITIVE = re.compile(r"(?ai:passw|secret|token|api.?key|auth|credential|bearer|private|signature|access)")
 NEAR, AROUND, NOVEL = 48, 256, 0.7
 #: Common identifiers of source code and configuration.
@@ -71,13 +73,23 @@ class Scanner:
             while k < len(base) and base[k][0] < end:
                 reach = max(reach, base[k][2])
                 k += 1
-            token = m[0]
-            if reach > start or token.isdigit() or not re.search("[A-Za-z]", token) or not SENSITIVE.search(text, max(0, start - NEAR), start):
+            if reach > start:
                 continue
-            if self.novelty(text, start, end) >= NOVEL:
-                out.append((start, 3, end))
+            # values after a sensitive name, then the whole token, then values after other names
+            cuts = [start + x.end() for x in INNER.finditer(m[0])]
+            named = [b for a, b in zip([start, *cuts], cuts, strict=False) if SENSITIVE.search(text, a, b)]
+            for at in [*named, start, *(c for c in cuts if c not in named)]:
+                if self.is_novel(text, at, end):
+                    out.append((start if self.is_novel(text, start, at) else at, 3, end))
+                    break
         return out
 
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        """Whether text[start:end] is long and mixed enough, near a sensitive word before it, and novel."""
+        if end - start < 16 or not re.search("[0-9]", text[start:end]) or not re.search("[A-Za-z]", text[start:end]):
+            return False
+        return bool(SENSITIVE.search(text, max(0, start - NEAR), start)) and self.novelty(text, start, end) >= NOVEL
+
     def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, all spans)."""
         base = self.base(text or "")
