@@ -114,6 +114,24 @@ def test_unseen(spark):
     assert all("ip_ctx" in found[60 + k] for k in range(3)) and all(found[k].startswith("ip:") for k in range(60))
 
 
+def test_new_notations(spark):
+    """Identifiers in notations that no seed has are found through their context, and others there are left alone."""
+    rows = [f"{prose(k, 4)} call me: +1 (243) 555-{5000 + 7 * k} {prose(k + 99, 4)}" for k in range(100)]
+    rows += [f"write mail to: user{k}@mail{k}.org now" for k in range(40)]
+    rows += [f"charge card no 4111111111{c} now" for c in (f"{k:06}" for k in range(600)) if luhn(f"4111111111{c}")]
+    planted = {
+        "call me: 555-0199 aa": "phone_ctx:9:17", "call me: 555 01 99 aa": "phone_ctx:9:18", "call me: 5550199": "phone_ctx:9:16", "call me: 300 aa": "",
+        "walk to 555-0199 aa": "", "write mail to: odd77name(at)mail": "email_ctx:15:32", "write mail to: odd (at) mail (dot) org now": "email_ctx:15:38",
+        "write mail to: odd at mail dot org now": "email_ctx:15:34", "charge card no 4111 1111 1111 1112 now": "card_ctx:15:34",
+    }
+    # known by "call me" in the first round, and that makes "dial" sure for a phone that is nowhere else
+    local = [f"555-1{k:03}" for k in range(8)]
+    more = [f"call me: {x}" for x in local] + [f"please dial {x}" for x in local] + ["please dial 555/7777"]
+    found = [r["spans"] for r in pii.found(texts(spark, *rows, *planted, *more)).orderBy("doc_id").collect()]
+    assert dict(zip(planted, found[len(rows) :], strict=False)) == planted
+    assert found[-1] == "phone_ctx:12:20" and all(s.startswith("phone_ctx") for s in found[-len(more) :])
+
+
 @pytest.mark.parametrize("f", [secrets.scanned, pii.found])
 def test_cases(spark, f):
     assert f(frame(spark)).count() == 17 and f(frame(spark, [])).count() == 0

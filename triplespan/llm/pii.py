@@ -1,12 +1,12 @@
 r"""Operator 9: personal data by base patterns and bootstrapped contextual extraction.
 
 Base kinds are email, ip, card and phone. The method starts from base spans as seed entities. A candidate is a token
-with a digit or an @; its pattern is the two words before it, lower-cased and stripped of punctuation, and the shape
-of the token is checked against the kind's. Spark scores the bipartite graph of patterns and instances: a pattern's
-score for a kind is the smoothed share of its instances that are known entities of that kind, an instance's score the
-best of its patterns'. Patterns with a score of `SURE` and at least `SUPPORT` distinct known instances make their
-other instances known for the next of `ROUNDS` rounds, and at the end add their unseen instances as spans of kind
-<kind>_ctx.
+with a digit, an @ or a bracketed at, a run of such numbers, or an address spelled over several tokens; its pattern is
+the two words before it, lower-cased and stripped of punctuation. It may be of every kind whose loose test it passes
+(`may_be`), in whatever notation. Spark scores the bipartite graph of patterns and instances for each kind: a pattern's
+score is the smoothed share of known entities of that kind among its instances that may be of it. Patterns with a score
+of `SURE` and at least `SUPPORT` distinct known instances make their other instances known for the next of `ROUNDS`
+rounds, and at the end add their unseen instances as spans of kind <kind>_ctx.
 
 Spans are (kind, start, end) in code points, by start and then kind. Null and empty texts have none. Repeated rows count
 once a distinct instance. Extra columns are ignored. An empty table gives an empty result.
@@ -14,6 +14,7 @@ once a distinct instance. Extra columns are ignored. An empty table gives an emp
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,7 +30,14 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SIGNS = re.compile(r"[0-9@]")
+SIGNS = re.compile(r"[0-9@]|[\[({<](?i:at)[\])}>]")
+#: An address whose at or dots are spelled, or apart from the rest.
+SPELLED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[({<]\x20?(?i:at)\x20?[\])}>]\x20?|\x20@\x20|\x20(?i:at)\x20(?=[A-Za-z0-9-]+\x20(?i:dot)\x20))"
+    r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({<]\x20?(?i:dot)\x20?[\])}>]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)*"
+)
+NUMBER = re.compile(r"[(+]{0,3}+[0-9](?:[0-9()+/-]|\.(?=[0-9]))*+(?![\w@])")
+NUMBERS = re.compile(rf"(?<![\w.+@/-]){NUMBER.pattern}(?:\x20(?:[/.-]\x20)?{NUMBER.pattern})++")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 ROUNDS, SURE, SUPPORT = 2, 0.8, 5
 
@@ -69,15 +77,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def shape(token: str) -> str:
-    """Runs of letters, digits and others as a, 9 and themselves."""
-    return re.sub("[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", token))[:16]
-
-
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(pattern, instance, kind or -1, start, end): base spans, and tokens with a digit or @ outside of them."""
-    spans = [(a, b, k) for a, k, b in base]
-    taken, end, i = [], 0, 0
+def may_be(token: str) -> list[int]:
+    """Places of the kinds whose loose test the token passes: signs and numbers of digits and letters, no notation."""
+    digits, letters = len(re.findall("[0-9]", token)), len(re.findall(r"[^\W\d_]", token))
+    tests = (
+        SPELLED.search(token) or re.search(r"\S@\S", token),
+        digits and re.fullmatch(r"[0-9A-Fa-f.:/%()\[\]-]+", token) and len(re.findall("[.:]", token)) >= 2,
+        12 <= digits <= 19 and not letters,
+        6 <= digits <= 15 and letters <= 4,
+    )
+    return [k for k, passed in enumerate(tests) if passed]
+
+
+def long_candidates(text: str) -> list[tuple[int, int]]:
+    """Addresses and numbers that are written as several tokens, sorted; of a run of numbers, the longest starts that may
+    be a card or phone."""
+    out = [m.span() for m in SPELLED.finditer(text)]
+    for m in NUMBERS.finditer(text):
+        tokens, i = [(x.start() + m.start(), x.end() + m.start()) for x in NUMBER.finditer(m[0])], 0
+        while i < len(tokens) - 1:
+            ends = range(min(len(tokens), i + 20) - 1, i, -1)  # a number of 19 digits has at most 19 tokens
+            last = next((j for j in ends if may_be(text[tokens[i][0] : tokens[j][1]])), None)
+            if last is not None:
+                out.append((tokens[i][0], tokens[last][1]))
+            i = i + 1 if last is None else last + 1
+    return sorted(out)
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int, list[int]]]:
+    """(pattern, instance, kind or -1, start, end, kinds it may be of): base spans, and candidates outside of them."""
+    ends = [b for _, _, b in base]
+    for k in range(1, len(ends)):
+        ends[k] = max(ends[k], ends[k - 1])
+    starts = [a for a, _, _ in base]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b)
+        return k == 0 or ends[k - 1] <= a
+
+    taken = [(a, b, may_be(text[a:b])) for a, b in long_candidates(text) if free(a, b)]
+    long, end, i = taken[:], 0, 0
     for m in SIGNS.finditer(text):
         p = m.start()
         if p < end:
@@ -89,23 +128,27 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, s
         if not t or t.end() <= p:
             continue
         end = t.end()
-        while i < len(base) and base[i][2] <= a:
+        while i < len(long) and long[i][1] <= a:
             i += 1
-        if i == len(base) or base[i][0] >= end:
+        if free(a, end):
             core = t[0].strip(".,;:!?()[]{}\"'<>|")
-            if len(core) >= 5:
+            kinds = may_be(core)
+            if i < len(long) and long[i][0] < end:  # a part of a longer candidate can still be an address of a host
+                kinds = [k for k in kinds if k == 1]
+            if kinds:
                 at = a + t[0].index(core)
-                taken.append((at, at + len(core), -1))
+                taken.append((at, at + len(core), kinds))
     out = []
-    for a, b, k in spans + taken:
+    for a, b, k, kinds in [(a, b, k, sorted({k, *may_be(text[a:b])})) for a, k, b in base] + [(a, b, -1, kinds) for a, b, kinds in taken]:
         before = text[max(0, a - 60) : a].split()[-2:]
         words = " ".join(w.lower().strip(".,;:!?()[]{}\"'<>|=") for w in before)
-        out.append((words, text[a:b], k, a, b))
+        out.append((words, text[a:b], k, a, b, kinds))
     return out
 
 
 def extracted(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans, and candidates with pattern, hash of the instance, shape, kind (-1: unknown), start, end."""
+    """doc_id, the base spans, and candidates with pattern, hash of the instance, shape (a kind that it may be of; one row
+    for each), kind (-1: unknown), start, end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -116,7 +159,7 @@ def extracted(docs: DataFrame) -> DataFrame:
                 text = t.as_py() or ""
                 base = base_spans(text)
                 spans.append([{"start": a, "kind": k, "end": e} for a, k, e in base])
-                found.append([{"pattern": p, "instance": hashlib.md5(x.encode()).hexdigest()[:16], "shape": shape(x), "kind": k, "start": a, "end": e} for p, x, k, a, e in candidates(text, base)])
+                found.append([{"pattern": p, "instance": hashlib.md5(x.encode()).hexdigest()[:16], "shape": KINDS[may], "kind": k, "start": a, "end": e} for p, x, k, a, e, kinds in candidates(text, base) for may in kinds])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, spans_type), pa.array(found, found_type)], ["doc_id", "spans", "found"])
 
     schema = "doc_id long, spans array<struct<start:int,kind:int,end:int>>, found array<struct<pattern:string,instance:string,shape:string,kind:int,start:int,end:int>>"
@@ -130,12 +173,11 @@ def patterns(table: DataFrame, rounds: int = ROUNDS, sure: float = SURE, support
     pattern that a third of all rows shares stays in proportion."""
     edges = common.written(table.select(F.explode("found").alias("f")).select("f.*").groupBy("pattern", "shape", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
     for k in range(rounds):
-        by_pattern = edges.groupBy("pattern", "shape").agg(
-            F.count("*").alias("n"), *(F.count(F.when(F.col("kind") == i, 1)).alias(name) for i, name in enumerate(KINDS))
+        as_kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("shape")).cast("int") - 1
+        by_pattern = edges.withColumn("as_kind", as_kind).groupBy("pattern", "shape", "as_kind").agg(
+            F.count("*").alias("n"), F.count(F.when(F.col("kind") == F.col("as_kind"), 1)).alias("hits")
         )
-        best = F.greatest(*(F.struct(F.col(name).alias("hits"), F.lit(i).alias("kind")) for i, name in enumerate(KINDS)))
-        scored = by_pattern.withColumn("best", best).where(F.col("best.hits") >= support)
-        sure_ones = scored.where(F.col("best.hits") / (F.col("n") + 1) >= sure).select("pattern", "shape", F.col("best.kind").alias("as_kind"))
+        sure_ones = by_pattern.where((F.col("hits") >= support) & (F.col("hits") / (F.col("n") + 1) >= sure)).select("pattern", "shape", "as_kind")
         if k < rounds - 1:
             instances = edges.where("kind < 0").join(sure_ones, ["pattern", "shape"]).groupBy("instance").agg(F.min("as_kind").alias("new"))
             edges = common.written(edges.join(instances, "instance", "left").select("pattern", "shape", "instance", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("new", "kind")).alias("kind")), "pii-edges")
