@@ -3,11 +3,11 @@
 import hashlib
 import random
 
-import numpy as np
 import pytest
 from helpers import frame, prose, texts, words
+from pyspark.sql import functions as F
 
-from triplespan.llm import jaccard_join, shingles, substring_dedup
+from triplespan.llm import jaccard_join, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -75,12 +75,32 @@ def test_cases(spark):
     assert jaccard_join.joined(frame(spark, [])).count() == 0
 
 
-def test_sketches():
-    rng = np.random.default_rng(1)
-    for n, m, both in ((0, 0, 0), (1, 1, 1), (70, 64, 60), (900, 40, 10), (3000, 2600, 2500)):
-        h = shingles.mixed(np.arange(n + m - both, dtype=np.uint64) + np.uint64(rng.integers(1 << 60)))
-        x, y = h[:n], h[n - both :]
-        assert jaccard_join.bits_apart(jaccard_join.sketch(x), jaccard_join.sketch(y)) <= n + m - 2 * both
+def test_null_ids(spark):
+    """Rows without an id link like others, and never name a component."""
+    base = prose(3, 60)
+    rows = [(1, base), (2, base), (3, base + " tail"), (None, base), (None, prose(4, 40)), (None, prose(4, 40)), (7, prose(5, 40)), (None, prose(5, 40) + " end")]
+    got = jaccard_join.joined(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got if r["component_id"] is not None) == [(0, 37, 7), (0, 56, 1), (1, 56, 1), (2, 56, 1), (3, 57, 1), (7, 36, 7)]
+    assert sum(r["component_id"] is None for r in got) == 2
+
+
+def test_same_id_with_other_texts(spark):
+    rows = [(5, prose(1, 30)), (5, prose(2, 30)), (5, prose(2, 30)), (6, prose(2, 30) + " x"), (7, prose(1, 30) + " y")]
+    got = jaccard_join.joined(frame(spark, [(i, t, None, None, None) for i, t in rows]).withColumn("row", F.lit(1)).withColumn("n", F.lit(2)).withColumn("component_id", F.lit("c"))).collect()
+    assert sorted(map(tuple, got)) == [(5, 26, 5), (5, 26, 5), (5, 26, 5), (6, 27, 5), (7, 27, 5)]
+
+
+@pytest.mark.parametrize("crowded", [0, 16])
+def test_edited_copies_of_an_absent_text(spark, monkeypatch, crowded):
+    """Many edited copies of a text that is not there itself, so that no hub links with all of them."""
+    monkeypatch.setattr(jaccard_join, "CROWDED", crowded)
+    rng = random.Random(7)
+    text = prose(77, 120)
+    rows = list(enumerate([edited(rng, text, rng.randint(1, 5)) for _ in range(150)]))
+    met, join = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda docs, classes, pairs, percent: met.append(pairs.count()) or join(docs, classes, pairs, percent))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.joined(texts(spark, *(t for _, t in rows))).collect()}
+    assert got == components(rows) and sum(met) < 2000  # of 11175 pairs
 
 
 def without_repeats(rows):
