@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triplespan.functions import chemistry, text
-from triplespan.operators import documents, grounding, listing, scoring
+from triplespan.operators import documents, graphs, grounding, listing, scoring
 from triplespan.sources import rdf, tables
 from triplespan.streaming import incremental
 
@@ -140,6 +140,27 @@ def test_sources(spark, tmp_path):
     assert tables.json_list(spark, str(tmp_path / "l.json"), "label string, subject string").count() == 2
 
 
+def test_escapes(spark):
+    """Literals of any characters, and blank nodes of any names, survive a round trip."""
+    odd = ["C:\\new \\table", "a\\\\n", '"', "\\", "\\\\", "\t\r\n\b\f", "\\u0041", "é😀\u2028", "x\\", ""]
+    rows = [(f"http://s/{k}", "iri", "http://p", v, "lit") for k, v in enumerate(odd)] + [("d:x.1", "bnode", "http://p", "d:x-1", "bnode"), ("d:x-1", "bnode", "http://p", "http://o", "iri")]
+    df = spark.createDataFrame(rows, "s string, s_kind string, p string, o string, o_kind string")
+    back = rdf.ntriples(rdf.ntriples_lines(df)).collect()
+    assert all(r["error"] is None for r in back)
+    assert {r["s"]: r["o"] for r in back if r["o_kind"] == "lit"} == {f"http://s/{k}": v for k, v in enumerate(odd)}
+    nodes = [r for r in back if r["s_kind"] == "bnode"]
+    assert len({r["s"] for r in nodes}) == 2 and nodes[0]["o"] == nodes[1]["s"]
+    coded = spark.createDataFrame([('<a:a> <a:p> "\\\\u0041 \\u00e9\\U0001F600\\\\\\n" .',)], "value string")
+    assert rdf.ntriples(coded).first()["o"] == "\\u0041 é😀\\\n" == rdf.unescaped("\\\\u0041 \\u00e9\\U0001F600\\\\\\n")
+
+
+def test_ancestors_on_cycles(spark):
+    classes = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", None)], "class string, parent string")
+    found = {(r["class"], r["ancestor"]): r["level"] for r in graphs.ancestors(classes).collect()}
+    assert found == {(x, y): ("abc".index(y) - "abc".index(x)) % 3 or 3 for x in "abc" for y in "abc"} | {("d", "a"): 1, ("d", "b"): 2, ("d", "c"): 3}
+    assert graphs.ancestors(classes, 1).count() == 4 and graphs.ancestors(classes, 2).count() == 8
+
+
 def test_listing(spark):
     assert values(spark, listing.without_prefixes, "@prefix a: <b> .\n\na:x a:y a:z .\nPREFIX c: <d>\n") == ["a:x a:y a:z ."]
     assert values(spark, listing.fenced_json, 'x\n```json\n{"a": 1}\n```\ny', ' {"a": 2} ') == ['{"a": 1}', '{"a": 2}']

@@ -20,9 +20,10 @@ WEIGHTS = {
 }
 # The order of elements in a formula; others follow by name.
 ORDER = (
-    "C H N O F P S Cl Br I B Si Se Sb Te Mo Co V Cu Pd Al Ca Fe Ni Zn Ag Cd Sn Pb Mn Cr Ti Zr Hf Nb Ta W Re Os Ir Pt Au Hg Tl Bi Po At Rn "
-    "Li Be Na Mg K Rb Cs Ba Ra"
-).split()
+    "C", "H", "N", "O", "F", "P", "S", "Cl", "Br", "I", "B", "Si", "Se", "Sb", "Te", "Mo", "Co", "V", "Cu", "Pd",
+    "Al", "Ca", "Fe", "Ni", "Zn", "Ag", "Cd", "Sn", "Pb", "Mn", "Cr", "Ti", "Zr", "Hf", "Nb", "Ta", "W", "Re", "Os", "Ir",
+    "Pt", "Au", "Hg", "Tl", "Bi", "Po", "At", "Rn", "Li", "Be", "Na", "Mg", "K", "Rb", "Cs", "Ba", "Ra",
+)
 # Assembly models (unit a, unit b, number of a, number of b, symmetry).
 MODELS = (
     ("5-pyramidal", "2-linear", 12, 30, "Ih"), ("2-linear", "5-pyramidal", 30, 12, "Ih"),

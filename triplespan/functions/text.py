@@ -22,69 +22,121 @@ GREEK_LETTERS = ("abgdezhqiklmnxoprstufcyw", "αβγδεζηθικλμνξοπρ
 NA_FINGERPRINT = ("", "n/a", "na", "-1", "-1.0", "-1e+00", "-1e+0", "-1.00")
 NA_RECORD = ("n/a", "na", "n.a.", "none", "null", "-", "")
 NA_NAME = ("n/a", "na", "")
-# Canonical form, then its variants.
+# Spellings of units and common values, and their canonical form.
 CANONICAL = {
-    "degree celsius": "°c|degree c|degrees celsius|degrees c|deg c|degc|celsius",
-    "25 degree celsius": "room temperature|rt|ambient temperature",
-    "degree celsius per minute": "°c/min",
-    "degree celsius per hour": "kelvin per hour|°c/hour|°c per hour",
-    "ml": "milliliter|milliliters|millilitre|millilitres",
-    "l": "liter|liters|litre|litres",
-    "g": "gram|grams",
-    "mg": "milligram|milligrams",
-    "μg": "microgram|micrograms",
-    "kg": "kilogram|kilograms",
-    "mmol": "millimole|millimoles",
-    "mol": "mole|moles",
-    "μmol": "micromole|micromoles",
-    "h": "hour|hours|hrs|hr",
-    "min": "minute|minutes|mins",
-    "s": "second|seconds|sec|secs",
-    "d": "day|days",
-    "wk": "week|weeks",
-    "mo": "month|months",
-    "nitrogen": "n2",
-    "argon": "ar",
-    "inert": "inert atmosphere",
-    "n/a": "na|not applicable|not available|none|no data|unknown|-||slowly",
-    "": "; n/a mmol|, n/a mmol",
-    "1 drop": "one drop",
-    "2 drops": "two drops",
-    "3 drops": "three drops",
-    "4 drops": "four drops",
-    "5 drops": "five drops",
-    "6 drops": "six drops",
-    "7 drops": "seven drops",
-    "8 drops": "eight drops",
-    "9 drops": "nine drops",
-    "cu(no3)2·6h2o": "cu(no3)2.6h2o",
-    "h2(ipr-cdc)": "h2ipr-cdc",
+    "°c": "degree celsius",
+    "degree c": "degree celsius",
+    "degrees celsius": "degree celsius",
+    "degrees c": "degree celsius",
+    "deg c": "degree celsius",
+    "degc": "degree celsius",
+    "celsius": "degree celsius",
+    "room temperature": "25 degree celsius",
+    "rt": "25 degree celsius",
+    "ambient temperature": "25 degree celsius",
+    "°c/min": "degree celsius per minute",
+    "kelvin per hour": "degree celsius per hour",
+    "°c/hour": "degree celsius per hour",
+    "°c per hour": "degree celsius per hour",
+    "milliliter": "ml",
+    "milliliters": "ml",
+    "millilitre": "ml",
+    "millilitres": "ml",
+    "liter": "l",
+    "liters": "l",
+    "litre": "l",
+    "litres": "l",
+    "gram": "g",
+    "grams": "g",
+    "milligram": "mg",
+    "milligrams": "mg",
+    "microgram": "μg",
+    "micrograms": "μg",
+    "kilogram": "kg",
+    "kilograms": "kg",
+    "millimole": "mmol",
+    "millimoles": "mmol",
+    "mole": "mol",
+    "moles": "mol",
+    "micromole": "μmol",
+    "micromoles": "μmol",
+    "hour": "h",
+    "hours": "h",
+    "hrs": "h",
+    "hr": "h",
+    "minute": "min",
+    "minutes": "min",
+    "mins": "min",
+    "second": "s",
+    "seconds": "s",
+    "sec": "s",
+    "secs": "s",
+    "day": "d",
+    "days": "d",
+    "week": "wk",
+    "weeks": "wk",
+    "month": "mo",
+    "months": "mo",
+    "n2": "nitrogen",
+    "ar": "argon",
+    "inert atmosphere": "inert",
+    "na": "n/a",
+    "not applicable": "n/a",
+    "not available": "n/a",
+    "none": "n/a",
+    "no data": "n/a",
+    "unknown": "n/a",
+    "-": "n/a",
+    "": "n/a",
+    "slowly": "n/a",
+    "; n/a mmol": "",
+    ", n/a mmol": "",
+    "one drop": "1 drop",
+    "two drops": "2 drops",
+    "three drops": "3 drops",
+    "four drops": "4 drops",
+    "five drops": "5 drops",
+    "six drops": "6 drops",
+    "seven drops": "7 drops",
+    "eight drops": "8 drops",
+    "nine drops": "9 drops",
+    "cu(no3)2.6h2o": "cu(no3)2·6h2o",
+    "h2ipr-cdc": "h2(ipr-cdc)",
 }
-# First name of a substance, then its other names.
+# Other names of substances, and the name that stands for them.
 SYNONYMS = {
-    "dmf": "n, n-dimethylformamide|dimethylformamide|n, n'-dimethylformamide",
-    "def": "n, n-diethylformamide|diethylformamide",
-    "dma": "n, n-dimethylacetamide|dimethylacetamide|n, n'-dimethylacetamide",
-    "h2o": "water",
-    "meoh": "methanol|ch3oh|methyl alcohol",
-    "etoh": "ethanol|ch3ch2oh",
-    "thf": "tetrahydrofuran",
-    "mecn": "acetonitrile",
-    "cp2zrcl2": "zirconocene dichloride|bis(cyclopentadienyl)zirconium dichloride",
-    "vcl3": "vanadium(iii) chloride",
-    "h3tatb": "1, 3, 5-triamino-2, 4, 6-trinitrobenzene",
-    "ni(acetate)2·4h2o": "nickel(ii) acetate tetrahydrate",
-    "cu(no3)2·3h2o": "copper(ii) nitrate trihydrate",
-    "cucl2·2h2o": "copper(ii) chloride dihydrate",
-    "voso4·xh2o": "vanadyl sulfate hydrate",
-    "vo(acac)2": "vanadyl acetylacetonate",
-    "5-eia": "5-ethoxy isophthalic acid",
-    "5-pria": "5-(n-propyloxy) isophthalic acid",
-    "h2d-cam": "d-camphoric acid",
-    "5-mia": "5-methoxy isophthalic acid",
-    "h2ndbdc": "4, 4'-(naphthalene-1, 4-diyl)dibenzoic acid",
-    "h2adbdc": "4, 4'-(anthracene-9, 10-diyl)dibenzoic acid",
-    "h2dcpp": "4, 4'-(porphyrin-5, 15-diyl)dibenzoic acid",
+    "n, n-dimethylformamide": "dmf",
+    "dimethylformamide": "dmf",
+    "n, n'-dimethylformamide": "dmf",
+    "n, n-diethylformamide": "def",
+    "diethylformamide": "def",
+    "n, n-dimethylacetamide": "dma",
+    "dimethylacetamide": "dma",
+    "n, n'-dimethylacetamide": "dma",
+    "water": "h2o",
+    "methanol": "meoh",
+    "ch3oh": "meoh",
+    "methyl alcohol": "meoh",
+    "ethanol": "etoh",
+    "ch3ch2oh": "etoh",
+    "tetrahydrofuran": "thf",
+    "acetonitrile": "mecn",
+    "zirconocene dichloride": "cp2zrcl2",
+    "bis(cyclopentadienyl)zirconium dichloride": "cp2zrcl2",
+    "vanadium(iii) chloride": "vcl3",
+    "1, 3, 5-triamino-2, 4, 6-trinitrobenzene": "h3tatb",
+    "nickel(ii) acetate tetrahydrate": "ni(acetate)2·4h2o",
+    "copper(ii) nitrate trihydrate": "cu(no3)2·3h2o",
+    "copper(ii) chloride dihydrate": "cucl2·2h2o",
+    "vanadyl sulfate hydrate": "voso4·xh2o",
+    "vanadyl acetylacetonate": "vo(acac)2",
+    "5-ethoxy isophthalic acid": "5-eia",
+    "5-(n-propyloxy) isophthalic acid": "5-pria",
+    "d-camphoric acid": "h2d-cam",
+    "5-methoxy isophthalic acid": "5-mia",
+    "4, 4'-(naphthalene-1, 4-diyl)dibenzoic acid": "h2ndbdc",
+    "4, 4'-(anthracene-9, 10-diyl)dibenzoic acid": "h2adbdc",
+    "4, 4'-(porphyrin-5, 15-diyl)dibenzoic acid": "h2dcpp",
 }
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -94,9 +146,9 @@ def _known(c: Column) -> Column:
 
 
 def _looked_up(c: Column, table: dict[str, str]) -> Column:
-    """The name whose variants hold the value, else the value; one constant map, built once a query."""
-    pairs = [F.lit(x) for name, variants in table.items() for v in variants.split("|") for x in (v, name)]
-    return F.coalesce(F.element_at(F.create_map(*pairs), c), c)
+    """What the table has for the value, else the value, which is computed once; one constant map, built once a query."""
+    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.element_at(F.transform(F.array(c), lambda x: F.coalesce(F.element_at(known, x), x)), 1)
 
 
 def trimmed(c: Column) -> Column:

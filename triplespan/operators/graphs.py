@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplespan.plans.patterns import COLUMNS, LABEL, TYPE, local_name
+from triplespan.plans.tables import written
 
 KEY = list(COLUMNS)
 #: Namespaces whose classes are the language's own.
@@ -145,19 +146,19 @@ def schema(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ancestors(classes: DataFrame, levels: int | None = None) -> DataFrame:
-    """(class, ancestor, level) by following parents; all the way, or `levels` steps."""
+    """(class, ancestor, level) by following parents; all the way, or `levels` steps. Level: the fewest steps. On a cycle a
+    class is an ancestor of its own."""
     edges = classes.where("parent is not null").select("class", "parent").distinct()
-    found = edges.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
-    if levels == 1:
-        return found
-    edges.createOrReplaceTempView("_class_edges")
-    bound = f"and a.level < {int(levels)}" if levels else ""
-    recursive = f"""
-        WITH RECURSIVE up(class, ancestor, level) AS (
-            SELECT class, parent, 1 FROM _class_edges
-            UNION ALL SELECT a.class, e.parent, a.level + 1 FROM up a JOIN _class_edges e ON a.ancestor = e.class {bound})
-        SELECT class, ancestor, min(level) AS level FROM up GROUP BY class, ancestor"""
-    return classes.sparkSession.sql(recursive)
+    last = found = edges.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
+    level = 1
+    while level != levels:
+        level += 1
+        step = last.select("class", F.col("ancestor").alias("via")).join(edges.select(F.col("class").alias("via"), F.col("parent").alias("ancestor")), "via")
+        last = written(step.select("class", "ancestor", F.lit(level).alias("level")).distinct().join(found, ["class", "ancestor"], "left_anti").select("class", "ancestor", "level"), "ancestors")
+        if last.isEmpty():
+            break
+        found = found.union(last)
+    return found
 
 
 def inherited_properties(classes: DataFrame, properties: DataFrame, levels: int | None = 1) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from triplespan.functions.text import normal_label
 from triplespan.plans.patterns import COLUMNS, LABEL
+from triplespan.plans.tables import written
 
 ALTERNATIVE = "http://www.w3.org/2004/02/skos/core#altLabel"
 SAME = "http://www.w3.org/2002/07/owl#sameAs"
@@ -29,12 +29,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_ratios(zip(a, b, strict=True), True))
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same without skipping, and 1 for equal texts."""
-    return pd.Series(_ratios(zip(a, b, strict=True), False))
-
-
 @F.pandas_udf(T.DoubleType())
 def best_part_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best ratio of the shorter text with an equally long part of the longer one, at its matching blocks."""
@@ -85,8 +79,8 @@ def fuzzy(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, limit:
     """For each row of `queries` (query) the best `limit` labels of `candidates` (label) with a score of `cutoff` or more,
     rounded to four digits, ties by label."""
     scored = compared(queries, candidates.select("label").distinct(), cutoff, scorer)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_s"), "label"))), 1, limit)
-    return scored.groupBy("query").agg(best.alias("best")).select("query", F.explode("best").alias("b")).select("query", F.col("b.label").alias("label"), F.round(-F.col("b._s"), 4).alias("score"))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "label"))  # Spark cuts to the limit before it shuffles
+    return scored.withColumn("_place", place).where(F.col("_place") <= limit).select("query", "label", F.round("score", 4).alias("score"))
 
 
 def best_of(scored: DataFrame, key: str = "subject", limit: int = 10) -> DataFrame:
@@ -122,14 +116,32 @@ def grounded(named: DataFrame, reference: DataFrame, cutoff: float = 0.6) -> Dat
     return pairs.groupBy("s").agg(F.min_by("iri", F.struct("place", (-F.col("score")).alias("x"), "iri")).alias("iri"))
 
 
+#: Distinct predicates that are broadcast with what they become.
+PREDICATES = 100_000
+
+
+def _renamed(triples: DataFrame, known: DataFrame, columns: str) -> DataFrame:
+    """Columns s, p and IRI o of `triples`, those named, by (_from, _to). There are few predicates, so `known` is cut to
+    them and broadcast, as counted: a shuffle by predicate would send most triples to a few tasks."""
+    for c in columns:
+        table = known
+        if c == "p":
+            used = triples.select(F.col("p").alias("_from")).distinct()
+            table = written(known.join(used, "_from", "left_semi"), "predicates")
+            n = table.count()
+            if n == 0:
+                continue
+            table = F.broadcast(table) if n <= PREDICATES else table
+        same = F.col(c) == F.col("_from")
+        same = same & (F.col("o_kind") != "lit") if c == "o" else same
+        triples = triples.join(table, same, "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
+    return triples
+
+
 def replaced(triples: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rewrites subjects, predicates and IRI objects by (s, iri); what is not mapped stays. Equal triples become one."""
     known = mapping.where("iri is not null").select(F.col("s").alias("_from"), F.col("iri").alias("_to"))
-    for c in ("s", "p", "o"):
-        same = F.col(c) == F.col("_from")
-        same = same & (F.col("o_kind") != "lit") if c == "o" else same
-        triples = triples.join(known, same, "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
-    return triples.select(*COLUMNS).distinct()
+    return _renamed(triples, known, "spo").select(*COLUMNS).distinct()
 
 
 def with_same_as(triples: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -138,15 +150,6 @@ def with_same_as(triples: DataFrame, mapping: DataFrame) -> DataFrame:
     return triples.select(*COLUMNS).union(added).distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop by a table in the folder that executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def canonical(triples: DataFrame, rounds: int = 10) -> DataFrame:
     """(s, iri): entities with the same facts, and the smallest IRI among them, repeated until nothing changes.
 
@@ -158,19 +161,17 @@ def canonical(triples: DataFrame, rounds: int = 10) -> DataFrame:
         current = facts
         if mapping is not None:
             old = mapping.where("s <> iri").select(F.col("s").alias("_from"), F.col("iri").alias("_to"))
-            current = current.join(old.select(F.col("_from").alias("s")), "s", "left_anti")
-            for c in ("p", "o"):
-                current = current.join(old, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
+            current = _renamed(current.join(old.select(F.col("_from").alias("s")), "s", "left_anti"), old, "po")
         signed = current.groupBy("s").agg(F.sha2(F.to_json(F.sort_array(F.collect_set(F.struct("p", "o", "o_kind")))), 256).alias("digest"))
         least = signed.groupBy("digest").agg(F.min("s").alias("iri"), F.count("*").alias("n")).where("n > 1").select("digest", "iri")
-        new = _written(signed.join(least, "digest").where("s <> iri").select("s", "iri"))
+        new = written(signed.join(least, "digest").where("s <> iri").select("s", "iri"))
         if new.isEmpty():
             break
         if mapping is None:
             mapping = new
         else:
             moved = mapping.join(new.select(F.col("s").alias("iri"), F.col("iri").alias("_to")), "iri", "left").select("s", F.coalesce("_to", "iri").alias("iri"))
-            mapping = _written(moved.union(new))
+            mapping = written(moved.union(new))
     if mapping is None:
         return triples.sparkSession.createDataFrame([], "s string, iri string")
     return mapping

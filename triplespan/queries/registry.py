@@ -24,6 +24,12 @@ def on_graph(sql: str | None = None):
     return register
 
 
+def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
 def on_tables(sql: str | None = None):
     """A query that takes a function from a table's name to its DataFrame."""
 

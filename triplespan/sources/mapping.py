@@ -21,7 +21,9 @@ BASE = PREFIXES["ex"]
 
 @dataclass(frozen=True)
 class Entity:
-    """How one table maps: its class, key columns, literal columns by predicate, and references by predicate."""
+    """How one table maps: its class, key, literals by predicate, references by predicate, and more classes of the rows that
+    meet a condition. Keys, literals and conditions are SQL expressions over the table's columns. Rows of an entity that is
+    not `unique` share keys, so its triples are made distinct."""
 
     table: str
     name: str
@@ -29,6 +31,16 @@ class Entity:
     literals: dict[str, str] = field(default_factory=dict)
     references: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=dict)
     typed: bool = True
+    classes: dict[str, str] = field(default_factory=dict)
+    unique: bool = True
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A class of the rows that meet a condition."""
+
+    name: str
+    condition: str
 
 
 STAR = (
@@ -55,15 +67,15 @@ def iri(name: str, key: Sequence[str | Column]) -> Column:
     """The IRI of an entity; NULL if a key column is."""
     parts = []
     for k in key:
-        parts += [F.lit("-"), (F.col(k) if isinstance(k, str) else k).cast("string")]
+        parts += [F.lit("-"), (F.expr(k) if isinstance(k, str) else k).cast("string")]
     return F.concat(F.lit(f"{BASE}{name}/"), *parts[1:])
 
 
 class MappedGraph(Graph):
     """The graph view of tables `<folder>/<table>.parquet` by `entities`."""
 
-    def __init__(self, spark: SparkSession, folder: str, entities: Sequence[Entity] = STAR):
-        self.spark, self.folder, self.entities, self.prefixes = spark, folder, entities, dict(PREFIXES)
+    def __init__(self, spark: SparkSession, folder: str, entities: Sequence[Entity] = STAR, prefixes: dict[str, str] | None = None):
+        self.spark, self.folder, self.entities, self.prefixes = spark, folder, entities, PREFIXES | (prefixes or {})
 
     @property
     def triples(self) -> DataFrame:
@@ -73,10 +85,11 @@ class MappedGraph(Graph):
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def rules(self, predicates: Sequence[str] | None) -> list[tuple[Entity, str, object]]:
-        """(entity, predicate, what) of the branches with these predicates; what: class, column or (class, key)."""
+        """(entity, predicate, what) of the branches with these predicates; what: None or a Kind, an expression or (class, key)."""
         found: list[tuple[Entity, str, object]] = []
         for e in self.entities:
             found += [(e, TYPE, None)] if e.typed else []
+            found += [(e, TYPE, Kind(name, condition)) for name, condition in e.classes.items()]
             found += [(e, predicate(n), c) for n, c in e.literals.items()] + [(e, predicate(n), r) for n, r in e.references.items()]
         return [x for x in found if predicates is None or x[1] in predicates]
 
@@ -84,13 +97,19 @@ class MappedGraph(Graph):
         """The triples of a rule; or, wide, its object column and kind."""
         if what is None:
             o, kind = F.lit(BASE + e.name), "iri"
+        elif isinstance(what, Kind):
+            o, kind = F.when(F.expr(what.condition), F.lit(BASE + what.name)), "iri"
         elif isinstance(what, str):
-            o, kind = F.col(what).cast("string"), "lit"
+            o, kind = F.expr(what).cast("string"), "lit"
         else:
             o, kind = iri(*what), "iri"
         if wide:
             return o, kind
-        return self.table(e.table).select(iri(e.name, e.key).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind")).where("s is not null and o is not null")
+        rows = self.table(e.table)
+        if isinstance(what, Kind):  # as a filter of rows, the object stays a constant
+            rows, o = rows.where(F.expr(what.condition)), F.lit(BASE + what.name)
+        rows = rows.select(iri(e.name, e.key).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind")).where("s is not null and o is not null")
+        return rows if e.unique else rows.distinct()
 
     def _union(self, rules: list) -> DataFrame:
         if not rules:
@@ -123,7 +142,7 @@ class MappedGraph(Graph):
         may, stars, out = self._possible(patterns), {}, []
         for k, (s, p, o) in enumerate(patterns):
             plain = is_variable(s) and not isinstance(p, list) and not is_variable(p) and s != o
-            if plain and len(may[k]) == 1:
+            if plain and len(may[k]) == 1 and may[k][0][0].unique:
                 stars.setdefault((s, may[k][0][0].table), []).append(k)
             else:
                 out.append(self.match(s, p, o, context=patterns, at=k))
@@ -150,7 +169,7 @@ class MappedGraph(Graph):
         wanted = list(map(self.iri, p)) if isinstance(p, list) else None if is_variable(p) else [self.iri(p)]
         rules = self.rules(wanted)
         if isinstance(o, str) and not is_variable(o):  # an IRI: its class or the entity's template
-            rules = [r for r in rules if (r[2] is None and BASE + r[0].name == self.iri(o)) or (isinstance(r[2], tuple) and self.iri(o).startswith(f"{BASE}{r[2][0]}/"))]
+            rules = [r for r in rules if (r[2] is None and BASE + r[0].name == self.iri(o)) or (isinstance(r[2], Kind) and BASE + r[2].name == self.iri(o)) or (isinstance(r[2], tuple) and self.iri(o).startswith(f"{BASE}{r[2][0]}/"))]
         if isinstance(s, str) and not is_variable(s):
             rules = [r for r in rules if self.iri(s).startswith(f"{BASE}{r[0].name}/")]
         return rules
@@ -159,4 +178,4 @@ class MappedGraph(Graph):
     def _end(rule: tuple, place: int) -> str:
         """The IRI template at subject (0) or object (2); literals and classes count as one each."""
         e, _, what = rule
-        return e.name if place == 0 else "class" if what is None else "literal" if isinstance(what, str) else what[0]
+        return e.name if place == 0 else "class" if what is None or isinstance(what, Kind) else "literal" if isinstance(what, str) else what[0]

@@ -161,9 +161,16 @@ def graph(rows: DataFrame) -> DataFrame:
 
 
 def _unescaped(c: Column) -> Column:
-    for seq, char in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        c = F.replace(c, F.lit(seq), F.lit(char))
-    return F.replace(c, F.lit("\\\\"), F.lit("\\"))
+    """Escapes are read in one pass from the left, so an escaped backslash never starts another one."""
+    chars = F.create_map(*(F.lit(x) for pair in ESCAPES.items() for x in pair))
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), F.lit(1))
+
+    def read(x: Column) -> Column:
+        sign, rest = F.substring(x, 2, 1), F.substring(x, 3, 8)
+        coded = F.when(sign == "u", F.decode(F.unhex(rest), "UTF-16BE")).otherwise(F.decode(F.unhex(rest), "UTF-32"))
+        return F.when(~x.startswith("\\"), x).when(sign.isin("u", "U") & (F.length(x) > 2), coded).otherwise(F.coalesce(F.element_at(chars, sign), sign))
+
+    return F.array_join(F.transform(parts, read), "")
 
 
 def ntriples(lines: DataFrame, value: str = "value", doc: Column | None = None) -> DataFrame:
@@ -189,9 +196,9 @@ def ntriples(lines: DataFrame, value: str = "value", doc: Column | None = None)
 def ntriples_lines(triples: DataFrame) -> DataFrame:
     """One N-Triples line per triple, for `write.text`; blank nodes are those whose kind says so."""
     text = F.col("o")
-    for char, seq in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for char, seq in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(char), F.lit(seq))
-    node = lambda c: F.concat(F.lit("_:"), F.regexp_replace(c, "[^A-Za-z0-9]", "-"))
+    node = lambda c: F.concat(F.lit("_:b"), F.lower(F.hex(c.cast("binary"))))  # noqa: E731  - different nodes keep different names
     s_kind = F.col("s_kind") if "s_kind" in triples.columns else F.lit("iri")
     s = F.when(s_kind == "bnode", node(F.col("s"))).otherwise(F.concat(F.lit("<"), "s", F.lit(">")))
     typed = F.concat(F.lit('"'), text, F.lit('"'))

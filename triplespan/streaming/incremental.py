@@ -8,16 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplespan.plans.tables import written
 
-def upsert_documents(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Parquet rows with a column doc, parsed and written below `target`, one folder a document; new rows of a document
-    replace all of its old ones."""
+
+def upsert_documents(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = lambda df: df, buckets: int = 64) -> None:
+    """Parquet rows with a column doc, parsed and written below `target` in `buckets` folders by a hash of doc; new rows of a
+    document replace all of its old ones. Only buckets with new documents are written again, from a table of what they held,
+    so a failed write loses nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        parse(batch).repartition("doc").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc").parquet(target)
+        bucket = F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")
+        new = written(parse(batch).withColumn("bucket", bucket), "arrived")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        try:
+            old = spark.read.schema(new.schema).parquet(target).where(F.col("bucket").isin(touched))  # reads these folders only
+        except AnalysisException:  # the first batch
+            old = None
+        kept = new if old is None else new.unionByName(old.join(new.select("doc").distinct(), "doc", "left_anti"))
+        kept = written(kept, "merged")
+        kept.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
