@@ -52,6 +52,5 @@ def test_columns(spark):
     df = bpe.decode(bpe.encode(texts(spark, "a b", None, "")))
     assert {r["doc_id"]: bytes(r["decoded"]) for r in df.collect()} == {0: b"a b", 1: b"", 2: b""}
     assert bpe.encode(frame(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(df)
+    assert bpe.encode(df).columns == [*(c for c in df.columns if c != "token_ids"), "token_ids"]  # an output replaces a column of its name
     assert bpe.encoded_with_digest(texts(spark, prose(1, 9))).first()["n_tokens"] > 9

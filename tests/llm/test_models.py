@@ -1,10 +1,14 @@
 """Mixing, quality rules, the quality classifier and toxicity."""
 
 import math
+import re
+import struct
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import frame, prose, texts, words
 from oracle import compare, connection
 
@@ -63,6 +67,8 @@ def test_copies(spark):
     assert all(abs(sum(x for x, _ in v) / v[0][1] - 1) < 0.1 for v in by.values())
     again = {(r["doc_id"], r["copies"]) for r in mixing.mixed(frame(spark, rows).repartition(13)).collect()}
     assert again == {(r["doc_id"], r["copies"]) for r in got}
+    clash = frame(spark, rows).withColumns({c: common.F.lit("x") for c in ("Size", "source_size", "target", "copies", "_source", "other")})
+    assert {(r["doc_id"], r["copies"], r["other"]) for r in mixing.mixed(clash).collect()} == {(i, c, "x") for i, c in again}
     assert mixing.mixed(frame(spark)).count() == 17 and mixing.mixed(frame(spark, [])).count() == 0
 
 
@@ -95,12 +101,68 @@ def test_ratio_parts_labels(spark, labels, known):
     assert quality_rules.scored(frame(spark), labels.limit(0)).count() == 17
 
 
+def grams(text):
+    """Hashes of words and of pairs, as Spark's xxhash64 chains them."""
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words(text)]
+    pair = lambda a, b: xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42))
+    return h + [xxhash.xxh64_intdigest(struct.pack("<Q", x), seed=42) if i == 0 else pair(h[i - 1], x) for i, x in enumerate(h)]
+
+
+def test_ratio_by_hand(spark):
+    """The ratio and the verdict of every document, from two multinomials counted in plain Python."""
+    docs = [(i, prose(i % 7, 60) if i % 3 else prose(500 + i, 40) + " junk # junk " * (i % 5), "xx", "s", 0) for i in range(60)] + [(None, prose(3, 30), None, None, None), (98, None, None, None, None), (99, "", None, None, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(98, 1), (7777, 1), (3, None)], "doc_id long, quality int")
+    good = {i for i in range(60) if i % 3}
+    buckets, raw, target = quality_rules.BUCKETS, {}, {}
+    for i, t, *_ in docs:
+        for g in grams(t):
+            raw[g % buckets] = raw.get(g % buckets, 0) + 1
+            if i in good:
+                target[g % buckets] = target.get(g % buckets, 0) + 1
+    total = lambda c: sum(c.values()) + buckets
+    weight = lambda k: math.log((target.get(k, 0) + 1) / total(target)) - math.log((raw.get(k, 0) + 1) / total(raw))
+    rows = quality_rules.scored(frame(spark, docs), labels).collect()
+    assert len(rows) == 63
+    for r, (_, t, *_) in zip(sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"])), sorted(docs, key=lambda d: (d[0] is None, d[0])), strict=True):
+        g = grams(t)
+        want = sum(weight(x % buckets) for x in g) / len(g) if g else 0.0
+        assert r["llr"] == pytest.approx(want, abs=1e-9) and r["kept"] == (not r["base_failed"] and want >= quality_rules.THRESHOLD)
+    assert {r["kept"] for r in rows} == {True, False}
+
+
 def auc(scores, truth):
     scores, truth = np.array(scores), np.array(truth)
     diff = scores[truth == 1][:, None] - scores[truth == 0][None]
     return ((diff > 0) + 0.5 * (diff == 0)).mean()
 
 
+def statistics_by_hand(text):
+    t, w = text or "", words(text)
+    lines = [x for x in t.split("\n") if x]
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda keep: sum(map(keep, t))
+    n = len(w)
+    return {
+        "log_words": math.log1p(n), "word_length": share(len(t) - n, n), "distinct_words": share(len(set(w)), n), "repeated_neighbours": share(sum(a == b for a, b in zip(w, w[1:], strict=False)), n),
+        "symbols_per_word": share(count(lambda c: c in "#*$%&|<>"), n), "bangs_per_word": share(count(lambda c: c == "!"), n), "upper_share": share(count(lambda c: unicodedata.category(c) == "Lu"), len(t)),
+        "digit_share": share(count(lambda c: c in "0123456789"), len(t)), "stops_per_word": share(count(lambda c: c in ".,;:?"), n), "words_per_line": share(n, len(lines)), "repeated_lines": share(len(lines) - len(set(lines)), len(lines)),
+    }
+
+
+def test_statistics_and_rules_by_hand(spark):
+    """Every statistic, and a score as a sum of rules, against plain Python."""
+    odd = ["The THE the! a|b #1 $22\n\nx\nx\n", "Ünï Éa 3.14, ok? yes; no: . !!", "z z z z\nz z", " \n ", *(r[1] for r in frame(spark).collect())]
+    rules = [(((0, "<=", 2.0), (6, ">", 0.05)), 1.5), (((3, ">", 0.2),), -2.25), (((10, ">", 0.0), (1, "<=", 4.0)), 0.75)]
+    df = texts(spark, *odd)
+    stats = rule_ensemble.statistics(df, "doc_id")
+    for r in stats.withColumn("score", rule_ensemble.score(-0.5, rules)).collect():
+        want = statistics_by_hand(odd[r["doc_id"]])
+        assert {k: r[k] for k in want} == pytest.approx(want) and set(want) == set(rule_ensemble.STATISTICS)
+        value = [want[s] for s in rule_ensemble.STATISTICS]
+        total = -0.5 + sum(w for rule, w in rules if all(value[f] <= v if sign == "<=" else value[f] > v for f, sign, v in rule))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_quality_classifier(spark, labels, known):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op2_quality_classifier"](spark, FOLDER).collect()}
     assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows.values())
@@ -146,8 +208,62 @@ def test_toxicity_of_cases(spark, labels):
     assert toxicity.marked(frame(spark, []), model).count() == 0
     none = toxicity.fitted(frame(spark), labels.limit(0))
     assert toxicity.marked(frame(spark), none).where("toxic or severity > 0").isEmpty()
-    with pytest.raises(ValueError):
-        toxicity.marked(toxicity.marked(frame(spark), model), model)
+    twice = toxicity.marked(toxicity.marked(frame(spark), model).withColumnRenamed("toxic", "Toxic"), model)
+    assert twice.columns == toxicity.marked(frame(spark), model).columns  # outputs replace columns of their names
+
+
+def ordinal_by_hand(x, grade, ridge=0.02):
+    """Weights and thresholds by plain gradient steps on the penalised likelihood, in ten times the steps."""
+    n, k, w, theta = len(x), max(grade), [0.0] * len(x[0]), [1.0 + j for j in range(max(grade))]
+    sig = lambda z: 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+    for _ in range(4000):
+        dw, dt = [-ridge * n / 100 * v for v in w], [0.0] * k
+        for row, g in zip(x, grade, strict=True):
+            eta = sum(a * b for a, b in zip(row, w, strict=True))
+            hi, lo = sig(theta[g] - eta) if g < k else 1.0, sig(theta[g - 1] - eta) if g else 0.0
+            p = max(hi - lo, 1e-12)
+            for j, d in ((g, hi * (1 - hi) / p), (g - 1, -lo * (1 - lo) / p)):
+                if 0 <= j < k:
+                    dt[j] += d
+                    for c, v in enumerate(row):
+                        dw[c] -= d * v
+        w, theta = [a + 0.6 * d / n for a, d in zip(w, dw, strict=True)], [a + 0.6 * d / n for a, d in zip(theta, dt, strict=True)]
+    return w, theta
+
+
+def test_toxicity_by_hand(spark):
+    """Tied terms, graded labels, weights, scores and the cutoff, all computed again in plain Python."""
+    grade = [0] * 60 + [1] * 12 + [2] * 8
+    rows = [(i, f"Xx{i % 4} the x² {prose(i, 6)} " + "awful " * (g if i not in (61, 62, 63, 75) else 0) + ("vile_2 " if g == 2 and i % 2 else "") + ("awful" if i % 9 == 7 and not g else ""), None, None, None) for i, g in enumerate(grade)]
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(grade)], "doc_id long, toxic int")
+    model = toxicity.fitted(frame(spark, rows), labels)
+    words_of = [[w for w in re.findall(r"[^\W\d_]+", t.lower())] for _, t, *_ in rows]
+    tied, n1, n0 = {}, 20, 60
+    for t in {w for ws in words_of for w in ws}:
+        a, b = (sum(t in ws for ws, g in zip(words_of, grade, strict=True) if (g > 0) == is_toxic) for is_toxic in (True, False))
+        cells = [(a, (a + b) * n1 / 80), (b, (a + b) * n0 / 80), (n1 - a, (80 - a - b) * n1 / 80), (n0 - b, (80 - a - b) * n0 / 80)]
+        if a + b >= 3 and a / n1 > b / n0 and 2 * sum(o * math.log(o / e) for o, e in cells if o) >= 3.2 * math.log(80):
+            tied[t] = a
+    assert sorted(model.weights) == sorted(tied) == ["awful"]
+    x = [[math.log1p(ws.count("awful"))] for ws in words_of]
+    w, theta = ordinal_by_hand(x, grade)
+    assert model.weights["awful"] == pytest.approx(w[0], rel=0.05) and model.thresholds == pytest.approx(theta, rel=0.05)
+    for r in toxicity.marked(frame(spark, rows), model).collect():
+        above = [1 / (1 + math.exp(t - model.weights["awful"] * x[r["doc_id"]][0])) for t in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(above)) and r["p_toxic"] == pytest.approx(above[0])
+        assert r["toxic"] == (x[r["doc_id"]][0] > 0)  # the cutoff with most hits less false alarms
+
+
+def test_grades_of_two_labels(spark):
+    """Toxic rows are cut in thirds by scores of models that never saw them."""
+    x = np.zeros((90, 2))
+    toxic = np.arange(90) % 3 == 0
+    x[toxic, 0] = 1 + np.arange(30) % 3
+    x[:, 1] = np.arange(90) % 2
+    fold = np.arange(90) // 3 % 5
+    grade = toxicity.cross_graded(toxicity.Features.of(x), toxic, fold)
+    assert set(grade[~toxic]) == {0} and set(grade[toxic]) == {1, 2, 3}
+    assert all((grade[toxic][x[toxic, 0] == k] <= k).all() and (grade[toxic][x[toxic, 0] == k] >= k - 1).all() for k in (1, 2, 3))
 
 
 def test_ordinal():
@@ -155,5 +271,5 @@ def test_ordinal():
     x = rng.normal(size=(1500, 3))
     latent = x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=1500)
     grade = np.searchsorted([-1.0, 0.5, 2.0], latent)
-    weights, thresholds = toxicity.ordinal(x, grade, 4, ridge=1e-4)
+    weights, thresholds = toxicity.ordinal(toxicity.Features.of(x), grade, 4, ridge=1e-4)
     assert np.allclose(weights, [2, -1, 0], atol=0.25) and np.allclose(thresholds, [-1, 0.5, 2], atol=0.25)

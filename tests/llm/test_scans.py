@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from helpers import frame, prose, texts
@@ -132,6 +133,24 @@ def test_new_notations(spark):
     assert found[-1] == "phone_ctx:12:20" and all(s.startswith("phone_ctx") for s in found[-len(more) :])
 
 
+def test_long_runs():
+    """Time grows with the text, not with its square."""
+    n = 10**6
+    for text in ("1" * n, "1." * (n // 2), "9.9.9." * (n // 6), "x" * n + " 7", "+" + "1 " * (n // 2), "a" * n + "@", "7" * n + "@b.c"):
+        began = time.process_time()
+        pii.candidates(text, pii.base_spans(text))
+        assert time.process_time() - began < 20, text[:9]
+
+
+def test_whole_words_before(spark):
+    """Words of any length before a candidate count whole: those that differ far from it are other patterns."""
+    long = "w" * 400
+    text = lambda head, k: f"{head}{long} at 10.1.{k}.7"
+    found = [pii.candidates(t, pii.base_spans(t))[0][0] for t in (text("a", 1), text("b", 1), text("a", 2))]
+    assert found[0] == found[2] != found[1] and len(found[0]) == 32 + len(" at")
+    assert pii.candidates("mail:x@y.org", pii.base_spans("mail:x@y.org"))[0][0] == "mail"
+
+
 @pytest.mark.parametrize("f", [secrets.scanned, pii.found])
 def test_cases(spark, f):
     assert f(frame(spark)).count() == 17 and f(frame(spark, [])).count() == 0

@@ -5,7 +5,7 @@ one slot per vocabulary entry, one probe, one comparison). Tier two merges the b
 heap over a linked list, O(n log n) in the pre-token's length. Texts are cut by the public pattern first.
 
 Null texts count as empty: no ids, empty bytes. Repeated texts give repeated results. Extra columns pass
-through; an output name that the input already has raises ValueError. An empty table gives an empty table.
+through; an input column with the name of an output gives way to it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 from triplespan.llm import common
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pre-tokens whose results a worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 400_000
+#: Characters of pre-tokens and their written ids that a worker remembers; beyond it the memory is emptied, results stay
+#: the same. Each entry counts for ENTRY characters more.
+REMEMBERED, ENTRY = 64 << 20, 160
 #: The public pattern with its classes written out for texts without characters above U+024F, where Python's
 #: own `re` is twice as fast.
 LATIN = re.compile(r"[^\0-\u024f]")
@@ -121,6 +122,7 @@ class Codec(dict):
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         super().__init__()
+        self.held = 0
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
@@ -134,9 +136,12 @@ class Codec(dict):
         raw = piece.encode()
         at = self.whole.slot(raw)
         ids = str(self.id_at[at]) if at >= 0 else " ".join(map(str, merged(raw, self.ranks)))
-        if len(self) >= REMEMBERED:
+        self.held += len(piece) + len(ids) + ENTRY
+        if self.held > REMEMBERED:
             self.clear()
-        self[piece] = ids
+            self.held = len(piece) + len(ids) + ENTRY
+        if self.held <= REMEMBERED:
+            self[piece] = ids
         return ids
 
     def pieces(self, text: str) -> list[str]:
@@ -169,13 +174,12 @@ def codec(path: str = VOCABULARY) -> Codec:
 
 
 def _extended(df: DataFrame, new: list[tuple[str, T.DataType]]) -> T.StructType:
-    if clash := {n.lower() for n, _ in new} & {c.lower() for c in df.columns}:
-        raise ValueError(f"the input already has {sorted(clash)}")
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in new)])
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str = VOCABULARY) -> DataFrame:
     """Adds the token ids of column `text` as array<int>."""
+    df = common.giving_way(df, [ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -188,6 +192,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
     """Adds the bytes that the ids in column `ids` stand for (null: empty). An unknown id fails the job."""
+    df = common.giving_way(df, [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -199,6 +204,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: st
 
 def encoded_with_digest(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """Adds n_tokens, token_ids and decoded_sha256, the SHA-256 of the bytes that the ids stand for."""
+    df = common.giving_way(df, ["n_tokens", "token_ids", "decoded_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +56,12 @@ def removed(spark: SparkSession, *paths: str) -> None:
 
 
 #: A side of at most this many bytes, as counted, is broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
-def if_small(ids: DataFrame) -> DataFrame:
-    """A table of id columns, marked for broadcast only if its count proves it small."""
-    return F.broadcast(ids) if 16 * len(ids.columns) * ids.count() <= BROADCAST_BYTES else ids
+def if_small(table: DataFrame, row_bytes: int | None = None) -> DataFrame:
+    """A table of numbers, or of `row_bytes` a row, marked for broadcast only if its count proves it small."""
+    return F.broadcast(table) if (row_bytes or 16 * len(table.columns)) * table.count() <= BROADCAST_BYTES else table
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -73,6 +74,21 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(if_small(ids.select(key)), key, "left_semi").select(*docs.columns)
 
 
+def giving_way(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """`df` without the columns that have one of `names`, which an operator is about to add."""
+    new = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in new))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores before it as make it one that `df` does not have."""
+    old = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in old for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def words(text: Column) -> Column:
     """Array of the text's words; empty for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

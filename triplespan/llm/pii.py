@@ -2,7 +2,8 @@ r"""Operator 9: personal data by base patterns and bootstrapped contextual extra
 
 Base kinds are email, ip, card and phone. The method starts from base spans as seed entities. A candidate is a token
 with a digit, an @ or a bracketed at, a run of such numbers, or an address spelled over several tokens; its pattern is
-the two words before it, lower-cased and stripped of punctuation. It may be of every kind whose loose test it passes
+the two words before it, lower-cased and stripped of punctuation (of the word that it is a part of, what follows the span
+before). It may be of every kind whose loose test it passes
 (`may_be`), in whatever notation. Spark scores the bipartite graph of patterns and instances for each kind: a pattern's
 score is the smoothed share of known entities of that kind among its instances that may be of it. Patterns with a score
 of `SURE` and at least `SUPPORT` distinct known instances make their other instances known for the next of `ROUNDS`
@@ -18,6 +19,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,8 @@ from triplespan.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match starts where a run of digits starts, so others are not tried.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGNS = re.compile(r"[0-9@]|[\[({<](?i:at)[\])}>]")
@@ -40,6 +43,8 @@ NUMBER = re.compile(r"[(+]{0,3}+[0-9](?:[0-9()+/-]|\.(?=[0-9]))*+(?![\w@])")
 NUMBERS = re.compile(rf"(?<![\w.+@/-]){NUMBER.pattern}(?:\x20(?:[/.-]\x20)?{NUMBER.pattern})++")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 ROUNDS, SURE, SUPPORT = 2, 0.8, 5
+#: Words of more characters are known by their MD5.
+LONG = 100
 
 
 def luhn(digits: str) -> bool:
@@ -138,11 +143,20 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, s
             if kinds:
                 at = a + t[0].index(core)
                 taken.append((at, at + len(core), kinds))
-    out = []
-    for a, b, k, kinds in [(a, b, k, sorted({k, *may_be(text[a:b])})) for a, k, b in base] + [(a, b, -1, kinds) for a, b, kinds in taken]:
-        before = text[max(0, a - 60) : a].split()[-2:]
-        words = " ".join(w.lower().strip(".,;:!?()[]{}\"'<>|=") for w in before)
-        out.append((words, text[a:b], k, a, b, kinds))
+    every = sorted([(a, b, k, sorted({k, *may_be(text[a:b])})) for a, k, b in base] + [(a, b, -1, kinds) for a, b, kinds in taken])
+    tokens = [m.span() for m in TOKEN.finditer(text)] if every else []
+    first, last, out = [a for a, _ in tokens], 0, []
+
+    @lru_cache(maxsize=4)
+    def word(start: int, end: int) -> str:
+        w = text[start:end].lower().strip(".,;:!?()[]{}\"'<>|=")
+        return w if len(w) <= LONG else hashlib.md5(w.encode()).hexdigest()
+
+    for a, b, k, kinds in every:
+        i = bisect.bisect_left(first, a)
+        before = [(s, e) if e <= a else (max(s, min(a, last)), a) for s, e in tokens[max(0, i - 2) : i]]
+        out.append((" ".join(word(s, e) for s, e in before), text[a:b], k, a, b, kinds))
+        last = max(last, b)
     return out
 
 
