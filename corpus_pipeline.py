@@ -2,8 +2,8 @@
 
 Documents with the columns doc_id, text, lang, source and n_chars go in; all stages but the last return them.
 Rows that share a doc_id count as one document and stay or go together. Null texts are never toxic, link with
-nothing, hold no secret, and have size 0, so the mix takes them 0 to 3 times like others of their source. An empty table
-gives an empty result.
+nothing, hold no secret, and have size 0, so the mix takes them 0 to 3 times like others of their source. Extra columns,
+whatever their names, stay until the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from triplespan.llm import bpe, common, jaccard_join, mixing, secrets, toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the ordinal model rejects go."""
     model = toxicity.fitted(docs, common.labels(spark, sf_dir))
-    return toxicity.marked(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    names = common.unused(docs, "severity", "p_toxic", "toxic")
+    return toxicity.marked(docs, model, names=names).where(~F.col(names[2])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: each document as many times as the mix takes it."""
-    taken = mixing.mixed(docs).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    *names, copy = common.unused(docs, "size", "source_size", "target", "copies", "copy")
+    taken = mixing.mixed(docs, names=names).where(F.col(names[3]) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(names[3]).cast("int"))).alias(copy)).drop(copy)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
