@@ -149,6 +149,31 @@ def test_copies_beyond_broadcast(spark, monkeypatch):
     assert found == small == [(i, n, n - len(kept), " ".join(kept)) for i, (kept, n) in sorted(without_repeats(rows).items())]
 
 
+def test_index_across_sessions(spark, tmp_path):
+    """Batches that sessions add one after another bring the hits that one index over all of them brings; compaction and
+    opening again change nothing, and history is not shuffled."""
+    shared = [prose(k, 40) for k in range(5)]
+    rows = [(i, f"{prose(50 + i, 15)} {shared[i % 5] if i % 3 else ''} {prose(90 + i, 8)}") for i in range(40)]
+    batch = lambda a, b: frame(spark, [(i, t, None, None, None) for i, t in rows[a:b]])
+    hits = lambda df: {(r["doc_id"], r["anchor"]) for r in df.collect()}
+    path, got = str(tmp_path / "index"), set()
+    for k, (a, b) in enumerate([(0, 10), (10, 20), (20, 30), (30, 40)]):
+        session = spark.newSession() if k % 2 else spark
+        session.conf.set("spark.sql.shuffle.partitions", "8" if k % 2 == 0 else "5")
+        index = substring_dedup.FingerprintIndex(session, path, most_runs=2)
+        assert index.buckets == 8
+        got |= hits(index.add(session.createDataFrame(batch(a, b).collect(), "doc_id long, text string, lang string, source string, n_chars long")))
+        assert len(index.runs()) == (1 if k in (2,) else k + 1 if k < 2 else 2)
+    index = substring_dedup.FingerprintIndex(spark, path)
+    index.compact()
+    assert len(index.runs()) == 1 and got == hits(substring_dedup.FingerprintIndex(spark).add(batch(0, 40)))
+    one, two = index.run(index.runs()[0]), index._store(index.run(index.runs()[0]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = one.join(two.withColumnRenamed("first", "f"), "anchor")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_passage_cases(spark):
     found = substring_dedup.deduplicated(frame(spark)).collect()
     by_id = {r["doc_id"]: r for r in found}

@@ -3,8 +3,8 @@
 A window is 13 consecutive words of one document; words are taken unchanged. Its fingerprint in the index is its
 anchor: the least hash of its 6-word shingles. Equal windows have equal anchors, and neighbouring windows mostly share
 one, so the index holds about a fifth as many rows as there are words. `FingerprintIndex` keeps sorted immutable runs
-(anchor, first, last document); each new batch is merge-joined with the runs, becomes a run itself, and runs are
-compacted to one when there are more than `MOST_RUNS`. What comes out are hits: documents and the anchors that they
+(anchor, first, last document) below a path; each new batch is merge-joined with the runs, becomes a run itself, and runs
+are compacted to one when there are more than `MOST_RUNS`. A later session can open the path and add the next batch. What comes out are hits: documents and the anchors that they
 share with another one.
 
 Hits are then verified. Only windows on shared anchors are compared, by 128 bits of two independent hashes of their
@@ -19,6 +19,7 @@ result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,50 +62,69 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, first, last), as Parquet tables in the shared folder.
+    """Sorted immutable runs of (anchor, first, last) below a path, which another session can open again.
 
-    Batches must come in ascending order of doc_id. first and last are the smallest and largest document with an
-    anchor; they tell whether it is shared, and compaction loses nothing that a later batch needs.
+    first and last are the smallest and largest document with an anchor; they tell whether it is shared, and compaction
+    loses nothing that a later batch needs. A run is a Parquet table in buckets by anchor, each sorted, so that a batch
+    is merge-joined with history without moving it. All runs of an index have as many buckets as the session that made it
+    has shuffle partitions: the grouping of a batch then leaves each bucket in one task. A run counts once it is whole; one
+    that a lost compaction leaves beside its sources does no harm. Batches must come in ascending order of doc_id.
     """
 
-    def __init__(self, most_runs: int = MOST_RUNS):
-        self.most_runs, self.runs = most_runs, []
-
-    def history(self) -> DataFrame | None:
-        """The runs merged: one row for each anchor."""
-        if not self.runs:
-            return None
-        rows = self.runs[0]
-        for r in self.runs[1:]:
-            rows = rows.union(r)
-        return rows.groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last")) if len(self.runs) > 1 else rows
+    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS):
+        self.spark, self.most_runs = spark, most_runs
+        self.path = path or f"{common.shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        found = self.runs()
+        self.buckets = int(found[0].rsplit("-", 2)[1]) if found else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(self) -> list[str]:
+        """Paths of the whole runs, run-<buckets>-<name>."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/run-*/_SUCCESS")
+        marks = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(m.getPath().getParent().toString() for m in marks or [])
+
+    def run(self, path: str) -> DataFrame:
+        """A run as a table that Spark knows to be bucketed."""
+        name = f"run_{hashlib.md5(path.encode()).hexdigest()}"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _store(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.path}/run-{self.buckets}-{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").format("parquet").option("path", path).saveAsTable(f"run_{uuid.uuid4().hex}")
+        return self.run(path)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Hits (doc_id, anchor, is_first) that the batch brings, of its own documents and of earlier ones whose anchors
         become shared."""
-        found = anchors(docs)
-        run = common.written(found.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).sortWithinPartitions("anchor"), "run")
-        past = self.history()
-        if past is None:
-            met = run.where("first < last").select("anchor", "first", F.lit(None).cast("long").alias("alone"))
-        else:
-            past = past.select("anchor", F.col("first").alias("past"), F.col("last").alias("past_last"))
-            alone = F.when(F.col("past") == F.col("past_last"), F.col("past"))
-            met = run.join(past, "anchor", "left").where("past is not null or first < last").select("anchor", F.coalesce("past", "first").alias("first"), alone.alias("alone"))
-            met = common.written(met, "met")
+        found, old = anchors(docs), self.runs()
+        run = self._store(found.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+        met, past, past_last = run, F.lit(None).cast("long"), F.lit(None).cast("long")
+        for k, path in enumerate(old):  # merge-joins of sorted buckets
+            met = met.join(self.run(path).select("anchor", F.col("first").alias(f"first{k}"), F.col("last").alias(f"last{k}")), "anchor", "left")
+            past, past_last = F.least(past, F.col(f"first{k}")), F.greatest(past_last, F.col(f"last{k}"))
+        met = met.select("anchor", "first", "last", past.alias("past"), past_last.alias("past_last")).where("past is not null or first < last")
+        alone = F.when(F.col("past") == F.col("past_last"), F.col("past"))
+        met = common.written(met.select("anchor", F.coalesce("past", "first").alias("first"), alone.alias("alone")), "met")
         mine = found.join(met, "anchor").select("doc_id", "anchor", (F.col("doc_id") == F.col("first")).alias("is_first"))
         theirs = met.where("alone is not null").select(F.col("alone").alias("doc_id"), "anchor", F.lit(True).alias("is_first"))
         hits = common.written(mine.union(theirs), "hits")
-        self.runs.append(run)
-        if len(self.runs) > self.most_runs:
+        if len(old) + 1 > self.most_runs:
             self.compact()
         return hits
 
     def compact(self) -> None:
-        """Merges all runs to one and deletes them."""
-        old = self.runs
-        self.runs = [common.written(self.history().sortWithinPartitions("anchor"), "run")]
-        common.removed(self.runs[0].sparkSession, *(f.rsplit("/", 1)[0] for r in old for f in r.inputFiles()[:1]))
+        """Merges all runs to one, bucket by bucket, and deletes them."""
+        old = self.runs()
+        if len(old) < 2:
+            return
+        rows = self.run(old[0])
+        for path in old[1:]:
+            other = self.run(path).toDF("anchor", "first_", "last_")
+            rows = rows.join(other, "anchor", "full").select("anchor", F.least("first", "first_").alias("first"), F.greatest("last", "last_").alias("last"))
+        self._store(rows)
+        common.removed(self.spark, *old)
 
 
 def windows_on(docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -145,7 +165,7 @@ def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     copies = common.written(texts.join(firsts, ["text_key", "second"]).where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
     small = 16 * copies.count() <= BROADCAST_BYTES
     rest = known.join(F.broadcast(copies) if small else copies, ["doc_id", "text_key"], "left_anti")
-    index, hits = FingerprintIndex(), None
+    index, hits = FingerprintIndex(docs.sparkSession), None
     lo, hi = known.agg(F.min("doc_id"), F.max("doc_id")).first()
     lo, hi = (0, -1) if lo is None else (lo, hi)
     step = max(1, -(-(hi - lo + 1) // batches))
@@ -156,7 +176,9 @@ def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     if hits is None:
         return whole
     found = windows_on(rest, hits)
+    # counted and written first, so that the join below can split a window of very many documents over tasks
     owners = found.groupBy("window", "verify").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "verify", "owner")
+    owners = common.written(owners, "owners")
     lost = found.where("later").join(owners, ["window", "verify"]).where("owner < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
