@@ -40,6 +40,11 @@ def lenient(counts: DataFrame) -> DataFrame:
     return counts.withColumn("fp", F.when(F.col("tp") > 0, F.lit(0)).otherwise(F.col("fp")).cast("long"))
 
 
+def fair_sets(truth: DataFrame, found: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Sets, where extra values only count against a key without any hit."""
+    return lenient(sets(truth, found, by, value))
+
+
 def sets(truth: DataFrame, found: DataFrame, by: list[str], value: str) -> DataFrame:
     """Counts per `by` on distinct values."""
     keys = [*by, value]
@@ -105,6 +110,65 @@ def step_names(steps: Column) -> Column:
     return F.flatten(F.transform(steps, lambda s: F.when(s["type"] == "Add", F.array_repeat(s["type"], F.greatest(F.size(s["chemicals"]), F.lit(1)))).otherwise(F.array(s["type"]))))
 
 
+# records of characterisation
+
+
+def _counts(tp: Column, fp: Column, fn: Column) -> Column:
+    return F.struct(*(F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in zip(COUNTS, (tp, fp, fn), strict=True)))
+
+
+def array_counts(truth: Column, found: Column) -> Column:
+    """Counts of distinct values of two arrays."""
+    t, f = (F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in (truth, found))
+    both = F.size(F.array_intersect(t, f))
+    return _counts(both, F.size(f) - both, F.size(t) - both)
+
+
+def text_counts(truth: Column, found: Column, missing_both: Column) -> Column:
+    """One value against another, empty for none: a hit if equal, or where both are missing."""
+    t, f = F.coalesce(truth, F.lit("")), F.coalesce(found, F.lit(""))
+    equal = (t == f) & (f != "")
+    return F.when(missing_both, _counts(F.lit(1), F.lit(0), F.lit(0))).otherwise(_counts(equal, (f != "") & ~equal, (t != "") & ~equal))
+
+
+def percent_counts(truth: Column, found: Column, missing_both: Column | None = None) -> Column:
+    """Maps of numbers, equal to two decimals; a wrong number is only missed, an element that the truth lacks is extra."""
+    t, f = (F.coalesce(c, F.create_map().cast("map<string,double>")) for c in (truth, found))
+    hits = F.size(F.filter(F.map_entries(t), lambda e: F.coalesce(F.bround(F.element_at(f, e["key"]), 2) == F.bround(e["value"], 2), F.lit(False))))
+    extra = F.size(F.array_except(F.map_keys(f), F.map_keys(t)))
+    counts = _counts(hits, extra, F.size(t) - hits)
+    return counts if missing_both is None else F.when(missing_both, _counts(F.lit(1), F.lit(0), F.lit(0))).otherwise(counts)
+
+
+def record_fields(both: DataFrame, key: list[str], names: str, texts: Iterable[str], percents: Iterable[str], missing: tuple[str, ...] = ("", "n/a", "na", "-")) -> DataFrame:
+    """(key, field, tp, fp, fn) of records with columns t_<field> and f_<field>: names as sets, texts as single values, percents
+    as maps beside their text <field>_raw. A value that is missing on both sides is a hit."""
+    absent = lambda n: F.lower(F.trim(F.coalesce(f"t_{n}", F.lit("")))).isin(*missing) & F.lower(F.trim(F.coalesce(f"f_{n}", F.lit("")))).isin(*missing)
+    parts = {names: array_counts(F.col(f"t_{names}"), F.col(f"f_{names}"))}
+    parts |= {n: text_counts(F.col(f"t_{n}"), F.col(f"f_{n}"), absent(n)) for n in texts}
+    parts |= {n: percent_counts(F.col(f"t_{n}"), F.col(f"f_{n}"), absent(f"{n}_raw")) for n in percents}
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("c")) for n, c in parts.items())))
+    return both.select(*key, rows.alias("r")).select(*key, "r.field", *(F.col(f"r.c.{c}").alias(c) for c in COUNTS))
+
+
+def record_scores(truth: DataFrame, found: DataFrame, key: str, names: str, texts: Iterable[str]) -> DataFrame:
+    """Counts a key of records (key, names, texts): the key itself, names without false positives (none on both sides is a
+    hit), and each text, where none on both sides is a hit too and a wrong one counts twice."""
+    texts = list(texts)
+    side = lambda df, m: df.select(key, F.lit(1).alias(f"in_{m}"), F.col(names).alias(f"{m}_{names}"), *(F.nullif(F.col(c).cast("string"), F.lit("")).alias(f"{m}_{c}") for c in texts))
+    both = side(truth, "t").join(side(found, "f"), key, "full")
+    in_t, in_f = F.col("in_t").isNotNull(), F.col("in_f").isNotNull()
+    of_names = array_counts(F.col(f"t_{names}"), F.col(f"f_{names}"))
+    nothing = (F.coalesce(F.size(f"t_{names}"), F.lit(0)) <= 0) & (F.coalesce(F.size(f"f_{names}"), F.lit(0)) <= 0)
+    parts = [_counts(in_t & in_f, ~in_t, ~in_f), F.when(nothing, _counts(F.lit(1), F.lit(0), F.lit(0))).otherwise(_counts(of_names["tp"], F.lit(0), of_names["fn"]))]
+    for c in texts:
+        t, f = F.col(f"t_{c}"), F.col(f"f_{c}")
+        same = t.eqNullSafe(f)
+        parts.append(_counts(same, ~same & f.isNotNull(), ~same & t.isNotNull()))
+    total = lambda c: F.aggregate(F.array(*parts), F.lit(0), lambda a, p: a + p[c]).cast("long").alias(c)
+    return both.select(key, *map(total, COUNTS))
+
+
 # greedy one-to-one matching
 
 
@@ -141,6 +205,130 @@ def unit_pairs(truth: DataFrame, found: DataFrame, by: str) -> DataFrame:
     return both.select(by, "t", "f", score.alias("score"), (shared["names"] + shared["formulas"]).alias("overlap"))
 
 
+def formula_pairs(truth: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """(by, t, f, score, overlap) of procedures (i, ccdc, formula1, formula2) of one document that share a formula: 20 for the
+    same deposit number, 10 a shared formula, 5 for each formula that is equal in its own place."""
+    side = lambda df, m: df.select(by, F.col("i").alias(m), *(F.coalesce(c, F.lit("")).alias(f"{m}_{c}") for c in ("ccdc", "formula1", "formula2")), formulas_of("formula1", "formula2").alias(f"{m}_set"))
+    both = side(truth, "t").join(side(found, "f"), by)
+    equal = lambda c, n: F.when((F.col(f"t_{c}") == F.col(f"f_{c}")) & (F.col(f"t_{c}") != ""), n).otherwise(0)
+    overlap = F.size(F.array_intersect("t_set", "f_set"))
+    score = equal("ccdc", 20) + 10 * overlap + equal("formula1", 5) + equal("formula2", 5)
+    return both.where(overlap > 0).select(by, "t", "f", score.alias("score"), overlap.alias("overlap"))
+
+
+def formulas_of(*columns: str) -> Column:
+    return F.array_distinct(F.filter(F.array(*map(F.col, columns)), lambda x: F.length(x) > 0))
+
+
+def matched_counts(truth: DataFrame, found: DataFrame, matches: DataFrame, by: str, values: Column) -> DataFrame:
+    """Counts per `by` of the sets of matched procedures, and of all values of those without a match."""
+    t = truth.select(by, F.col("i").alias("t"), values.alias("t_set"))
+    f = found.select(by, F.col("i").alias("f"), values.alias("f_set"))
+    both = t.join(matches.select(by, "t", "f"), [by, "t"], "left").join(f, [by, "f"], "full")
+    counts = array_counts(F.col("t_set"), F.col("f_set"))
+    return _sums(both, [by], **{c: counts[c] for c in COUNTS})
+
+
+# steps of syntheses
+
+
+def field_counts(t: dict, f: dict) -> tuple[int, int, int]:
+    """Fields (name to text, or to a list of names) of two steps: a field that differs counts twice, one that a side lacks
+    once; extra names in a list are no error."""
+    tp = fp = fn = 0
+    for name in t.keys() | f.keys():
+        a, b = t.get(name), f.get(name)
+        if isinstance(a, list) or isinstance(b, list):
+            x, y = set(a or ()), set(b or ())
+            tp += len(x & y) if x or y else 1
+            fn += len(x - y)
+        elif a == b:
+            tp += 1
+        else:
+            fp += b is not None
+            fn += a is not None
+    return tp, fp, fn
+
+
+def _same_product(a: list[str], b: list[str], shortest: int = 5) -> bool:
+    return any(x == y or (min(len(x), len(y)) >= shortest and (x in y or y in x)) for x in a for y in b)
+
+
+def _partner(synthesis: dict, others: dict[int, dict]) -> int | None:
+    """The first synthesis left with a name in common, else the first with the same deposit number."""
+    by_name = [i for i, o in others.items() if _same_product(synthesis["names"], o["names"])]
+    by_number = [i for i, o in others.items() if synthesis["ccdc"] and synthesis["ccdc"] == o["ccdc"]]
+    return next(iter(by_name + by_number), None)
+
+
+def step_counts(truth: list[dict], found: list[dict], chemicals: str = "chemicals", in_order: bool = True) -> tuple[int, int, int]:
+    """Counts of one document's syntheses (names, ccdc, steps of (type, fields)). Each true synthesis takes its partner among
+    those left. An Add step takes the Add step left that shares most chemicals; others take the first step left from
+    the place on that the number of steps taken so far names, or, without `in_order`, the step of their type with most equal fields. What is left on either side counts whole."""
+    total = [0, 0, 0]
+
+    def add(counts: tuple[int, int, int], use=(True, True, True)) -> None:
+        for k in range(3):
+            total[k] += counts[k] if use[k] else 0
+
+    missed, extra = (False, False, True), (False, True, False)
+    left = dict(enumerate(found))
+    for synthesis in truth:
+        partner = _partner(synthesis, left)
+        steps = dict(enumerate(left.pop(partner)["steps"])) if partner is not None else {}
+        n_steps = len(steps)
+        for kind, fields in synthesis["steps"]:
+            same_kind = [i for i, (k, _) in steps.items() if k.lower() == kind.lower()]
+            if kind == "Add":
+                mine = set(fields.get(chemicals) or ())
+                shared = {i: len(mine & set(steps[i][1].get(chemicals) or ())) for i in same_kind}
+                pick = max((i for i in shared if shared[i]), key=lambda i: (shared[i], -i), default=None)
+            elif in_order:
+                pick = min((i for i in steps if i >= n_steps - len(steps)), default=None)
+            else:
+                pick = max(same_kind, key=lambda i: (field_counts(fields, steps[i][1])[0], -i), default=None)
+            if pick is None:
+                add(field_counts(fields, {}), missed)
+                continue
+            other_kind, other = steps.pop(pick)
+            if other_kind.lower() == kind.lower():
+                add(field_counts(fields, other))
+            else:
+                add(field_counts(fields, {}), missed)
+                add(field_counts({}, other), extra)
+        for _, other in steps.values():
+            add(field_counts({}, other), extra)
+    for synthesis in left.values():
+        for _, other in synthesis["steps"]:
+            add(field_counts({}, other), extra)
+    return tuple(total)
+
+
+def step_scores(truth: DataFrame, found: DataFrame, by: str, in_order: bool = True) -> DataFrame:
+    """(by, tp, fp, fn) of syntheses (by, i, names, ccdc, steps), steps being arrays of (type, chemicals, fields as a map).
+
+    Matching one document is sequential, so `by` should name documents; their syntheses meet in one row of arrays."""
+
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("i", "names", F.coalesce("ccdc", F.lit("")).alias("ccdc"), "steps"))).alias(name))
+
+    def syntheses(rows) -> list[dict]:
+        step = lambda s: (s["type"], {e["key"]: e["value"] for e in s["fields"]} | ({"chemicals": list(s["chemicals"])} if s["chemicals"] is not None else {}))
+        rows = rows if rows is not None else []
+        return [{"names": list(r["names"] if r["names"] is not None else []), "ccdc": r["ccdc"], "steps": [step(s) for s in (r["steps"] if r["steps"] is not None else [])]} for r in rows]
+
+    def run(batches):
+        for batch in batches:
+            counts = [step_counts(syntheses(t), syntheses(f), in_order=in_order) for t, f in zip(batch["t"], batch["f"], strict=True)]
+            yield pd.DataFrame({by: batch[by], **{n: [c[k] for c in counts] for k, n in enumerate(COUNTS)}})
+
+    # maps cannot be sorted in arrays; entries can
+    plain = lambda df: df.withColumn("steps", F.transform("steps", lambda s: F.struct(s["type"].alias("type"), s["chemicals"].alias("chemicals"), F.map_entries(s["fields"]).alias("fields"))))
+    both = gathered(plain(truth), "t").join(gathered(plain(found), "f"), by, "full")
+    key = next(f for f in both.schema.fields if f.name == by)
+    return both.mapInPandas(run, f"{by} {key.dataType.simpleString()}, tp long, fp long, fn long")
+
+
 def near_numbers(truth: DataFrame, found: DataFrame, by: str, value: str, tolerance: float = 3) -> DataFrame:
     """Pairs of numbers at most `tolerance` apart: an equi-join on cells of that width and their neighbours, then the test."""
     cell = F.floor(F.col(value) / tolerance)
