@@ -54,9 +54,9 @@ def union_roles(g: MappedGraph) -> DataFrame:
     return either(of("ex:Customer", "customer"), of("ex:Supplier", "supplier"), nations).select("role", "label", "region")
 
 
-@on_graph("""SELECT 'http://example.org/LineItem/' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS item, x AS target FROM lineitem, LATERAL (SELECT 'http://example.org/Part/' || l_partkey AS x UNION ALL SELECT 'http://example.org/Supplier/' || l_suppkey) WHERE l_linenumber = 1""")
+@on_graph("""SELECT 'http://example.org/LineItem/' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS item, x AS target FROM lineitem, LATERAL (SELECT 'http://example.org/Part/' || l_partkey AS x UNION ALL SELECT 'http://example.org/Supplier/' || l_suppkey)""")
 def alternative_predicates(g: MappedGraph) -> DataFrame:
-    return g.match("?item", ["ex:ofPart", "ex:bySupplier"], "?target").where(F.col("item").endswith("-1"))
+    return g.match("?item", ["ex:ofPart", "ex:bySupplier"], "?target")
 
 
 @on_graph("""SELECT c_name AS customer, CAST(o_orderkey AS VARCHAR) AS urgent FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT'""")
@@ -190,28 +190,41 @@ def class_histogram(g: MappedGraph) -> DataFrame:
     return graphs.class_histogram(g.rows([TYPE], [("?s", "a", "?o")], 0))
 
 
-@on_graph("""SELECT 'http://example.org/Document' AS class, 'http://example.org/' || p AS p, n FROM (SELECT 'language' AS p, count(lang) AS n FROM documents UNION ALL SELECT 'origin', count(source) FROM documents UNION ALL SELECT 'length', count(n_chars) FROM documents
-UNION ALL SELECT 'quality', count(quality) FROM labels UNION ALL SELECT 'toxic', count(toxic) FROM labels) UNION ALL SELECT 'http://example.org/Nation', 'http://www.w3.org/2000/01/rdf-schema#label', count(n_name) FROM nation UNION ALL SELECT 'http://example.org/Nation', 'http://example.org/inRegion', count(*) FROM nation""")
+#: All triples of the star schema as one relation x (s, p, o, k).
+TRIPLES = f"""WITH x AS (SELECT * FROM (
+SELECT '{BASE}Region/' || r_regionkey AS s, v.* FROM region, LATERAL (VALUES ('{TYPE}', '{BASE}Region', 'iri'), ('{LABEL}', CAST(r_name AS VARCHAR), 'lit')) v(p, o, k)
+UNION ALL SELECT '{BASE}Nation/' || n_nationkey AS s, v.* FROM nation, LATERAL (VALUES ('{TYPE}', '{BASE}Nation', 'iri'), ('{LABEL}', CAST(n_name AS VARCHAR), 'lit'), ('{BASE}inRegion', '{BASE}Region/' || n_regionkey, 'iri')) v(p, o, k)
+UNION ALL SELECT '{BASE}Customer/' || c_custkey AS s, v.* FROM customer, LATERAL (VALUES ('{TYPE}', '{BASE}Customer', 'iri'), ('{LABEL}', CAST(c_name AS VARCHAR), 'lit'), ('{BASE}balance', CAST(c_acctbal AS VARCHAR), 'lit'), ('{BASE}segment', CAST(c_mktsegment AS VARCHAR), 'lit'), ('{BASE}inNation', '{BASE}Nation/' || c_nationkey, 'iri')) v(p, o, k)
+UNION ALL SELECT '{BASE}Supplier/' || s_suppkey AS s, v.* FROM supplier, LATERAL (VALUES ('{TYPE}', '{BASE}Supplier', 'iri'), ('{LABEL}', CAST(s_name AS VARCHAR), 'lit'), ('{BASE}balance', CAST(s_acctbal AS VARCHAR), 'lit'), ('{BASE}inNation', '{BASE}Nation/' || s_nationkey, 'iri')) v(p, o, k)
+UNION ALL SELECT '{BASE}Part/' || p_partkey AS s, v.* FROM part, LATERAL (VALUES ('{TYPE}', '{BASE}Part', 'iri'), ('{LABEL}', CAST(p_name AS VARCHAR), 'lit'), ('{BASE}brand', CAST(p_brand AS VARCHAR), 'lit'), ('{BASE}kind', CAST(p_type AS VARCHAR), 'lit'), ('{BASE}size', CAST(p_size AS VARCHAR), 'lit'), ('{BASE}price', CAST(p_retailprice AS VARCHAR), 'lit')) v(p, o, k)
+UNION ALL SELECT '{BASE}Order/' || o_orderkey AS s, v.* FROM orders, LATERAL (VALUES ('{TYPE}', '{BASE}Order', 'iri'), ('{BASE}status', CAST(o_orderstatus AS VARCHAR), 'lit'), ('{BASE}total', CAST(o_totalprice AS VARCHAR), 'lit'), ('{BASE}priority', CAST(o_orderpriority AS VARCHAR), 'lit'), ('{BASE}placedBy', '{BASE}Customer/' || o_custkey, 'iri')) v(p, o, k)
+UNION ALL SELECT '{BASE}LineItem/' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS s, v.* FROM lineitem, LATERAL (VALUES ('{TYPE}', '{BASE}LineItem', 'iri'), ('{BASE}quantity', CAST(l_quantity AS VARCHAR), 'lit'), ('{BASE}discount', CAST(l_discount AS VARCHAR), 'lit'), ('{BASE}flag', CAST(l_returnflag AS VARCHAR), 'lit'), ('{BASE}ofOrder', '{BASE}Order/' || l_orderkey, 'iri'), ('{BASE}ofPart', '{BASE}Part/' || l_partkey, 'iri'), ('{BASE}bySupplier', '{BASE}Supplier/' || l_suppkey, 'iri')) v(p, o, k)
+UNION ALL SELECT '{BASE}Document/' || doc_id AS s, v.* FROM documents, LATERAL (VALUES ('{TYPE}', '{BASE}Document', 'iri'), ('{BASE}language', CAST(lang AS VARCHAR), 'lit'), ('{BASE}origin', CAST(source AS VARCHAR), 'lit'), ('{BASE}length', CAST(n_chars AS VARCHAR), 'lit')) v(p, o, k)
+UNION ALL SELECT '{BASE}Document/' || doc_id AS s, v.* FROM labels, LATERAL (VALUES ('{BASE}quality', CAST(quality AS VARCHAR), 'lit'), ('{BASE}toxic', CAST(toxic AS VARCHAR), 'lit')) v(p, o, k)
+) WHERE s IS NOT NULL AND o IS NOT NULL)
+"""  # noqa: S608
+
+
+@on_graph(TRIPLES + f"SELECT c.o AS class, x.p, count(*) AS n FROM x JOIN x c ON c.s = x.s AND c.p = '{TYPE}' WHERE x.p <> '{TYPE}' GROUP BY 1, 2")
 def predicate_usage(g: MappedGraph) -> DataFrame:
-    part = MappedGraph(g.spark, g.folder, [e for e in g.entities if e.name in ("Document", "Nation")])
-    return graphs.predicate_usage(part.triples)
+    return graphs.predicate_usage(g.triples)
 
 
-@on_graph("""SELECT 'http://example.org/Nation' AS class, min('http://example.org/Nation/' || n_nationkey) AS s FROM nation UNION ALL SELECT 'http://example.org/Part', min('http://example.org/Part/' || p_partkey) FROM part""")
+@on_graph(TRIPLES + f"SELECT o AS class, min(s) AS s FROM x WHERE p = '{TYPE}' GROUP BY o")
 def sample_per_class(g: MappedGraph) -> DataFrame:
-    return graphs.class_samples(MappedGraph(g.spark, g.folder, [e for e in g.entities if e.name in ("Nation", "Part")]).triples)
+    return graphs.class_samples(g.triples)
 
 
-@on_graph()
+@on_graph(TRIPLES + f""", c AS (SELECT min(s) AS centre FROM x WHERE p = '{TYPE}' GROUP BY o),
+h AS (SELECT centre, x.* FROM c JOIN x ON s = centre UNION SELECT centre, x.* FROM c JOIN x ON o = centre AND k = 'iri'), n AS (SELECT centre, s AS node FROM h UNION SELECT centre, o FROM h WHERE k = 'iri')
+SELECT centre, s, p, o FROM h UNION SELECT centre, s, p, o FROM n JOIN x ON s = node UNION SELECT centre, s, p, o FROM n JOIN x ON o = node AND k = 'iri'""")
 def sample_neighbourhood(g: MappedGraph) -> DataFrame:
-    part = MappedGraph(g.spark, g.folder, [e for e in g.entities if e.name in ("Region", "Nation", "Supplier")])
-    return graphs.neighbourhood(part.triples, graphs.class_samples(part.triples))
+    return graphs.neighbourhood(g.triples, graphs.class_samples(g.triples)).select("centre", "s", "p", "o")
 
 
-@on_graph("""SELECT 'http://example.org/Region/' || r_regionkey AS s, 2 AS n_facts, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS first_p FROM region""")
+@on_graph(TRIPLES + "SELECT s, count(*) AS n_facts, arg_min(p, (p, o)) AS first_p FROM (SELECT DISTINCT s, p, o FROM x) GROUP BY s")
 def subject_dump(g: MappedGraph) -> DataFrame:
-    part = MappedGraph(g.spark, g.folder, [e for e in g.entities if e.name == "Region"])
-    return graphs.subject_dump(part.triples).select("s", F.size("facts").alias("n_facts"), F.get("facts", F.lit(0))["p"].alias("first_p"))
+    return graphs.subject_dump(g.triples).select("s", F.size("facts").alias("n_facts"), F.get("facts", F.lit(0))["p"].alias("first_p"))
 
 
 @on_graph("""SELECT 'http://example.org/Order/' || o_orderkey AS s, 'http://example.org/status' AS p, o_orderstatus AS o FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
@@ -221,12 +234,13 @@ def orphan_prune(g: MappedGraph) -> DataFrame:
     return graphs.without_orphans(triples).select("s", "p", "o")
 
 
-@on_graph("""SELECT 'http://example.org/Nation/' || n_nationkey AS s, p, CASE p WHEN 't' THEN 'http://example.org/Nation' WHEN 'l' THEN n_name ELSE 'http://example.org/Region/' || n_regionkey END AS o FROM nation, (VALUES ('t'), ('l'), ('r')) v(p)
-UNION ALL SELECT 'http://example.org/Region/' || r_regionkey, p, CASE p WHEN 't' THEN 'http://example.org/Region' ELSE r_name END FROM region, (VALUES ('t'), ('l')) v(p)""")
+LINKED = ("Nation", "Customer", "Order", "LineItem")
+
+
+@on_graph(TRIPLES + f""", n AS (SELECT DISTINCT s FROM x WHERE p = '{TYPE}' AND o IN ({', '.join(f"'{BASE}{c}'" for c in LINKED)}))
+SELECT DISTINCT s, p, o FROM x WHERE s IN (SELECT s FROM n) AND (p IN ('{TYPE}', '{LABEL}') OR k = 'iri' AND o IN (SELECT s FROM n))""")
 def link_subgraph(g: MappedGraph) -> DataFrame:
-    found = graphs.linked(MappedGraph(g.spark, g.folder, [e for e in g.entities if e.name in ("Region", "Nation", "Supplier")]).triples, [BASE + "Nation", BASE + "Region"])
-    short = F.when(F.col("p") == TYPE, "t").when(F.col("p") == LABEL, "l").otherwise("r")
-    return found.select("s", short.alias("p"), "o")
+    return graphs.linked(g.triples, [BASE + c for c in LINKED]).select("s", "p", "o")
 
 
 REGIONAL = """WITH m AS (SELECT n_nationkey AS k, 'http://example.org/Nation/' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS iri FROM nation)"""
@@ -300,6 +314,7 @@ def rendered_rows(g: MappedGraph) -> DataFrame:
     return key.select(F.concat(F.lit("Supplier#"), local_name("s")).alias("label"), F.lit("\t").alias("sep"), "line")
 
 
-@on_graph("""SELECT 'http://example.org/Region/' || r_regionkey AS s, r_name AS label FROM region""")
+@on_graph("""SELECT 'http://example.org/Customer/' || c_custkey AS s, c_name AS label FROM customer UNION ALL SELECT 'http://example.org/Order/' || o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders""")
 def labels_or_names(g: MappedGraph) -> DataFrame:
-    return graphs.labels_or_names(MappedGraph(g.spark, g.folder, [e for e in g.entities if e.name == "Region"]).triples, BASE + "Region")
+    """Customers have labels, orders have none."""
+    return graphs.labels_or_names(g.triples, BASE + "Customer").union(graphs.labels_or_names(g.triples, BASE + "Order"))

@@ -286,10 +286,10 @@ def bootstrap_test(table) -> DataFrame:
     return scoring.bootstrap(table("labels"), "quality", "toxic", draws=1000, centred=True)
 
 
-@on_tables("""SELECT l_suppkey AS part, a.l_quantity AS t, b.p_size::DOUBLE AS f FROM (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem WHERE l_linenumber = 7) a JOIN (SELECT DISTINCT p_partkey % 10 AS k, p_size FROM part) b ON l_suppkey = k AND abs(l_quantity - p_size) <= 3""")
+@on_tables("""SELECT DISTINCT l_partkey AS part, l_quantity AS t, p_size::DOUBLE AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE abs(l_quantity - p_size) <= 3""")
 def tolerance_match(table) -> DataFrame:
-    truth = table("lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("part"), F.col("l_quantity").alias("v")).distinct()
-    found = table("part").select((F.col("p_partkey") % 10).alias("part"), F.col("p_size").cast("double").alias("v")).distinct()
+    truth = table("lineitem").select(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("v")).distinct()
+    found = table("part").select(F.col("p_partkey").alias("part"), F.col("p_size").cast("double").alias("v")).distinct()
     return scoring.near_numbers(truth, found, "part", "v")
 
 
@@ -304,7 +304,12 @@ def presence_counts(table) -> DataFrame:
     return scoring.presence(table("orders"), ["o_orderstatus", "o_totalprice"])
 
 
-@on_tables()
+@on_tables("""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, f DESC, t DESC) AS n
+FROM (SELECT a.l_orderkey AS k, a.l_linenumber AS t, b.l_linenumber AS f, round(a.l_quantity * b.l_discount, 4) AS score FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey)),
+g AS (SELECT DISTINCT k, 0::BIGINT AS n, []::INT[] AS ts, []::INT[] AS fs, NULL::INT AS t, NULL::INT AS f, NULL::DOUBLE AS score FROM p
+UNION ALL SELECT k, n, CASE WHEN free THEN list_append(ts, t) ELSE ts END, CASE WHEN free THEN list_append(fs, f) ELSE fs END, CASE WHEN free THEN t END, CASE WHEN free THEN f END, score
+FROM (SELECT p.k, p.n, ts, fs, p.t, p.f, p.score, NOT list_contains(ts, p.t) AND NOT list_contains(fs, p.f) AS free FROM g JOIN p ON p.k = g.k AND p.n = g.n + 1))
+SELECT k, t, f, score FROM g WHERE t IS NOT NULL""")
 def greedy_matches(table) -> DataFrame:
     items = table("lineitem")
     t = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("t"), F.col("l_quantity").alias("a"))
