@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespan.operators import named
+from triplespan.operators import documents, named
 from triplespan.queries.registry import register
 from triplespan.sources.mapping import BASE, Entity, MappedGraph
 
@@ -230,3 +230,43 @@ FROM syn JOIN species ON c_custkey = o_custkey LEFT JOIN named m ON m.id = c_nat
     ("label_index", named.label_index, "SELECT 'syntheses' AS kind, label FROM syn UNION SELECT 'mops', label FROM mop UNION SELECT 'chemicals', c.label FROM input JOIN chemical c ON p_partkey = l_partkey WHERE c.label IS NOT NULL UNION SELECT 'ir_materials', m.label FROM material x JOIN named m ON m.id = x.m"),
 ):
     _register(_name, _query, _sql)
+
+
+# nested documents, their arrays written as texts
+
+
+def _listed(df: DataFrame, *arrays: str) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, "|") for c in arrays})
+
+
+NODE = "CAST(l_orderkey AS VARCHAR) || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber"
+HOT = f"CASE WHEN t_value IS NULL THEN {NODE} ELSE concat_ws(' ', t_value, t_unit) END"
+LONG = f"CASE WHEN d_value IS NULL THEN {NODE} ELSE concat_ws(' ', d_value, d_unit) END"
+MADE = f"""o AS (SELECT iri AS synthesis, 'output ' || o_orderkey AS name, coalesce(m.formula, 'N/A') AS formula, 'N/A' AS yield, coalesce(m.ccdc, 'N/A') AS ccdc FROM syn LEFT JOIN mop m ON m.id = {OUTPUT}
+UNION ALL SELECT iri, coalesce(sp.label, CAST(c_custkey AS VARCHAR)), 'N/A', 'N/A', coalesce(sp.ccdc, 'N/A') FROM syn JOIN species sp ON c_custkey = o_custkey WHERE o_orderstatus = 'F'),
+made AS (SELECT * FROM o WHERE ccdc <> 'N/A' OR synthesis NOT IN (SELECT synthesis FROM o WHERE ccdc <> 'N/A'))"""
+
+for _name, _query, _sql in (
+    ("document_step_order", documents.step_order, f"""SELECT '{BASE}syn/ChemicalSynthesis/' || l_orderkey AS synthesis, step, CASE WHEN l_tax > 0 THEN l_linenumber ELSE 0 END AS "stepNumber", lower(label) AS "stepLabel" FROM step"""),
+    ("document_step_type", documents.step_type, "SELECT step, kind AS type FROM step"),
+    ("document_step_fields", documents.step_fields, f"""SELECT step, CASE WHEN l_returnflag = 'A' THEN {HOT} END AS "targetTemperature", CASE WHEN l_returnflag = 'R' THEN {HOT} END AS "crystallizationTemperature",
+CASE WHEN l_linestatus = 'F' THEN {LONG} END AS duration, CASE WHEN l_discount = 0.01 THEN {HOT} END AS "heatingCoolingRate", CASE WHEN l_discount = 0.04 THEN {LONG} END AS "transferedAmount",
+CASE WHEN l_linenumber <> 7 THEN CASE WHEN s_acctbal > 1000 THEN s_name ELSE CAST(l_suppkey AS VARCHAR) END END AS "usedVesselName", CASE WHEN l_linestatus = 'O' THEN 'env ' || e.label END AS atmosphere,
+CASE WHEN l_discount = 0.07 THEN CAST(l_quantity AS VARCHAR) END AS "targetPH", CASE WHEN l_returnflag = 'A' THEN 'true' END AS stir, CASE WHEN l_discount > 0.05 THEN 'True' ELSE 'false' END AS "isLayered",
+CAST(NULL AS VARCHAR) AS "underVacuum", CASE WHEN l_returnflag = 'R' THEN 'true' END AS "sealedVessel", CASE WHEN l_linestatus = 'O' THEN 'true' END AS "vacuumFiltration",
+CASE WHEN l_linestatus = 'F' THEN 'true' ELSE CAST(l_linenumber AS VARCHAR) END AS repeated, CASE WHEN l_discount < 0.03 THEN 'true' ELSE 'false' END AS wait, CAST(NULL AS VARCHAR) AS comment
+FROM step LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN named e ON e.id = l_linenumber"""),
+    ("document_outputs", documents.outputs, f", {MADE} SELECT * FROM made"),
+    ("document_chemicals", lambda g: documents.chemicals_document(g).select("procedureName", F.coalesce(F.size("inputChemicals"), F.lit(-1)).alias("n_in"), F.array_join(F.transform("outputChemical", lambda o: F.concat(o["names"][0], F.lit(":"), o["CCDCNumber"])), "|").alias("made")),
+     f""", {MADE}, i AS (SELECT synthesis AS label, count(DISTINCT (coalesce(c.label, 'Unknown'), amount, formula, purity, supplier)) AS n_in FROM input JOIN chemical c ON p_partkey = l_partkey GROUP BY 1),
+m AS (SELECT synthesis, string_agg(name || ':' || ccdc, '|' ORDER BY name, formula) AS made FROM made GROUP BY 1) SELECT syn.label AS "procedureName", coalesce(n_in, -1) AS n_in, made FROM syn LEFT JOIN i USING (label) LEFT JOIN m ON m.synthesis = iri"""),
+    ("document_characterisation", lambda g: _listed(documents.characterisation_document(g), "productNames").select("synthesis", "species", "productNames", "productCCDCNumber", "InfraredSpectroscopy.*", "ElementalAnalysis.*"),
+     f"""SELECT iri AS synthesis, '{BASE}spe/Species/' || c_custkey AS species, coalesce(sp.label, '') AS "productNames", coalesce(sp.ccdc, 'N/A') AS "productCCDCNumber", CASE WHEN c_nationkey % 2 = 0 AND c_acctbal < 8000 THEN (1000 + c_nationkey) || ', ' || (2000 + c_nationkey) ELSE 'N/A' END AS bands,
+coalesce((SELECT string_agg(label, ' ; ' ORDER BY label) FROM (SELECT DISTINCT n.label FROM material x JOIN named n ON n.id = x.m WHERE x.c_custkey = sp.c_custkey AND sp.c_nationkey % 2 = 0)), 'N/A') AS material,
+CASE WHEN c_nationkey % 3 = 0 THEN 'C ' || c_nationkey ELSE 'N/A' END AS "weightPercentageCalculated", CASE WHEN c_nationkey % 3 = 0 AND c_acctbal > 0 THEN 'C ' || c_nationkey || '.1' ELSE 'N/A' END AS "weightPercentageExperimental"
+FROM syn JOIN species sp ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 2000"""),
+    ("document_units", lambda g: _listed(documents.units_document(g), "cbuSpeciesNames1", "cbuSpeciesNames2"),
+     """, u AS (SELECT ccdc, coalesce(cbu.formula, cbu.label, '') AS f, coalesce(cbu.label, '') AS n, row_number() OVER (PARTITION BY ccdc ORDER BY coalesce(cbu.formula, cbu.label), cbu.label) AS i FROM unit JOIN cbu ON u = cbu.id WHERE ccdc IS NOT NULL)
+SELECT ccdc AS "mopCCDCNumber", max(f) FILTER (i = 1) AS "cbuFormula1", max(n) FILTER (i = 1) AS "cbuSpeciesNames1", max(f) FILTER (i = 2) AS "cbuFormula2", max(n) FILTER (i = 2) AS "cbuSpeciesNames2" FROM u GROUP BY ccdc"""),
+):
+    _register(_name, _query, _sql)
