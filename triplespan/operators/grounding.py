@@ -53,7 +53,26 @@ SCORERS = {"ratio": lambda a, b: ratio(F.lower(a), F.lower(b)), "partial": lambd
 def possible(a: Column, b: Column, cutoff: float) -> Column:
     """Whether the lengths still allow a ratio of `cutoff`: an exact bound that stays in the JVM."""
     x, y = F.length(a), F.length(b)
-    return 2 * F.least(x, y) >= F.lit(cutoff) * (x + y)
+    return 2 * F.least(x, y) >= F.lit(cutoff) * (x + y) - SLACK
+
+
+#: For bounds in floating point.
+SLACK = 1e-9
+#: Buckets of a text's character counts.
+LETTERS = 32
+
+
+def letter_counts(c: Column) -> Column:
+    """How many characters fall in each bucket of their codes: an array of LETTERS numbers."""
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.pmod(F.ascii(x), F.lit(LETTERS)))
+    return F.transform(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda i: F.size(F.filter(codes, lambda x: x == i)))
+
+
+def may_share(a: Column, b: Column, lengths: Column, cutoff: float) -> Column:
+    """Whether the characters that two texts have in common, by their counts, still allow a ratio of `cutoff`: matching
+    blocks never hold more of a character than both texts have. An exact bound that stays in the JVM."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return 2 * both >= F.lit(cutoff) * lengths - SLACK
 
 
 #: Queries that are broadcast at a time.
@@ -70,9 +89,14 @@ def in_blocks(queries: DataFrame, candidates: DataFrame, condition: Column) -> D
 
 
 def compared(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, scorer: str = "ratio") -> DataFrame:
-    """Pairs of distinct queries (query) and candidates (label, ...) with a score of `cutoff` or more."""
-    lengths = possible(F.lower("query"), F.lower("label"), cutoff) if scorer == "ratio" else F.lit(True)
-    return in_blocks(queries.select("query"), candidates, lengths).withColumn("score", SCORERS[scorer](F.col("query"), F.col("label"))).where(F.col("score") >= cutoff)
+    """Pairs of distinct queries (query) and candidates (label, ...) with a score of `cutoff` or more. Lengths and counts of
+    characters, made once a text, keep most pairs from Python."""
+    condition, asked, known = F.lit(True), queries.select("query"), candidates
+    if scorer == "ratio":
+        asked = asked.withColumn("_q", letter_counts(F.lower("query")))
+        known = known.withColumn("_l", letter_counts(F.lower("label")))
+        condition = possible(F.lower("query"), F.lower("label"), cutoff) & may_share(F.col("_q"), F.col("_l"), F.length(F.lower("query")) + F.length(F.lower("label")), cutoff)
+    return in_blocks(asked, known, condition).drop("_q", "_l").withColumn("score", SCORERS[scorer](F.col("query"), F.col("label"))).where(F.col("score") >= cutoff)
 
 
 def fuzzy(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, limit: int = 10, scorer: str = "ratio") -> DataFrame:
@@ -120,7 +144,7 @@ def grounded(named: DataFrame, reference: DataFrame, cutoff: float = 0.6) -> Dat
 PREDICATES = 100_000
 
 
-def _renamed(triples: DataFrame, known: DataFrame, columns: str) -> DataFrame:
+def renamed(triples: DataFrame, known: DataFrame, columns: str) -> DataFrame:
     """Columns s, p and IRI o of `triples`, those named, by (_from, _to). There are few predicates, so `known` is cut to
     them and broadcast, as counted: a shuffle by predicate would send most triples to a few tasks."""
     for c in columns:
@@ -141,7 +165,7 @@ def _renamed(triples: DataFrame, known: DataFrame, columns: str) -> DataFrame:
 def replaced(triples: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rewrites subjects, predicates and IRI objects by (s, iri); what is not mapped stays. Equal triples become one."""
     known = mapping.where("iri is not null").select(F.col("s").alias("_from"), F.col("iri").alias("_to"))
-    return _renamed(triples, known, "spo").select(*COLUMNS).distinct()
+    return renamed(triples, known, "spo").select(*COLUMNS).distinct()
 
 
 def with_same_as(triples: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -161,7 +185,7 @@ def canonical(triples: DataFrame, rounds: int = 10) -> DataFrame:
         current = facts
         if mapping is not None:
             old = mapping.where("s <> iri").select(F.col("s").alias("_from"), F.col("iri").alias("_to"))
-            current = _renamed(current.join(old.select(F.col("_from").alias("s")), "s", "left_anti"), old, "po")
+            current = renamed(current.join(old.select(F.col("_from").alias("s")), "s", "left_anti"), old, "po")
         signed = current.groupBy("s").agg(F.sha2(F.to_json(F.sort_array(F.collect_set(F.struct("p", "o", "o_kind")))), 256).alias("digest"))
         least = signed.groupBy("digest").agg(F.min("s").alias("iri"), F.count("*").alias("n")).where("n > 1").select("digest", "iri")
         new = written(signed.join(least, "digest").where("s <> iri").select("s", "iri"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespan.operators import graphs, grounding
+from triplespan.operators import graphs, grounding, integration
 from triplespan.plans.patterns import LABEL, TYPE, ask, construct, either, exists, first_hit, joined, lit, local_name, not_exists, optional, ordered, page, rendered, with_parameters
 from triplespan.queries.registry import on_graph, on_tables
 from triplespan.sources.mapping import BASE, MappedGraph
@@ -222,6 +222,13 @@ def sample_neighbourhood(g: MappedGraph) -> DataFrame:
     return graphs.neighbourhood(g.triples, graphs.class_samples(g.triples)).select("centre", "s", "p", "o")
 
 
+@on_graph(TRIPLES + f""", c AS (SELECT o AS class, min(s) AS centre, count(*) AS n FROM x WHERE p = '{TYPE}' GROUP BY o),
+h AS (SELECT centre, x.* FROM c JOIN x ON s = centre UNION SELECT centre, x.* FROM c JOIN x ON o = centre AND k = 'iri')
+SELECT class, n, c.centre AS sample, (SELECT count(*) FROM h WHERE h.centre = c.centre) AS n_triples FROM c""")
+def class_report(g: MappedGraph) -> DataFrame:
+    return integration.class_report(g.triples, hops=1)
+
+
 @on_graph(TRIPLES + "SELECT s, count(*) AS n_facts, arg_min(p, (p, o)) AS first_p FROM (SELECT DISTINCT s, p, o FROM x) GROUP BY s")
 def subject_dump(g: MappedGraph) -> DataFrame:
     return graphs.subject_dump(g.triples).select("s", F.size("facts").alias("n_facts"), F.get("facts", F.lit(0))["p"].alias("first_p"))

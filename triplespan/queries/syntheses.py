@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespan.operators import documents, named
+from triplespan.operators import documents, integration, named
 from triplespan.queries.registry import register
 from triplespan.sources.mapping import BASE, Entity, MappedGraph
 
@@ -270,3 +270,18 @@ FROM syn JOIN species sp ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND
 SELECT ccdc AS "mopCCDCNumber", max(f) FILTER (i = 1) AS "cbuFormula1", max(n) FILTER (i = 1) AS "cbuSpeciesNames1", max(f) FILTER (i = 2) AS "cbuFormula2", max(n) FILTER (i = 2) AS "cbuSpeciesNames2" FROM u GROUP BY ccdc"""),
 ):
     _register(_name, _query, _sql)
+
+
+# summaries
+
+
+for _name, _query, _sql in (
+    ("device_summary", lambda g: integration.devices(g).select("kind", "device", F.coalesce("frequency", F.lit("")).alias("f")), f"""SELECT kind, arg_max(device, (species, node)) AS device, arg_max(CASE WHEN frequency IS NULL THEN '' ELSE frequency END, (species, node)) AS f FROM (
+SELECT DISTINCT '{BASE}spe/Species/' || c_custkey AS species, '{BASE}spe/Device/' || d AS node, kind, coalesce(s_name, 'N/A') AS device, CASE WHEN kind = 'HNMR' AND s_nationkey < 12 THEN (s_nationkey * 100) || ' MHz' END AS frequency
+FROM (SELECT c_custkey, c_acctbal, 'HNMR' AS kind, c_nationkey % 10 AS d FROM customer UNION ALL SELECT c_custkey, c_acctbal, 'ElementalAnalysis', c_nationkey % 7 FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT c_custkey, c_acctbal, 'InfraredSpectroscopy', c_nationkey % 8 FROM customer WHERE c_mktsegment = 'FURNITURE') JOIN (SELECT DISTINCT o_custkey FROM syn WHERE o_orderstatus = 'F') ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = d WHERE c_acctbal > 2000) GROUP BY kind"""),
+    ("species_summary", integration.species_summary, f"""SELECT '{BASE}spe/Species/' || c_custkey AS species, label, CASE WHEN c_nationkey <> 6 AND c_acctbal > 3000 THEN 'C' || c_nationkey END AS formula FROM species ORDER BY label NULLS LAST, 1 LIMIT 20"""),
+    ("corpus_counts", integration.corpus_counts, f"""SELECT (SELECT count(*) FROM orders) AS n_syntheses, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem)) AS n_steps, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_chemicals,
+(SELECT count(*) FROM customer) AS n_polyhedra, (SELECT count(*) FROM mop WHERE ccdc IS NOT NULL) AS n_deposited, (SELECT count(DISTINCT u) FROM unit) AS n_units, (SELECT count(*) FROM customer) AS n_species, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_documents"""),
+):
+    _register(_name, _query, _sql)
