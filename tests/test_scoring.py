@@ -1,9 +1,13 @@
 """Scores of records, units and steps on small cases worked out by hand."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from triplespan.operators import records, scoring
+from triplespan.functions import text
+from triplespan.operators import graphs, grounding, listing, records, scoring
+from triplespan.sources import tables
 
 
 def counts(df, *key):
@@ -61,3 +65,44 @@ def test_small_rules(spark):
     assert [r[0] for r in index.select(records.at_index(F.array(F.lit("a"), F.lit("b")), F.col("i"))).collect()] == [None, "a", "a", "b", None]
     with pytest.raises(ValueError):
         records.keyed(one, ["metal"], "title", "middle")
+
+
+def test_scoreboard(spark):
+    part = lambda *r: spark.createDataFrame(list(r), "doc string, tp int, fp int, fn int")
+    found = scoring.scoreboard({"a": part(("x", 1, 0, 1), ("y", 1, 1, 0), ("x", 1, 0, 0)), "b": part(("x", 0, 0, 0), ("z", 9, 9, 9))}, "doc", only=["x", "y"])
+    rows = {(r["category"], r["doc"]): (r["tp"], r["fp"], r["fn"], r["f1"]) for r in found.collect()}
+    assert rows == {("a", "x"): (2, 0, 1, 0.8), ("a", "y"): (1, 1, 0, pytest.approx(2 / 3)), ("b", "x"): (0, 0, 0, 0.0), ("a", "Overall"): (3, 1, 1, 0.75), ("b", "Overall"): (0, 0, 0, 0.0), (None, "Overall"): (3, 1, 1, 0.75)}
+    text = "| Document | TP | FP | FN | P |\n|---|---|---|---|---|\n| d1 | 3 | 1 | 0 | 0.7 |\n| **Overall** | 3 | 1 | 0 | 0.7 |\n"
+    got = listing.report_rows(spark.createDataFrame([("r", text)], "doc string, text string"))
+    assert sorted(map(tuple, got.collect())) == [("r", "Overall", 3, 1, 0), ("r", "d1", 3, 1, 0)]
+
+
+def test_normal_records(spark):
+    one = spark.createDataFrame([(([("Water", "5 Milliliters")], "Room Temperature", ""),)], "r struct<chemicals:array<struct<chemicalName:string,chemicalAmount:string>>,temperature:string,comment:string>")
+    r = one.select(records.normal_record(F.col("r"), one.schema["r"].dataType).alias("r")).first()["r"]
+    plain = spark.createDataFrame([("Water", "5 Milliliters", "Room Temperature")], "n string, a string, t string").select(text.substance(F.col("n")), text.normal_amount(F.col("a")), text.normal_value(F.col("t"))).first()
+    assert (r["chemicals"][0]["chemicalName"], r["chemicals"][0]["chemicalAmount"], r["temperature"], r["comment"]) == (*plain, "")
+    assert plain[0] == "h2o"
+
+
+def test_ontology(spark):
+    schema = "class string, parent string, property string, kind string, range string, least int, most int, exactly int"
+    rows = spark.createDataFrame([("c:A", None, "c:p", "datatype", "x:int", 1, 2, None), ("c:B", "c:A", "c:q", "object", "c:A", None, None, None)], schema)
+    found = {(r["s"].split(":")[-1][:1], r["p"].split("#")[-1], r["o"].split("#")[-1][:9]) for r in graphs.ontology(rows).collect()}
+    assert {("A", "type", "Class"), ("B", "subClassOf", "c:A"), ("p", "type", "DatatypeP"), ("q", "range", "c:A"), ("r", "minCardinality", "1"), ("r", "maxCardinality", "2"), ("r", "onProperty", "c:p")} <= found
+    assert graphs.ontology(rows).where("p like '%subClassOf' and o_kind = 'bnode'").count() == 1
+    with pytest.raises(Exception, match="an exact number and a bound"):
+        graphs.ontology(spark.createDataFrame([("c:A", None, "c:p", "object", None, 1, None, 1)], schema)).collect()
+
+
+def test_kept_tables(spark, tmp_path):
+    path, made = str(tmp_path / "index"), []
+    make = lambda: made.append(1) or spark.range(len(made))
+    long_ago, soon = datetime.datetime(2000, 1, 1), datetime.datetime.now() + datetime.timedelta(hours=1)
+    sizes = [tables.kept_current(make, path, when, force).count() for when, force in ((None, False), (None, False), (long_ago, False), (soon, False), (None, True))]
+    assert sizes == [1, 1, 1, 2, 3] and len(made) == 3
+    with pytest.raises(ValueError):
+        listing.top_entities(spark.createDataFrame([], "entity string, label string"))
+    assert listing.top_entities(spark.createDataFrame([("http://x/a", None)], "entity string, label string")).first()["label"] == "a"
+    scores = grounding.compared(spark.createDataFrame([("CCO",)], "query string"), spark.createDataFrame([("CCO",), ("CCN",), ("cco",)], "label string"), 0.6, "structure")
+    assert {r["label"]: round(r["score"], 3) for r in scores.collect()} == {"CCO": 1.0, "CCN": 0.667}

@@ -171,3 +171,24 @@ def inherited_properties(classes: DataFrame, properties: DataFrame, levels: int
 def iri_for(prefix: str, *parts: Column) -> Column:
     """A deterministic IRI: the first 32 hex digits of a SHA-256 of the parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
+
+
+def ontology(rows: DataFrame) -> DataFrame:
+    """Triples of an ontology from (class, parent, property, kind, range, least, most, exactly): classes, properties with
+    domain and range, and cardinalities as restrictions, which are named by a hash of what they say. A row with an exact
+    number and a bound fails the job."""
+    owl, rdfs = OWN_NAMESPACES[2], OWN_NAMESPACES[1]
+    checked = rows.withColumn("exactly", F.when(F.col("exactly").isNotNull() & (F.col("least").isNotNull() | F.col("most").isNotNull()), F.raise_error(F.concat(F.lit("an exact number and a bound: "), "class", F.lit(" "), "property")).cast("int")).otherwise(F.col("exactly")))
+    number = {"minCardinality": "least", "maxCardinality": "most", "cardinality": "exactly"}
+    node = F.concat(F.lit("r"), F.substring(F.sha2(F.concat_ws("|", "class", "property", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in number.values())), 256), 1, 32))
+    kind = F.when(F.col("kind") == "object", F.lit(f"{owl}ObjectProperty")).otherwise(F.lit(f"{owl}DatatypeProperty"))
+    bound = F.col("least").isNotNull() | F.col("most").isNotNull() | F.col("exactly").isNotNull()
+    # (subject, predicate, object, kind of object, condition)
+    templates = [
+        (F.col("class"), TYPE, F.lit(f"{owl}Class"), "iri", F.lit(True)), (F.col("class"), f"{rdfs}subClassOf", F.col("parent"), "iri", F.lit(True)), (F.col("property"), TYPE, kind, "iri", F.lit(True)),
+        (F.col("property"), f"{rdfs}domain", F.col("class"), "iri", F.lit(True)), (F.col("property"), f"{rdfs}range", F.col("range"), "iri", F.lit(True)),
+        (F.col("class"), f"{rdfs}subClassOf", node, "bnode", bound), (node, TYPE, F.lit(f"{owl}Restriction"), "iri", bound), (node, f"{owl}onProperty", F.col("property"), "iri", bound),
+        *((node, f"{owl}{p}", F.col(c).cast("string"), "lit", bound) for p, c in number.items()),
+    ]
+    rows = F.explode(F.array(*(F.when(c & s.isNotNull() & o.isNotNull(), F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"))) for s, p, o, k, c in templates)))
+    return checked.select(rows.alias("t")).where("t is not null").select("t.*").distinct()

@@ -29,6 +29,12 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_ratios(zip(a, b, strict=True), True))
 
 
+@F.pandas_udf(T.DoubleType())
+def whole_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same with popular characters, so equal texts have 1: for canonical structure strings."""
+    return pd.Series(_ratios(zip(a, b, strict=True), False))
+
+
 @F.pandas_udf(T.DoubleType())
 def best_part_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best ratio of the shorter text with an equally long part of the longer one, at its matching blocks."""
@@ -47,7 +53,7 @@ def sorted_words(c: Column) -> Column:
     return F.array_join(F.sort_array(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")), " ")
 
 
-SCORERS = {"ratio": lambda a, b: ratio(F.lower(a), F.lower(b)), "partial": lambda a, b: best_part_ratio(F.lower(a), F.lower(b)), "words": lambda a, b: ratio(sorted_words(a), sorted_words(b))}
+SCORERS = {"ratio": lambda a, b: ratio(F.lower(a), F.lower(b)), "structure": whole_ratio, "partial": lambda a, b: best_part_ratio(F.lower(a), F.lower(b)), "words": lambda a, b: ratio(sorted_words(a), sorted_words(b))}
 
 
 def possible(a: Column, b: Column, cutoff: float) -> Column:
@@ -92,10 +98,11 @@ def compared(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, sco
     """Pairs of distinct queries (query) and candidates (label, ...) with a score of `cutoff` or more. Lengths and counts of
     characters, made once a text, keep most pairs from Python."""
     condition, asked, known = F.lit(True), queries.select("query"), candidates
-    if scorer == "ratio":
-        asked = asked.withColumn("_q", letter_counts(F.lower("query")))
-        known = known.withColumn("_l", letter_counts(F.lower("label")))
-        condition = possible(F.lower("query"), F.lower("label"), cutoff) & may_share(F.col("_q"), F.col("_l"), F.length(F.lower("query")) + F.length(F.lower("label")), cutoff)
+    if scorer in ("ratio", "structure"):
+        form = F.lower if scorer == "ratio" else F.col
+        asked = asked.withColumn("_q", letter_counts(form("query")))
+        known = known.withColumn("_l", letter_counts(form("label")))
+        condition = possible(form("query"), form("label"), cutoff) & may_share(F.col("_q"), F.col("_l"), F.length(form("query")) + F.length(form("label")), cutoff)
     return in_blocks(asked, known, condition).drop("_q", "_l").withColumn("score", SCORERS[scorer](F.col("query"), F.col("label"))).where(F.col("score") >= cutoff)
 
 

@@ -90,3 +90,18 @@ def entity_rows(solutions: DataFrame, names: tuple[str, ...] = ("entity", "synth
     column = next((n for n in names if n in solutions.columns), solutions.columns[0])
     given = F.col(label) if label in solutions.columns else F.lit(None).cast("string")
     return solutions.select(F.col(column).alias("entity"), F.coalesce(F.nullif(trimmed(given), F.lit("")), F.regexp_extract(column, r"([^/#]*)$", 1)).alias("label")).distinct()
+
+
+def top_entities(solutions: DataFrame) -> DataFrame:
+    """`entity_rows`, which must not be empty: no top-level entity raises ValueError."""
+    rows = entity_rows(solutions)
+    if rows.isEmpty():
+        raise ValueError("no top-level entity")
+    return rows
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    """(doc, name, tp, fp, fn) of the table rows of Markdown score reports (doc, text): a name and three whole numbers first."""
+    row = r"(?m)^\|\s*([^|\n]*?)\s*\|\s*(\d+)\s*\|\s*(\d+)\s*\|\s*(\d+)\s*\|"
+    cells = F.explode(F.arrays_zip(*(F.regexp_extract_all("text", F.lit(row), F.lit(i)).alias(n) for i, n in enumerate(("name", "tp", "fp", "fn"), 1))))
+    return reports.select("doc", cells.alias("c")).select("doc", F.regexp_replace("c.name", r"\*", "").alias("name"), *(F.col(f"c.{n}").cast("long").alias(n) for n in ("tp", "fp", "fn")))

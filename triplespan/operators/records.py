@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triplespan.functions import text
+
 MISSING = ("", "n/a", "na")
 
 
@@ -90,6 +92,17 @@ def walked(c: Column, kind: T.DataType, change: Callable[[str, Column], Column],
     return change(name, c) if isinstance(kind, T.StringType) else c
 
 
+def normal_record(c: Column, kind: T.DataType) -> Column:
+    """The record with its strings in normal form: amounts and chemical names by their field, others as plain values. Empty
+    strings stay."""
+
+    def change(name: str, x: Column) -> Column:
+        form = text.normal_amount if name in ("chemicalAmount", "amount") else text.substance if name == "chemicalName" else text.normal_value
+        return F.when(x == "", x).when(x.isNotNull(), form(x))
+
+    return walked(c, kind, change)
+
+
 def blanked(c: Column, kind: T.DataType, names: Iterable[str]) -> Column:
     """The record with the strings of the named fields empty, for display."""
     gone = set(names)
@@ -120,13 +133,13 @@ def canonical_json(c: Column, kind: T.DataType) -> Column:
     """JSON text that does not depend on the order of fields, entries or items."""
     if isinstance(kind, T.StructType):
         parts = [F.concat(F.lit(f'"{f.name}":'), canonical_json(c[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
-        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     elif isinstance(kind, T.ArrayType):
-        text = F.concat(F.lit("["), F.array_join(F.sort_array(F.transform(c, lambda x: canonical_json(x, kind.elementType))), ","), F.lit("]"))
+        out = F.concat(F.lit("["), F.array_join(F.sort_array(F.transform(c, lambda x: canonical_json(x, kind.elementType))), ","), F.lit("]"))
     elif isinstance(kind, T.MapType):
         entry = lambda e: F.concat(canonical_json(e["key"].cast("string"), T.StringType()), F.lit(":"), canonical_json(e["value"], kind.valueType))
-        text = F.concat(F.lit("{"), F.array_join(F.sort_array(F.transform(F.map_entries(c), entry)), ","), F.lit("}"))
+        out = F.concat(F.lit("{"), F.array_join(F.sort_array(F.transform(F.map_entries(c), entry)), ","), F.lit("}"))
     else:
         one = F.to_json(F.array(c))
-        text = F.substring(one, F.lit(2), F.length(one) - 2)
-    return F.when(c.isNull(), "null").otherwise(text)
+        out = F.substring(one, F.lit(2), F.length(one) - 2)
+    return F.when(c.isNull(), "null").otherwise(out)

@@ -110,6 +110,19 @@ def step_names(steps: Column) -> Column:
     return F.flatten(F.transform(steps, lambda s: F.when(s["type"] == "Add", F.array_repeat(s["type"], F.greatest(F.size(s["chemicals"]), F.lit(1)))).otherwise(F.array(s["type"]))))
 
 
+def scoreboard(parts: dict[str, DataFrame], by: str, only: Iterable[str] | None = None) -> DataFrame:
+    """(category, by, tp, fp, fn, precision, recall, f1): the counts of each category by document, of the documents in `only` if
+    given, and an Overall row for each category and for all of them (category NULL)."""
+    rows = None
+    for category, counts in parts.items():
+        part = counts.groupBy(F.col(by).cast("string").alias(by)).agg(*(F.sum(c).cast("long").alias(c) for c in COUNTS)).select(F.lit(category).alias("category"), by, *COUNTS)
+        rows = part if rows is None else rows.union(part)
+    rows = rows if only is None else rows.where(F.col(by).isin(*map(str, only)))
+    each = micro(rows, ["category"]).select("category", F.lit("Overall").alias(by), *COUNTS)
+    every = micro(rows).select(F.lit(None).cast("string").alias("category"), F.lit("Overall").alias(by), *COUNTS)
+    return with_prf(rows.union(each).union(every))
+
+
 # records of characterisation
 
 

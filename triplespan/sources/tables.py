@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,19 @@ def report(counts: DataFrame, name: str) -> DataFrame:
 def newest(files: DataFrame, key: str = "doc", path: str = "path", time: str = "modified") -> DataFrame:
     """The newest file of each key; ties by the larger path."""
     return files.groupBy(key).agg(F.max_by(path, F.struct(time, path)).alias(path))
+
+
+def kept_current(make: Callable[[], DataFrame], path: str, changed: datetime | None, force: bool = False) -> DataFrame:
+    """A table that is made once and read from `path` from then on; made again if `force`, if it is not there, or if its source
+    changed after it was written. Readers see the old one until the new one is whole: it is written beside it first."""
+    spark = SparkSession.getActiveSession()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    mark = hadoop(f"{path}/_SUCCESS")
+    fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stale = force or not fs.exists(mark) or (changed is not None and fs.getFileStatus(mark).getModificationTime() < changed.timestamp() * 1000)
+    if stale:
+        beside = f"{path}.new"
+        make().write.mode("overwrite").parquet(beside)
+        fs.delete(hadoop(path), True)
+        fs.rename(hadoop(beside), hadoop(path))
+    return spark.read.parquet(path)
