@@ -154,7 +154,8 @@ def windows_on(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, two), pa.array(ids), pa.array(keys), pa.array((start - first[doc]).astype(np.int32)), pa.array(later)], ["window", "verify", "doc_id", "text_key", "start", "later"])
 
     schema = "window long, verify long, doc_id long, text_key long, start int, later boolean"
-    return docs.select("doc_id", "text", "text_key").join(wanted, "doc_id").transform(common.in_arrow, run, schema)
+    ready = common.written(docs.select("doc_id", "text", "text_key").join(wanted, "doc_id"), "hit-texts")  # read twice, shuffled once
+    return ready.transform(common.in_arrow, run, schema)
 
 
 def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -162,6 +163,7 @@ def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     known = docs.where("doc_id is not null and text is not null")
     texts = known.select("doc_id", "text_key", F.xxhash64(F.lit(1), "text").alias("second"))
     firsts = texts.groupBy("text_key", "second").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    firsts = common.written(firsts, "firsts")  # before the join, so that it can split a text of very many copies
     copies = common.written(texts.join(firsts, ["text_key", "second"]).where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
     small = 16 * copies.count() <= BROADCAST_BYTES
     rest = known.join(F.broadcast(copies) if small else copies, ["doc_id", "text_key"], "left_anti")
