@@ -21,15 +21,16 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-#: Rows of an Arrow batch, fewer than Spark's own 10,000, as texts are long and batches are held in memory twice.
-BATCH_ROWS = 1_000
+#: Bytes of an Arrow batch, fewer than Spark's own 64 MB, as batches are held in both processes of two tasks at a time.
+BATCH_BYTES = 4 << 20
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """`df.mapInArrow` with batches of BATCH_ROWS rows, unless the session names a size."""
-    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """`df.mapInArrow` with batches of about BATCH_BYTES. Spark reads that bound when a job runs, so it stays set in the session;
+    a session that names one keeps its own."""
+    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(size, None) is None:
-        conf.set(size, str(BATCH_ROWS))
+        conf.set(size, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
