@@ -133,6 +133,45 @@ def test_new_notations(spark):
     assert found[-1] == "phone_ctx:12:20" and all(s.startswith("phone_ctx") for s in found[-len(more) :])
 
 
+def spans_by_hand(texts):
+    """All spans of each text: the graph of patterns and instances scored with dictionaries."""
+    kinds, edges, unseen, out = list(PERSONAL), {}, [], []
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t or "")
+        out.append({(a, k, e) for a, k, e in base})
+        for pattern, instance, k, a, e, may in pii.candidates(t or "", base):
+            for m in may:
+                key = pattern, m, instance
+                edges[key] = max(edges.get(key, -1), k)
+                if k < 0:
+                    unseen.append((i, a, e, pattern, m))
+    for k in range(2):
+        n, hits, sure = {}, {}, set()
+        for (pattern, m, _), known in edges.items():
+            n[pattern, m] = n.get((pattern, m), 0) + 1
+            hits[pattern, m] = hits.get((pattern, m), 0) + (known == m)
+        sure = {key for key in n if hits[key] >= 5 and hits[key] / (n[key] + 1) >= 0.8}
+        if k == 0:
+            new = {}
+            for (pattern, m, instance), known in edges.items():
+                if known < 0 and (pattern, m) in sure:
+                    new[instance] = min(new.get(instance, 9), m)
+            edges = {key: known if known >= 0 else new.get(key[2], -1) for key, known in edges.items()}
+    for i, a, e, pattern, m in unseen:
+        if (pattern, m) in sure:
+            out[i].add((a, m + 4, e))
+    names = [*kinds, *(f"{k}_ctx" for k in kinds)]
+    return [",".join(f"{names[k]}:{a}:{e}" for a, k, e in sorted(s)) for s in out]
+
+
+def test_graph_by_hand(spark):
+    texts_ = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    texts_ += [f"{prose(k, 4)} call me: +1 (243) 555-{5000 + 7 * k} {prose(k + 99, 4)}" for k in range(60)] + ["call me: 555-0199", "please dial 555/7777", None, ""]
+    texts_ += [f"call me: 555-1{k:03}" for k in range(8)] + [f"please dial 555-1{k:03}" for k in range(8)] + [f"server at 10.0.{k}.{k}" for k in range(9)] + ["server at 10.0.0.999"]
+    found = [r["spans"] for r in pii.found(texts(spark, *texts_)).orderBy("doc_id").collect()]
+    assert found == spans_by_hand(texts_) and sum("_ctx" in s for s in found) >= 10
+
+
 def test_long_runs():
     """Time grows with the text, not with its square."""
     n = 10**6
