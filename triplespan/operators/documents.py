@@ -94,8 +94,11 @@ STEP_FIELDS = {
     "syn:hasTemperatureRate": "heatingCoolingRate", "syn:hasTransferredAmount": "transferedAmount", "syn:hasVessel": "usedVesselName", "syn:hasVesselEnvironment": "atmosphere",
     "syn:hasTargetPh": "targetPH", "syn:isStirred": "stir", "syn:isLayered": "isLayered", "syn:isVacuum": "underVacuum", "syn:isSealed": "sealedVessel",
     "syn:isVacuumFiltration": "vacuumFiltration", "syn:isRepeated": "repeated", "syn:isWait": "wait", "rdfs:comment": "comment",
+    "syn:hasVacuum": "underVacuum", "syn:hasTransferedAmount": "transferedAmount", "syn:hasHeatChillDevice": "usedDevice", "syn:isLayeredTransfer": "isLayeredTransfer", "syn:isTransferedTo": "targetVesselName",
 }
-FLAGS = ("stir", "isLayered", "underVacuum", "sealedVessel", "vacuumFiltration", "wait")
+FLAGS = ("stir", "isLayered", "underVacuum", "sealedVessel", "vacuumFiltration", "wait", "isLayeredTransfer")
+#: Fields that name the type of a vessel, by the predicate that leads to it.
+VESSEL_TYPES = {"syn:hasVessel": "usedVesselType", "syn:isTransferedTo": "targetVesselType"}
 
 
 def step_fields(g: Graph) -> DataFrame:
@@ -108,7 +111,11 @@ def step_fields(g: Graph) -> DataFrame:
     rows = optional(rows, g.match("?node", "om:hasUnit", "?unit").groupBy("node").agg(F.min(local_name("unit")).alias("unit")))
     quantity = F.when(F.col("value").isNotNull(), F.concat_ws(" ", "value", "unit"))
     text = F.when(F.col("o_kind") == "lit", F.col("node")).otherwise(F.coalesce("label", quantity, local_name("node")))
-    return rows.select("step", "field", text.alias("text")).groupBy("step").pivot("field", list(STEP_FIELDS.values())).agg(F.min("text"))
+    found = rows.select("step", "field", text.alias("text")).groupBy("step").pivot("field", list(dict.fromkeys(STEP_FIELDS.values()))).agg(F.min("text"))
+    kinds = joined(g.match("?vessel", "syn:hasVesselType", "?_t"), named.labelled(g, "_t", "label")).select("vessel", "label")
+    for p, v in VESSEL_TYPES.items():
+        found = optional(found, joined(g.match("?step", p, "?vessel"), kinds).groupBy("step").agg(F.min("label").alias(v)))
+    return found
 
 
 def step_order(g: Graph) -> DataFrame:
@@ -128,10 +135,10 @@ def step_type(g: Graph) -> DataFrame:
 TYPE_FIELDS = {
     "Add": ("addedChemical", "stir", "isLayered"),
     "Dissolve": ("solvent",),
-    "HeatChill": ("targetTemperature", "heatingCoolingRate", "underVacuum", "sealedVessel", "stir"),
+    "HeatChill": ("usedDevice", "targetTemperature", "heatingCoolingRate", "underVacuum", "sealedVessel", "stir"),
     "Filter": ("washingSolvent", "vacuumFiltration", "numberOfFiltrations"),
     "Stir": ("temperature", "wait"),
-    "Transfer": ("transferedAmount", "isLayered"),
+    "Transfer": ("targetVesselName", "targetVesselType", "transferedAmount", "isLayered", "isLayeredTransfer"),
     "Crystallize": ("targetTemperature",),
     "Sonicate": (),
 }
@@ -146,13 +153,13 @@ def steps_document(g: Graph) -> DataFrame:
     base = optional(base, chemical_records(g, wash, ["step"]).withColumnRenamed("chemicals", "washingSolvent"))
     flag = lambda c: F.coalesce(F.lower(c) == "true", F.lit(False))
     values = {f: flag(f) for f in FLAGS}
-    values |= {f: or_missing(f) for f in ("targetTemperature", "heatingCoolingRate", "transferedAmount", "duration", "usedVesselName", "comment")}
+    values |= {f: or_missing(f) for f in ("targetTemperature", "heatingCoolingRate", "transferedAmount", "duration", "usedVesselName", "usedVesselType", "targetVesselName", "targetVesselType", "usedDevice", "comment")}
     values |= {f: F.coalesce(f, F.array().cast(base.schema[f].dataType)) for f in ("addedChemical", "solvent", "washingSolvent")}
     values["temperature"], values["numberOfFiltrations"] = or_missing("targetTemperature"), F.coalesce(F.expr("try_cast(repeated AS int)"), F.lit(1))
     values["targetTemperature"] = or_missing(F.coalesce("targetTemperature", "crystallizationTemperature"))
     values["atmosphere"] = F.when(F.lower("atmosphere") == "ambient air", "Air").otherwise(or_missing("atmosphere"))
     values["targetPH"] = F.coalesce(F.expr("try_cast(try_cast(targetPH AS double) AS int)"), F.lit(-1))
-    shared = ("usedVesselName", "stepNumber", "atmosphere", "targetPH", "comment")
+    shared = ("usedVesselName", "usedVesselType", "stepNumber", "atmosphere", "targetPH", "comment")
     struct = lambda names: F.to_json(F.struct(*(values.get(n, F.col(n)).alias(n) for n in names)))
     payload = F.lit(None).cast("string")
     for kind, names in TYPE_FIELDS.items():
@@ -209,6 +216,23 @@ def merged_records(records: DataFrame, key: str, names: str, bands: str, fields:
     return records.groupBy(key).agg(union(F.col(names)).alias(names), or_missing(F.nullif(F.array_join(union(parts), " ; "), F.lit(""))).alias(bands), *(or_missing(F.min(F.when(F.col(f) != MISSING, F.col(f)))).alias(f) for f in fields))
 
 
+def labelled_units(g: Graph) -> DataFrame:
+    """(mopCCDCNumber, cbuFormula1, cbuSpeciesNames1, cbuFormula2, cbuSpeciesNames2) of labelled polyhedra with a deposit number and
+    two labelled units or more: the first two by label. Names are the label and the other names, which are parted at commas
+    unless they start with a locant."""
+    mops = g.bgp(("?mop", "a", "mop:MetalOrganicPolyhedron"), ("?mop", "rdfs:label", "?_m"), ("?mop", "mop:hasCCDCNumber", "?ccdc"), ("?mop", "mop:hasChemicalBuildingUnit", "?cbu")).select("mop", "ccdc", "cbu").distinct()
+    label = named.labelled(g, "cbu", "label").groupBy("cbu").agg(F.min("label").alias("label"))
+    other = g.match("?cbu", ["syn:hasAlternativeNames", "skos:altLabel"], "?o")
+    parts = F.when(F.trim("o").rlike("^(4,4|1,3|1,4)"), F.array(F.trim("o"))).otherwise(F.transform(F.split("o", ","), lambda x: F.trim(x)))
+    others = other.select("cbu", F.explode(parts).alias("name")).where("name <> ''").groupBy("cbu").agg(F.sort_array(F.collect_set("name")).alias("others"))
+    formula = g.match("?cbu", "syn:hasChemicalFormula", "?f").groupBy("cbu").agg(F.min("f").alias("formula"))
+    units = optional(optional(joined(mops, label), others), formula)
+    names = F.array_distinct(F.concat(F.array("label"), F.coalesce("others", F.array().cast("array<string>"))))
+    listed = units.groupBy("mop", "ccdc").agg(F.sort_array(F.collect_set(F.struct("label", or_missing("formula").alias("formula"), names.alias("names")))).alias("u")).where(F.size("u") >= 2)
+    at = lambda i, c: F.get("u", F.lit(i))[c]
+    return listed.select(F.col("ccdc").alias("mopCCDCNumber"), at(0, "formula").alias("cbuFormula1"), at(0, "names").alias("cbuSpeciesNames1"), at(1, "formula").alias("cbuFormula2"), at(1, "names").alias("cbuSpeciesNames2"))
+
+
 def units_document(g: Graph) -> DataFrame:
     """(mopCCDCNumber, cbuFormula1, cbuSpeciesNames1, cbuFormula2, cbuSpeciesNames2): the first two formulas in order. A unit's
     names are its labels, other names and those of entities that are the same."""

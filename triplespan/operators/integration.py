@@ -158,15 +158,10 @@ def paired_results(a: DataFrame, b: DataFrame, mapping: DataFrame, key: str = "k
 
 def corpus_counts(g: Graph) -> DataFrame:
     """One row of eight counts: syntheses, steps, chemicals, polyhedra, those with a deposit number, units, species and
-    documents. Each branch is made distinct before it is counted, so no row is expanded for another count."""
+    documents."""
     of = {
         "n_syntheses": g.match("?x", "a", "syn:ChemicalSynthesis"), "n_steps": g.match("?_s", "syn:hasSynthesisStep", "?x"), "n_chemicals": g.match("?_s", "syn:hasChemicalInput", "?x"),
         "n_polyhedra": g.match("?x", "a", "mop:MetalOrganicPolyhedron"), "n_deposited": joined(g.match("?x", "a", "mop:MetalOrganicPolyhedron"), g.match("?x", "mop:hasCCDCNumber", "?_c")),
         "n_units": g.match("?_m", "mop:hasChemicalBuildingUnit", "?x"), "n_species": g.match("?x", "a", "spe:Species"), "n_documents": g.match("?_s", "syn:retrievedFrom", "?x"),
     }
-    rows = None
-    for name, df in of.items():
-        part = df.select(F.lit(name).alias("name"), "x").distinct()
-        rows = part if rows is None else rows.union(part)
-    counted = rows.groupBy("name").agg(F.count("*").alias("n"))
-    return counted.agg(*(F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name in of))
+    return named.distinct_counts({name: df.select("x") for name, df in of.items()})

@@ -94,15 +94,22 @@ def building_units(g: Graph, name: str | None = None) -> DataFrame:
 # corpus statistics
 
 
+def distinct_counts(of: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of distinct rows of each one-column table, by name. Each is made distinct before it is counted,
+    so no row is expanded for another count."""
+    parts = [df.select(F.lit(name).alias("name"), F.col(df.columns[0]).alias("x")).distinct() for name, df in of.items()]
+    counted = either(*parts).groupBy("name").agg(F.count("*").alias("n"))
+    return counted.agg(*(F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name in of))
+
+
 def statistics(g: Graph) -> DataFrame:
-    """Counts of labelled polyhedra, syntheses, steps and distinct chemicals, in one pass."""
-    typed = either(
-        g.bgp(("?mop", "a", "mop:MetalOrganicPolyhedron"), ("?mop", LABEL, "?_l")).select("mop"),
-        g.match("?synthesis", "a", "syn:ChemicalSynthesis"),
-        g.match("?_s", "syn:hasSynthesisStep", "?step").select("step"),
-        g.match("?_s", "syn:hasChemicalInput", "?chemical").select("chemical"),
-    )
-    return typed.agg(*(F.count_distinct(v).alias(f"n_{v}") for v in ("mop", "synthesis", "step", "chemical")))
+    """Counts of labelled polyhedra, syntheses, steps and distinct chemicals."""
+    return distinct_counts({
+        "n_mop": g.bgp(("?mop", "a", "mop:MetalOrganicPolyhedron"), ("?mop", LABEL, "?_l")).select("mop"),
+        "n_synthesis": g.match("?synthesis", "a", "syn:ChemicalSynthesis"),
+        "n_step": g.match("?_s", "syn:hasSynthesisStep", "?step").select("step"),
+        "n_chemical": g.match("?_s", "syn:hasChemicalInput", "?chemical").select("chemical"),
+    })
 
 
 def usage(g: Graph, *patterns: tuple, by: str, of: str, distinct: bool = False, limit: int | None = 20, order: str = "desc") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triplespan.plans.tables import written
+
 COUNTS = ("tp", "fp", "fn")
 
 
@@ -380,33 +382,43 @@ def erfc(x: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(math.erfc), "double")(x.cast("double"))
 
 
-def bootstrap(pairs: DataFrame, a: str, b: str, draws: int = 10_000, seed: int = 42, centred: bool = False) -> DataFrame:
-    """One row: the mean difference and the share of resampled means that are at least as far from 0.
+#: Distinct differences that one task of a bootstrap holds, and its draws.
+DIFFERENCES, DRAWS = 50_000, 500
 
-    Means of resamples are drawn in Spark, one row a draw, from the counts of each distinct difference, which are few for
-    scores of limited precision; a multinomial over them is the same as drawing documents. Without `centred`, resamples
-    vary about the observed difference itself, so p is near a half."""
-    d = F.round(F.col(a) - F.col(b), 6)
-    table = pairs.where(d.isNotNull()).groupBy(d.alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(100_001).toPandas()
-    if len(table) > 100_000:
-        raise ValueError("round the scores: over 100,000 distinct differences")
-    values, counts = table["d"].tolist(), table["n"].tolist()
-    n = sum(counts)
-    mean = sum(v * c for v, c in zip(values, counts, strict=True)) / n if n else 0.0
 
-    def run(batches):
-        import numpy as np
+def bootstrap(pairs: DataFrame, a: str, b: str, draws: int = 10_000, seed: int = 42, centred: bool = False) -> DataFrame:
+    """One row: the mean difference and the share of resampled means that are at least as far from 0.
 
-        for batch in batches:
-            hits = []
-            for i in batch["id"]:
-                drawn = np.random.default_rng([seed, int(i)]).multinomial(n, np.array(counts) / n)
-                m = float(drawn @ np.array(values)) / n
-                hits.append(abs(m - mean if centred else m) >= abs(mean))
-            yield pd.DataFrame({"hit": hits})
+    Resamples are drawn as counts of the distinct differences, which is the same as drawing documents. The differences are
+    dealt into blocks of about DIFFERENCES: a draw first says how many documents fall in each block, and then, apart in each
+    block, how often each of its differences is drawn; the parts add up, so any number of differences is exact. Without
+    `centred`, resamples vary about the observed difference itself, so p is near a half."""
+    import numpy as np
 
+    spark, d = pairs.sparkSession, F.round(F.col(a) - F.col(b), 6)
+    table = pairs.where(d.isNotNull()).groupBy(d.alias("d")).agg(F.count("*").alias("n"))
+    distinct, n, total = table.agg(F.count("*"), F.sum("n"), F.sum((F.col("d") * F.col("n")).cast("decimal(38,6)"))).first()
     if not n:
-        return pairs.sparkSession.createDataFrame([(0.0, 1.0)], "mean double, p double")
-    drawn = pairs.sparkSession.range(draws).mapInPandas(run, "hit boolean")
-    return drawn.agg(F.lit(mean).alias("mean"), F.avg(F.col("hit").cast("double")).alias("p"))
+        return spark.createDataFrame([(0.0, 1.0)], "mean double, p double")
+    mean, n_blocks = float(total) / n, 1 + distinct // DIFFERENCES
+    block = F.pmod(F.xxhash64("d"), F.lit(n_blocks)).cast("int").alias("block")
+    blocks = written(table.groupBy(block).agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("d", "n"))).alias("rows")), "differences")
+    share = np.zeros(n_blocks)
+    for r in blocks.select("block", "size").collect():  # one number a block
+        share[r["block"]] = r["size"] / n
 
+    def run(batches):
+        for batch in batches:
+            for at, size, rows, start in zip(batch["block"], batch["size"], batch["rows"], batch["start"], strict=True):
+                values, counts = (np.array([r[c] for r in rows], float) for c in ("d", "n"))
+                parts = []
+                for i in range(start, min(start + DRAWS, draws)):
+                    here = np.random.default_rng([seed, i]).multinomial(n, share)[at]
+                    parts.append(float(np.random.default_rng([seed, i, int(at) + 1]).multinomial(here, counts / size) @ values))
+                yield pd.DataFrame({"draw": np.arange(start, start + len(parts)), "part": parts})
+
+    starts = F.explode(F.sequence(F.lit(0), F.lit(max(0, draws - 1)), F.lit(DRAWS))).alias("start")
+    drawn = blocks.select("block", "size", "rows", starts).repartition("block", "start").mapInPandas(run, "draw long, part double")
+    m = drawn.groupBy("draw").agg((F.sum("part") / n).alias("m"))
+    far = F.abs(F.col("m") - (mean if centred else 0.0)) >= abs(mean)
+    return m.agg(F.lit(mean).alias("mean"), F.avg(far.cast("double")).alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespan.operators import graphs, grounding, integration
+from triplespan.operators import graphs, grounding, integration, named
 from triplespan.plans.patterns import LABEL, TYPE, ask, construct, either, exists, first_hit, joined, lit, local_name, not_exists, optional, ordered, page, rendered, with_parameters
 from triplespan.queries.registry import on_graph, on_tables
 from triplespan.sources.mapping import BASE, MappedGraph
@@ -180,8 +180,7 @@ def keyset_page(g: MappedGraph) -> DataFrame:
 @on_graph("""SELECT (SELECT count(*) FROM customer) AS n_customer, (SELECT count(*) FROM supplier) AS n_supplier, (SELECT count(*) FROM part) AS n_part, (SELECT count(*) FROM orders) AS n_order, (SELECT count(*) FROM lineitem) AS n_item""")
 def kg_statistics(g: MappedGraph) -> DataFrame:
     kinds = {"Customer": "n_customer", "Supplier": "n_supplier", "Part": "n_part", "Order": "n_order", "LineItem": "n_item"}
-    typed = g.match("?x", "a", "?kind")
-    return typed.agg(*(F.count_distinct(F.when(F.col("kind") == BASE + k, F.col("x"))).alias(n) for k, n in kinds.items()))
+    return named.distinct_counts({n: g.match("?x", "a", f"ex:{k}") for k, n in kinds.items()})
 
 
 @on_graph("""SELECT 'http://example.org/' || k AS class, n FROM (SELECT 'Region' AS k, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer

@@ -254,8 +254,9 @@ CASE WHEN l_linestatus = 'F' THEN {LONG} END AS duration, CASE WHEN l_discount =
 CASE WHEN l_linenumber <> 7 THEN CASE WHEN s_acctbal > 1000 THEN s_name ELSE CAST(l_suppkey AS VARCHAR) END END AS "usedVesselName", CASE WHEN l_linestatus = 'O' THEN 'env ' || e.label END AS atmosphere,
 CASE WHEN l_discount = 0.07 THEN CAST(l_quantity AS VARCHAR) END AS "targetPH", CASE WHEN l_returnflag = 'A' THEN 'true' END AS stir, CASE WHEN l_discount > 0.05 THEN 'True' ELSE 'false' END AS "isLayered",
 CAST(NULL AS VARCHAR) AS "underVacuum", CASE WHEN l_returnflag = 'R' THEN 'true' END AS "sealedVessel", CASE WHEN l_linestatus = 'O' THEN 'true' END AS "vacuumFiltration",
-CASE WHEN l_linestatus = 'F' THEN 'true' ELSE CAST(l_linenumber AS VARCHAR) END AS repeated, CASE WHEN l_discount < 0.03 THEN 'true' ELSE 'false' END AS wait, CAST(NULL AS VARCHAR) AS comment
-FROM step LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN named e ON e.id = l_linenumber"""),
+CASE WHEN l_linestatus = 'F' THEN 'true' ELSE CAST(l_linenumber AS VARCHAR) END AS repeated, CASE WHEN l_discount < 0.03 THEN 'true' ELSE 'false' END AS wait, CAST(NULL AS VARCHAR) AS comment,
+CAST(NULL AS VARCHAR) AS "usedDevice", CAST(NULL AS VARCHAR) AS "isLayeredTransfer", CAST(NULL AS VARCHAR) AS "targetVesselName", CAST(NULL AS VARCHAR) AS "targetVesselType", CASE WHEN l_linenumber <> 7 THEN r_name END AS "usedVesselType"
+FROM step LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN region ON r_regionkey = s_nationkey % 6 AND s_acctbal > 3000 LEFT JOIN named e ON e.id = l_linenumber"""),
     ("document_outputs", documents.outputs, f", {MADE} SELECT * FROM made"),
     ("document_chemicals", lambda g: documents.chemicals_document(g).select("procedureName", F.coalesce(F.size("inputChemicals"), F.lit(-1)).alias("n_in"), F.array_join(F.transform("outputChemical", lambda o: F.concat(o["names"][0], F.lit(":"), o["CCDCNumber"])), "|").alias("made")),
      f""", {MADE}, i AS (SELECT synthesis AS label, count(DISTINCT (coalesce(c.label, 'Unknown'), amount, formula, purity, supplier)) AS n_in FROM input JOIN chemical c ON p_partkey = l_partkey GROUP BY 1),
@@ -265,6 +266,9 @@ m AS (SELECT synthesis, string_agg(name || ':' || ccdc, '|' ORDER BY name, formu
 coalesce((SELECT string_agg(label, ' ; ' ORDER BY label) FROM (SELECT DISTINCT n.label FROM material x JOIN named n ON n.id = x.m WHERE x.c_custkey = sp.c_custkey AND sp.c_nationkey % 2 = 0)), 'N/A') AS material,
 CASE WHEN c_nationkey % 3 = 0 THEN 'C ' || c_nationkey ELSE 'N/A' END AS "weightPercentageCalculated", CASE WHEN c_nationkey % 3 = 0 AND c_acctbal > 0 THEN 'C ' || c_nationkey || '.1' ELSE 'N/A' END AS "weightPercentageExperimental"
 FROM syn JOIN species sp ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 2000"""),
+    ("document_labelled_units", lambda g: _listed(documents.labelled_units(g), "cbuSpeciesNames1", "cbuSpeciesNames2"),
+     """, u AS (SELECT ccdc, cbu.label AS n, row_number() OVER (PARTITION BY ccdc ORDER BY cbu.label) AS i, count(*) OVER (PARTITION BY ccdc) AS many FROM unit JOIN cbu ON u = cbu.id WHERE ccdc IS NOT NULL AND cbu.label IS NOT NULL)
+SELECT ccdc AS "mopCCDCNumber", 'N/A' AS "cbuFormula1", max(n) FILTER (i = 1) AS "cbuSpeciesNames1", 'N/A' AS "cbuFormula2", max(n) FILTER (i = 2) AS "cbuSpeciesNames2" FROM u WHERE many >= 2 GROUP BY ccdc"""),
     ("document_units", lambda g: _listed(documents.units_document(g), "cbuSpeciesNames1", "cbuSpeciesNames2"),
      """, u AS (SELECT ccdc, coalesce(cbu.formula, cbu.label, '') AS f, coalesce(cbu.label, '') AS n, row_number() OVER (PARTITION BY ccdc ORDER BY coalesce(cbu.formula, cbu.label), cbu.label) AS i FROM unit JOIN cbu ON u = cbu.id WHERE ccdc IS NOT NULL)
 SELECT ccdc AS "mopCCDCNumber", max(f) FILTER (i = 1) AS "cbuFormula1", max(n) FILTER (i = 1) AS "cbuSpeciesNames1", max(f) FILTER (i = 2) AS "cbuFormula2", max(n) FILTER (i = 2) AS "cbuSpeciesNames2" FROM u GROUP BY ccdc"""),
