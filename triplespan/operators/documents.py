@@ -190,7 +190,9 @@ def step_dump(g: Graph) -> DataFrame:
 def characterisation_document(g: Graph) -> DataFrame:
     """One record for each synthesis and species."""
     path = g.bgp(("?synthesis", "syn:hasChemicalOutput", "?species"), ("?species", "spe:hasCharacterizationSession", "?_x")).select("synthesis", "species").distinct()
-    ccdc = joined(g.match("?species", "spe:hasCCDCNumber", "?_n"), g.match("?_n", "spe:hasCCDCNumberValue", "?v")).groupBy("species").agg(F.min("v").alias("ccdc"))
+    number = g.match("?species", "spe:hasCCDCNumber", "?_n")
+    number = optional(optional(number, g.match("?_n", "spe:hasCCDCNumberValue", "?v")), named.labelled(g, "_n", "l"))
+    ccdc = number.groupBy("species").agg(F.coalesce(F.min("v"), F.min("l")).alias("ccdc"))  # older graphs only label the number
     ir = g.match("?species", "spe:hasInfraredSpectroscopyData", "?ir")
     bands = joined(ir, g.match("?ir", "spe:hasBands", "?b")).groupBy("species").agg(F.array_join(F.sort_array(F.collect_set("b")), " ; ").alias("bands"))
     materials = joined(joined(ir, g.match("?ir", "spe:usesMaterial", "?m")), named.labelled(g, "m", "l")).groupBy("species").agg(F.array_join(F.sort_array(F.collect_set("l")), " ; ").alias("material"))
