@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from triplespan.llm import common, queries
 
 NAMES = (
-    "row n n_words n_tokens Size source_size target taken copies copy _copy _source score held_out predicted label severity p_toxic Toxic kept weights h1 h2 t w terms fold spans found more "
-    "pattern shape kind anchor first last window verify text_key second whole ranges starts prefix s1 k1 shingle g p c component component_id node id media payload samples token_ids ids quality"
+    "row n n_words n_tokens Size source_size target taken copies copy _copy _source score held_out predicted label severity p_toxic kept weights h1 h2 t w terms fold spans found more "
+    "pattern shape kind anchor first last window verify text_key second whole ranges starts prefix s1 k1 shingle g p c component component_id part A B C D E good Toxic n_distinct filter_order step fingerprint node id media payload samples token_ids ids quality"
 ).split()
 LABELS = "doc_id long, quality int, toxic int"
+#: Queries that do not give a row for each of the 17 documents.
+ROWS = {"op13_filter_audit": 2 * 600}
 
 
 @pytest.fixture
@@ -39,7 +41,7 @@ def test_queries(spark, tables, name):
     tables(frame(spark), labels(spark))
     plain = query(spark, "")
     want = rows(plain)
-    assert len(want) == 17
+    assert len(want) == ROWS.get(name, 17)
     extra = frame(spark).withColumns({n: F.lit("x") for n in NAMES}).orderBy(F.desc("doc_id"))
     tables(extra.select(*sorted(extra.columns)), labels(spark).withColumns({n: F.lit("x") for n in ("text", "source", "trusted")}))
     assert rows(query(spark, "")) == want

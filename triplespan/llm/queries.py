@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triplespan.llm import bpe, jaccard_join, mixing, pii, quality_rules, rule_ensemble, secrets, substring_dedup, toxicity, webp
+from triplespan.llm import bpe, filter_audit, jaccard_join, mixing, pii, quality_rules, rule_ensemble, secrets, substring_dedup, toxicity, webp
 
 QUERIES = {
     "op1_webp_media": webp.op1_webp_media,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
-ORACLE_SQL = {"op6_mix_sources": mixing.OP6_SQL}
+ORACLE_SQL = {"op6_mix_sources": mixing.OP6_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
