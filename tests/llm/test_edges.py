@@ -9,7 +9,7 @@ from triplespan.llm import common, queries
 
 NAMES = (
     "row n n_words n_tokens Size source_size target taken copies copy _copy _source score held_out predicted label severity p_toxic kept weights h1 h2 t w terms fold spans found more "
-    "pattern shape kind anchor first last window verify text_key second whole ranges starts prefix s1 k1 shingle g p c component component_id part A B C D E good Toxic n_distinct filter_order step fingerprint node id media payload samples token_ids ids quality"
+    "pattern shape kind anchor first last window verify text_key second whole ranges starts prefix s1 k1 shingle g p c component component_id part A B D E good Toxic n_distinct filter_order step fingerprint node id media payload samples token_ids ids quality"
 ).split()
 LABELS = "doc_id long, quality int, toxic int"
 #: Queries that do not give a row for each of the 17 documents.
