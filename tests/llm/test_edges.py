@@ -35,7 +35,7 @@ def rows(df):
     return sorted((repr(r.asDict()) for r in df.collect()))
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_prefix_trie"}))  # of conversations: test_trie.py
 def test_queries(spark, tables, name):
     query = queries.QUERIES[name]
     tables(frame(spark), labels(spark))
