@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triplespan.llm import bpe, filter_audit, jaccard_join, mixing, pii, prefix_trie, quality_rules, rule_ensemble, secrets, substring_dedup, toxicity, webp
+from triplespan.llm import bpe, filter_audit, jaccard_join, mixing, pii, prefix_trie, quality_rules, rule_ensemble, secrets, simhash_join, substring_dedup, toxicity, webp
 
 QUERIES = {
     "op1_webp_media": webp.op1_webp_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard_join.op8_ngram_jaccard,
     "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_simhash": simhash_join.op11_simhash,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
