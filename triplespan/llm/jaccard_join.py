@@ -5,15 +5,18 @@ ordered rarest shingle first by counts in `BINS` bins over all documents; any or
 passages out of the prefixes. Two sets with Jaccard >= t share a shingle within their first n - ceil(t n) + 1, and then
 overlap, by place, by at least ceil(t / (1 + t) (n + m)).
 
-Classes of equal size and prefix form one group. Members that link with their group's head, as verified, are left to it:
-only the others carry the prefix. Carriers meet on prefix shingles. A row of shingle, size n and place p only links with
-sizes from t n to (1 + t) / t (n - p) - n, so rows that no row of another component on their shingle admits are left out.
+Classes of equal size and prefix form one group, whose head carries the prefix for all members that link with it, as
+verified; the others carry it themselves. Carriers meet on prefix shingles. A row of shingle, size n and place p only links
+with sizes from t n to (1 + t) / t (n - p) - n, so rows that no row of another component on their shingle admits are left out.
+Size and place are those of all members, so pairs that these filters drop are dropped for every member.
 
 First each carrier is paired with one hub a shingle, the carrier that meets most others, so that pairs are linear in rows;
 the original of many edited copies is such a hub. More rounds with hubs in hash order follow while a shingle has many
 more pairs than rows and rounds still link. At last, on each shingle, the components that still meet there are paired,
-and then their carriers, all that pass the filters. Every pair is verified on the whole texts, so no link that could join
-components is lost, and no cluster is expanded to all its pairs.
+and then their carriers, all that pass the filters. Every pair is verified on the whole texts, which gives its Jaccard
+distance. That is a metric, so members x and y of groups with heads a and b can only link if d(x, a) + d(b, y) + 1 - t
+reaches d(a, b). Pairs of groups in different components for which some member can are expanded: first each such member with
+the other head, then the members that those distances still allow. No pair of one component is expanded.
 
 Null, empty and blank texts have the empty set and link with nothing, not even each other. Documents of fewer than
 five words are one shingle of all their words. Repeated texts share a component. Rows with a null doc_id link like others
@@ -41,6 +44,8 @@ BINS, RANGES = 1 << 20, 256
 EDGES = 50_000
 #: Hub rounds go on while pairs are more than so many times the rows, and one in LINKING of the last pairs linked.
 CROWDED, LINKING = 16, 10
+#: For bounds in floating point.
+SLACK = 1e-9
 
 
 def _bin(hashes: np.ndarray) -> np.ndarray:
@@ -147,8 +152,9 @@ def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (a, b) of `pairs`, a written table of class rows, whose sets reach the threshold. Texts travel compressed, which
-    is smaller than their sets, and sets are made again from them."""
+    """a, b, far and linked of the rows (a, b) of `pairs`, a written table of class rows: the Jaccard distance of their sets,
+    and whether they reach the threshold. Texts travel compressed, which is smaller than their sets, and sets are made again
+    from them."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(classes.select("row", "doc_id", "text_key"), "row")
     ids = common.written(ids.toDF("id", "id_doc", "id_key"), "ids")
 
@@ -160,7 +166,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            keep = []
+            far, linked = [], []
             for i in range(0, len(b), 64):
                 part = b.slice(i, 64)
                 packed = part.column("x").to_pylist() + part.column("y").to_pylist()
@@ -170,14 +176,15 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
                     both = np.concatenate([sets[x], sets[y]])
                     both.sort(kind="stable")
                     common_ = int(np.count_nonzero(both[1:] == both[:-1]))
-                    keep.append(100 * common_ >= percent * (len(both) - common_))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    far.append(1 - common_ / (len(both) - common_))
+                    linked.append(100 * common_ >= percent * (len(both) - common_))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "far", "linked"])
 
     found = docs.join(common.if_small(ids), F.col("doc_id").eqNullSafe(F.col("id_doc")) & (F.col("text_key") == F.col("id_key"))).select("id", "text")
     texts = found.transform(common.in_arrow, pack, "id long, packed binary").groupBy("id").agg(F.first("packed").alias("packed"))  # one of repeated rows
     texts = common.written(texts, "texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("id").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(common.in_arrow, compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(common.in_arrow, compare, "a long, b long, far double, linked boolean")
 
 
 def _ordered_pairs(a: str, b: str, pairs: DataFrame) -> DataFrame:
@@ -185,27 +192,65 @@ def _ordered_pairs(a: str, b: str, pairs: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Verified links so far, the pairs that were tried, and the components."""
+    """Verified links so far, the pairs that were tried with their distances, and the components."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
         self.docs, self.classes, self.percent = docs, classes, percent
-        self.links = self.tried = self.comps = docs.sparkSession.createDataFrame([], "a long, b long")
-        self.comps = self.comps.toDF("node", "component")
+        self.tried = docs.sparkSession.createDataFrame([], "a long, b long, far double, linked boolean")
+        self.comps = docs.sparkSession.createDataFrame([], "node long, component long")
+
+    @property
+    def links(self) -> DataFrame:
+        return self.tried.where("linked").select("a", "b")
 
     def try_(self, pairs: DataFrame) -> tuple[int, int]:
         """Verifies the pairs (a, b) that are new; their number, and how many link."""
         new = common.written(pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
-        n = new.count()
-        if n == 0:
+        if new.isEmpty():
             return 0, 0
-        more = common.written(verified(self.docs, self.classes, new, self.percent), "links")
-        linked = more.count()
-        self.tried = self.tried.union(new)
+        more = common.written(verified(self.docs, self.classes, new, self.percent), "tried")
+        n, linked = more.agg(F.count("*"), F.count_if("linked")).first()
+        self.tried = self.tried.union(more)
         if linked:
-            self.links = self.links.union(more)
             self.comps = components(self.links)
         return n, linked
 
+    def of_two(self, pairs: DataFrame) -> DataFrame:
+        """Rows of `pairs` (a, b, ...) whose ends are in different components."""
+        for end in ("a", "b"):
+            of_end = self.comps.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+            pairs = pairs.join(common.if_small(of_end), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+        return pairs.where("_a <> _b").drop("_a", "_b")
+
+    def distance(self, a: str, b: str, pairs: DataFrame, name: str) -> DataFrame:
+        """`pairs` with the distance of columns a and b as `name`, null where it was not tried."""
+        known = self.tried.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("far").alias(name))
+        return pairs.join(known, (F.greatest(a, b) == F.col("_x")) & (F.least(a, b) == F.col("_y")), "left").drop("_x", "_y")
+
+    def expand(self, members: DataFrame) -> None:
+        """Tries members (head, x, d) of groups whose heads were tried and do not share a component, as far as distances
+        allow a link; a head is no member of its own. Rounding is met by `SLACK`."""
+        near = F.lit(1 - self.percent / 100 + SLACK)
+        reach = common.written(members.groupBy("head").agg(F.max("d").alias("reach")), "reach")
+        wide = common.written(self.tried.where(~F.col("linked")).transform(self.of_two).select("a", "b", "far"), "apart")
+        for end in ("a", "b"):
+            wide = wide.join(common.if_small(reach.toDF(end, f"reach_{end}")), end, "left")
+        wide = wide.where(F.col("far") <= near + F.coalesce("reach_a", F.lit(0.0)) + F.coalesce("reach_b", F.lit(0.0))).where("reach_a is not null or reach_b is not null")
+        wide = common.written(wide.select("a", "b", "far"), "wide")
+        if wide.isEmpty():
+            return
+        of = lambda end, x, d: members.select(F.col("head").alias(end), F.col("x").alias(x), F.col("d").alias(d))
+        left, right = wide.join(of("a", "x", "dx"), "a"), wide.join(of("b", "y", "dy"), "b")
+        with_heads = left.where(F.col("dx") + near >= F.col("far")).select("x", F.col("b").alias("y")).union(right.where(F.col("dy") + near >= F.col("far")).select(F.col("a").alias("x"), "y"))
+        self.try_(_ordered_pairs("x", "y", with_heads))
+
+        # distances to the other head, or a lower bound of it, on both sides
+        left = self.distance("x", "b", self.of_two(wide).join(of("a", "x", "dx"), "a"), "dxb").withColumn("dxb", F.coalesce("dxb", F.col("far") - F.col("dx")))
+        right = self.distance("y", "a", self.of_two(wide).join(of("b", "y", "dy"), "b"), "dya").withColumn("dya", F.coalesce("dya", F.col("far") - F.col("dy")))
+        left, right = common.written(left, "left"), common.written(right.drop("far"), "right")
+        close = (F.col("dx") + F.col("dy") + near >= F.col("far")) & (F.col("dxb") <= F.col("dy") + near) & (F.col("dya") <= F.col("dx") + near)
+        self.try_(_ordered_pairs("x", "y", left.join(right, ["a", "b"]).where(close)))
+
 
 def _still_open(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Rows (shingle, g, n, p) with their component c, on shingles where components meet, that a row there may admit.
@@ -234,7 +279,9 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = _Links(docs, classes, percent)
     found.try_(classes.join(heads, ["k1", "k2", "n"]).select(F.col("row").alias("a"), "b").where("a > b"))
 
-    carriers = classes.select("row").join(found.links.select(F.col("a").alias("row")), "row", "left_anti")
+    # members that their group's head stands for, with their distance from it
+    members = found.tried.where("linked").select(F.col("b").alias("head"), F.col("a").alias("x"), F.col("far").alias("d"))
+    carriers = classes.select("row").join(members.select(F.col("x").alias("row")), "row", "left_anti")
     idle = common.written(sets.select("row").join(carriers, "row", "left_anti"), "idle")
     rows = common.without(table.select("row", "n", "prefix"), idle, "row").select(F.posexplode("prefix").alias("p", "shingle"), F.col("row").alias("g"), F.col("n").cast("int").alias("n"))
     shared = rows.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle")
@@ -263,6 +310,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     x = left.select("shingle", "c", row.alias("x")).join(both, ["shingle", "c"]).drop("c")
     y = left.select("shingle", F.col("c").alias("other"), row.alias("y"))
     found.try_(_ordered_pairs("x.g", "y.g", x.join(y, ["shingle", "other"]).where(_may_link("x", "y", percent))))
+    found.expand(members)
 
     # the name of a component is its smallest doc_id; only classes of several rows or with links need one
     named = classes.select("s1", "s2", "n", "row", "least", "copies").join(common.if_small(found.comps), F.col("row") == F.col("node"), "left")
