@@ -6,7 +6,9 @@ characters with letters and digits, no part of a base span, with a sensitive wor
 whose marginal compressed size (zstandard of its surroundings with it, less without it, primed by a dictionary of
 common identifiers) is at least `NOVEL` bytes a character. Tokens that the dictionary or the surrounding code already
 hold cost little and are left alone. In an assignment without spaces (`private_key=Zx81k...`) the name before an inner
-`=` is context, and the value after it is the token; the token as a whole is tried where no value qualifies.
+`=` is context, and the value after it is the token. Tried in turn are the values after the first and the last sensitive name,
+the token as a whole, and the values after the first and the last other name: five at most, so that work stays linear in the
+length of a token, however many `=` it holds.
 
 Spans are (kind, start, end) in code points, end exclusive, by start and then kind in the order above. Null and empty
 texts have none. Extra columns pass through `redacted`. An empty table gives an empty result.
@@ -75,10 +77,11 @@ class Scanner:
                 k += 1
             if reach > start:
                 continue
-            # values after a sensitive name, then the whole token, then values after other names
-            cuts = [start + x.end() for x in INNER.finditer(m[0])]
-            named = [b for a, b in zip([start, *cuts], cuts, strict=False) if SENSITIVE.search(text, a, b)]
-            for at in [*named, start, *(c for c in cuts if c not in named)]:
+            places, before = {True: [], False: []}, start  # the first and the last value, after sensitive and after other names
+            for cut in INNER.finditer(text, start, end):
+                found = places[bool(SENSITIVE.search(text, before, cut.end()))]
+                found[1:], before = [cut.end()], cut.end()
+            for at in [*places[True], start, *places[False]]:
                 if self.is_novel(text, at, end):
                     out.append((start if self.is_novel(text, start, at) else at, 3, end))
                     break
