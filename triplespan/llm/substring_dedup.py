@@ -3,9 +3,9 @@
 A window is 13 consecutive words of one document; words are taken unchanged. Its fingerprint in the index is its
 anchor: the least hash of its 6-word shingles. Equal windows have equal anchors, and neighbouring windows mostly share
 one, so the index holds about a fifth as many rows as there are words. `FingerprintIndex` keeps sorted immutable runs
-(anchor, first, last document) below a path; each new batch is merge-joined with the runs, becomes a run itself, and runs
-are compacted to one when there are more than `MOST_RUNS`. A later session can open the path and add the next batch. What comes out are hits: documents and the anchors that they
-share with another one.
+(anchor, first, last document) below a path; each new batch is merge-joined with the runs and becomes a run itself; more
+than `MOST_RUNS` runs are compacted to one before the next batch reads them. A later session can open the path and add the
+next batch, in any order of ids. What comes out are hits: documents and the anchors that they share with another one.
 
 Hits are then verified. Only windows on shared anchors are compared, by 128 bits of two independent hashes of their
 words; the smallest doc_id owns a window, and every later document loses the words under it. Whole copies of an
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from triplespan.llm import common
 from triplespan.llm.shingles import SECOND, U64, Words, parts
 
-WINDOW, ANCHOR, MOST_RUNS, BATCHES = 13, 6, 2, 3
+WINDOW, ANCHOR, MOST_RUNS, BATCHES = 13, 6, 1, 3
 #: A side of at most this many bytes, as counted, is broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -68,7 +68,9 @@ class FingerprintIndex:
     loses nothing that a later batch needs. A run is a Parquet table in buckets by anchor, each sorted, so that a batch
     is merge-joined with history without moving it. All runs of an index have as many buckets as the session that made it
     has shuffle partitions: the grouping of a batch then leaves each bucket in one task. A run counts once it is whole; one
-    that a lost compaction leaves beside its sources does no harm. Batches must come in ascending order of doc_id.
+    that a lost compaction leaves beside its sources does no harm. Batches may come in any order of doc_id: where one brings
+    a smaller owner of an anchor, the owner until then comes out again, as a later document. Names in the catalog last only
+    while a table is opened.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS):
@@ -86,18 +88,23 @@ class FingerprintIndex:
 
     def run(self, path: str) -> DataFrame:
         """A run as a table that Spark knows to be bucketed."""
-        name = f"run_{hashlib.md5(path.encode()).hexdigest()}"
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{path}'")
-        return self.spark.table(name)
+        name, place = f"run_{uuid.uuid4().hex}", path.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        rows = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan knows them
+        return rows
 
     def _store(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.path}/run-{self.buckets}-{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").format("parquet").option("path", path).saveAsTable(f"run_{uuid.uuid4().hex}")
+        path, name = f"{self.path}/run-{self.buckets}-{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").format("parquet").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
         return self.run(path)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Hits (doc_id, anchor, is_first) that the batch brings, of its own documents and of earlier ones whose anchors
         become shared."""
+        if len(self.runs()) > self.most_runs:
+            self.compact()
         found, old = anchors(docs), self.runs()
         run = self._store(found.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
         met, past, past_last = run, F.lit(None).cast("long"), F.lit(None).cast("long")
@@ -105,14 +112,12 @@ class FingerprintIndex:
             met = met.join(self.run(path).select("anchor", F.col("first").alias(f"first{k}"), F.col("last").alias(f"last{k}")), "anchor", "left")
             past, past_last = F.least(past, F.col(f"first{k}")), F.greatest(past_last, F.col(f"last{k}"))
         met = met.select("anchor", "first", "last", past.alias("past"), past_last.alias("past_last")).where("past is not null or first < last")
-        alone = F.when(F.col("past") == F.col("past_last"), F.col("past"))
-        met = common.written(met.select("anchor", F.coalesce("past", "first").alias("first"), alone.alias("alone")), "met")
+        # an earlier owner comes out if it had the anchor alone until now, or is no owner any more
+        again = F.when((F.col("past") == F.col("past_last")) | (F.col("first") < F.col("past")), F.col("past"))
+        met = common.written(met.select("anchor", F.least("past", "first").alias("first"), again.alias("again")), "met")
         mine = found.join(met, "anchor").select("doc_id", "anchor", (F.col("doc_id") == F.col("first")).alias("is_first"))
-        theirs = met.where("alone is not null").select(F.col("alone").alias("doc_id"), "anchor", F.lit(True).alias("is_first"))
-        hits = common.written(mine.union(theirs), "hits")
-        if len(old) + 1 > self.most_runs:
-            self.compact()
-        return hits
+        theirs = met.where("again is not null").select(F.col("again").alias("doc_id"), "anchor", (F.col("again") == F.col("first")).alias("is_first"))
+        return common.written(mine.union(theirs), "hits")
 
     def compact(self) -> None:
         """Merges all runs to one, bucket by bucket, and deletes them."""
@@ -157,6 +162,15 @@ def windows_on(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "text_key").join(wanted, "doc_id").transform(common.in_arrow, run, schema)
 
 
+def lost_windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start) of the windows that a smaller document owns."""
+    found = windows_on(docs, hits)
+    # counted and written first, so that the join below can split a window of very many documents over tasks
+    owners = found.groupBy("window", "verify").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "verify", "owner")
+    owners = common.written(owners, "owners")
+    return found.where("later").join(owners, ["window", "verify"]).where("owner < doc_id").select("doc_id", "text_key", "start")
+
+
 def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, text_key, whole, ranges): the words that go, as starts and ends in turn; whole: a copy of an earlier text."""
     known = docs.where("doc_id is not null and text is not null")
@@ -176,11 +190,7 @@ def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     whole = copies.select("doc_id", "text_key", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("ranges"))
     if hits is None:
         return whole
-    found = windows_on(rest, hits)
-    # counted and written first, so that the join below can split a window of very many documents over tasks
-    owners = found.groupBy("window", "verify").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "verify", "owner")
-    owners = common.written(owners, "owners")
-    lost = found.where("later").join(owners, ["window", "verify"]).where("owner < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    lost = lost_windows(rest, hits).groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
