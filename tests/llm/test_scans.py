@@ -179,6 +179,21 @@ def test_long_runs():
         began = time.process_time()
         pii.candidates(text, pii.base_spans(text))
         assert time.process_time() - began < 20, text[:9]
+    scanner, n = secrets.Scanner(), 5 << 20
+    for text in ("access1=" * (n // 8), "auth " + "k" * 1000 + "1=" * (n // 2), "token aB3" + "x9=secret=" * (n // 10), "AKIAaZ9=" * (n // 8), "secret" + " " * n):
+        began = time.process_time()
+        scanner.spans(text)
+        assert time.process_time() - began < 10, text[:9]
+
+
+def test_inner_names():
+    """Of a token with several names, the values after the first and the last sensitive one are tried, then the whole."""
+    value = "Zq81kPwX4vT7bLm2Rn9c"
+    novel = lambda text: [text[a:b] for a, k, b in secrets.Scanner().spans(text)[1] if k == 3]
+    assert novel(f"x=1=private_key={value}") == [value]
+    assert novel(f"private_key=a=b=credential=c=auth={value}") == [f"a=b=credential=c=auth={value}"]
+    assert novel(f"auth {'a1=' * 4}{value}")[0].endswith(value)
+    assert novel(f"plain x=1=y={value}") == []
 
 
 def test_whole_words_before(spark):
