@@ -11,7 +11,7 @@ import sys
 sys.path.insert(0, sys.argv[1])
 import __spark_entry__ as entry
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", sys.argv[2]).getOrCreate()
+spark = SparkSession.builder.master("local-cluster[1,1,512]").config("spark.driver.memory", "600m").config("spark.executor.memory", "512m").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", sys.argv[2]).getOrCreate()
 print("rows", len(entry.queries()["greedy_matches"](spark, "/root/testdata/sf0.001").limit(3).collect()))
 """
 

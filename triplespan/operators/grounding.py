@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triplespan.functions.text import normal_label
+from triplespan.operators.candidates import containing, near_pairs
 from triplespan.plans.patterns import COLUMNS, LABEL
 from triplespan.plans.tables import written
 
@@ -35,81 +37,85 @@ def whole_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_ratios(zip(a, b, strict=True), False))
 
 
-@F.pandas_udf(T.DoubleType())
-def best_part_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The best ratio of the shorter text with an equally long part of the longer one, at its matching blocks."""
+def best_part(x: str | None, y: str | None) -> float:
+    """The best ratio of the shorter text with any equally long part of the longer one.
+
+    A part shares at most so many characters with the shorter text, counted as the window moves: parts are tried in order of
+    that bound, and none is tried that cannot beat the best one."""
+    if not x or not y:
+        return 0.0
+    short, long = sorted((x, y), key=len)
+    n, want, have, both, bounds = len(short), Counter(short), Counter(), 0, []
+    for end, c in enumerate(long):
+        both, have[c] = both + (have[c] < want[c]), have[c] + 1
+        if end >= n:
+            old = long[end - n]
+            have[old] -= 1
+            both -= have[old] < want[old]
+        if end >= n - 1:
+            bounds.append((-both, end - n + 1))
+    best, matcher = 0.0, SequenceMatcher(None, autojunk=False)
+    matcher.set_seq2(short)
+    for bound, start in sorted(bounds):
+        if -bound / n <= best:
+            break
+        matcher.set_seq1(long[start : start + n])
+        best = max(best, matcher.ratio())
+    return best
 
-    def best(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        short, long = sorted((x, y), key=len)
-        starts = {max(0, j - i) for i, j, _ in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()}
-        return max(SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts)
 
-    return pd.Series([best(x, y) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(T.DoubleType())
+def best_part_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """`best_part` of each pair."""
+    return pd.Series([best_part(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def sorted_words(c: Column) -> Column:
     return F.array_join(F.sort_array(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")), " ")
 
 
-SCORERS = {"ratio": lambda a, b: ratio(F.lower(a), F.lower(b)), "structure": whole_ratio, "partial": lambda a, b: best_part_ratio(F.lower(a), F.lower(b)), "words": lambda a, b: ratio(sorted_words(a), sorted_words(b))}
-
 
-def possible(a: Column, b: Column, cutoff: float) -> Column:
-    """Whether the lengths still allow a ratio of `cutoff`: an exact bound that stays in the JVM."""
-    x, y = F.length(a), F.length(b)
-    return 2 * F.least(x, y) >= F.lit(cutoff) * (x + y) - SLACK
 
+#: The text that a scorer compares, and whether it takes parts.
+FORMS = {"ratio": (F.lower, False), "structure": (lambda c: c, False), "partial": (F.lower, True), "words": (sorted_words, False)}
 
-#: For bounds in floating point.
-SLACK = 1e-9
-#: Buckets of a text's character counts.
-LETTERS = 32
-
-
-def letter_counts(c: Column) -> Column:
-    """How many characters fall in each bucket of their codes: an array of LETTERS numbers."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.pmod(F.ascii(x), F.lit(LETTERS)))
-    return F.transform(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda i: F.size(F.filter(codes, lambda x: x == i)))
-
-
-def may_share(a: Column, b: Column, lengths: Column, cutoff: float) -> Column:
-    """Whether the characters that two texts have in common, by their counts, still allow a ratio of `cutoff`: matching
-    blocks never hold more of a character than both texts have. An exact bound that stays in the JVM."""
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    return 2 * both >= F.lit(cutoff) * lengths - SLACK
 
+def compared(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, scorer: str = "ratio") -> DataFrame:
+    """Pairs of distinct queries (query) and candidates (label, ...) with a score of `cutoff`, over 0, or more. Pairs come
+    from an index of rare characters (`near_pairs`), so that Python only sees those whose characters allow the cutoff."""
+    form, part = FORMS[scorer]
+    asked = queries.select("query", form(F.col("query")).alias("q")).distinct()
+    known = candidates.withColumn("l", form(F.col("label")))
+    pairs = near_pairs(asked, known, cutoff, part)
+    score = {"ratio": ratio, "structure": whole_ratio, "partial": best_part_ratio, "words": ratio}[scorer]
+    scored = pairs.withColumn("score", score(F.col("q"), F.col("l"))).where(F.col("score") >= cutoff)
+    return scored.join(asked, "q").join(known, "l").select("query", *candidates.columns, "score")
 
-#: Queries that are broadcast at a time.
-BLOCK = 10_000
 
+#: Cutoffs that are tried before the one that is asked for.
+STEPS = (0.95, 0.85, 0.7)
 
-def in_blocks(queries: DataFrame, candidates: DataFrame, condition: Column) -> DataFrame:
-    """Candidates joined with distinct `queries` on any condition: a block of about BLOCK queries is broadcast at a time,
-    and the candidates stay where they are."""
-    queries = queries.distinct()
-    blocks = -(-queries.count() // BLOCK) or 1
-    part = lambda k: queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)) == k) if blocks > 1 else queries
-    return reduce(DataFrame.union, (candidates.join(F.broadcast(part(k)), condition) for k in range(blocks)))
 
+def nearest(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, limit: int = 1, scorer: str = "ratio") -> DataFrame:
+    """As `compared`, but for each query at least its best `limit` candidates and all as good as the last of them.
 
-def compared(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, scorer: str = "ratio") -> DataFrame:
-    """Pairs of distinct queries (query) and candidates (label, ...) with a score of `cutoff` or more. Lengths and counts of
-    characters, made once a text, keep most pairs from Python."""
-    condition, asked, known = F.lit(True), queries.select("query"), candidates
-    if scorer in ("ratio", "structure"):
-        form = F.lower if scorer == "ratio" else F.col
-        asked = asked.withColumn("_q", letter_counts(form("query")))
-        known = known.withColumn("_l", letter_counts(form("label")))
-        condition = possible(form("query"), form("label"), cutoff) & may_share(F.col("_q"), F.col("_l"), F.length(form("query")) + F.length(form("label")), cutoff)
-    return in_blocks(asked, known, condition).drop("_q", "_l").withColumn("score", SCORERS[scorer](F.col("query"), F.col("label"))).where(F.col("score") >= cutoff)
+    Cutoffs fall step by step, as a high one has short prefixes, and a query leaves when it has found enough."""
+    left, found = written(queries.select("query").where("query is not null").distinct(), "queries"), []
+    for step in (*(s for s in STEPS if s > cutoff), cutoff):
+        got = written(compared(left, candidates, step, scorer), "scored")
+        done = got.groupBy("query").agg(F.count_distinct("label").alias("n")).where(F.col("n") >= limit) if step > cutoff else got.select("query").distinct()
+        found.append(got.join(done.select("query"), "query", "left_semi"))
+        if step > cutoff:
+            left = written(left.join(done, "query", "left_anti"), "queries")
+            if left.isEmpty():
+                break
+    return reduce(DataFrame.union, found)
 
 
 def fuzzy(queries: DataFrame, candidates: DataFrame, cutoff: float = 0.6, limit: int = 10, scorer: str = "ratio") -> DataFrame:
     """For each row of `queries` (query) the best `limit` labels of `candidates` (label) with a score of `cutoff` or more,
     rounded to four digits, ties by label."""
-    scored = compared(queries, candidates.select("label").distinct(), cutoff, scorer)
+    scored = nearest(queries, candidates.select("label").distinct(), cutoff, limit, scorer)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "label"))  # Spark cuts to the limit before it shuffles
     return scored.withColumn("_place", place).where(F.col("_place") <= limit).select("query", "label", F.round("score", 4).alias("score"))
 
@@ -120,12 +126,13 @@ def best_of(scored: DataFrame, key: str = "subject", limit: int = 10) -> DataFra
 
 
 def by_label(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(query, iri, score): 100 for the same normalised label; only where there is none, 50 for labels that contain it."""
+    """(query, iri, score): 100 for the same normalised label; only where there is none, 50 for labels that contain it.
+    A blank query is in no label."""
     q = queries.select("query", normal_label(F.col("query")).alias("key")).distinct()
     known = labels.select("iri", normal_label(F.col("label")).alias("name"))
     exact = known.join(q, F.col("name") == F.col("key")).select("query", "iri", F.lit(100).alias("score"))
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-    inside = in_blocks(rest, known, F.col("name").contains(F.col("key"))).select("query", "iri", F.lit(50).alias("score"))
+    inside = containing(rest, known).join(rest, "key").join(known, "name").select("query", "iri", F.lit(50).alias("score"))
     return exact.union(inside).distinct()
 
 
@@ -142,7 +149,7 @@ def grounded(named: DataFrame, reference: DataFrame, cutoff: float = 0.6) -> Dat
 
     Its labels are tried in order, and the first with a match decides: best score, then smallest IRI."""
     asked = named.select("s", F.posexplode("labels").alias("place", "query"))
-    scores = compared(asked, reference.select(F.col("label"), "iri"), cutoff)
+    scores = nearest(asked, reference.select(F.col("label"), "iri"), cutoff)
     pairs = asked.join(scores.select("query", "iri", "score"), "query")
     return pairs.groupBy("s").agg(F.min_by("iri", F.struct("place", (-F.col("score")).alias("x"), "iri")).alias("iri"))
 

@@ -352,6 +352,34 @@ def near_numbers(truth: DataFrame, found: DataFrame, by: str, value: str, tolera
     return t.join(f, [by, "cell"]).where(F.abs(F.col("t") - F.col("f")) <= tolerance).drop("cell")
 
 
+def near_matches(truth: DataFrame, found: DataFrame, by: str, value: str, tolerance: float = 3) -> DataFrame:
+    """(by, n_truth, n_found, pairs): distinct numbers of a key matched one to one, pairs being an array of (t, f).
+
+    True numbers choose in ascending order, each the nearest one found that is still free and at most `tolerance` away, the
+    smaller of two that are as near. One fold over a key's sorted numbers: those too small for the next one are left behind.
+    A key's distinct numbers are one row, so `by` should name records. Nulls match nothing."""
+    sets = lambda df, name: df.where(F.col(value).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_set(F.col(value).cast("double"))).alias(name))
+    none = F.array().cast("array<double>")
+    both = sets(truth, "_t").join(sets(found, "_f"), by, "full").select(by, F.coalesce("_t", none).alias("_t"), F.coalesce("_f", none).alias("_f"))
+
+    def step(state: Column, t: Column) -> Column:
+        free = F.filter(state["free"], lambda f: f >= t - tolerance)
+        near = F.transform(F.filter(free, lambda f: f <= t + tolerance), lambda f: F.struct(F.abs(f - t).alias("far"), f.alias("f")))
+        pick = F.array_min(near)["f"]
+        pairs = F.when(pick.isNotNull(), F.array_append(state["pairs"], F.struct(t.alias("t"), pick.alias("f")))).otherwise(state["pairs"])
+        return F.struct(F.when(pick.isNotNull(), F.array_remove(free, pick)).otherwise(free).alias("free"), pairs.alias("pairs"))
+
+    start = F.struct(F.col("_f").alias("free"), F.array().cast("array<struct<t:double,f:double>>").alias("pairs"))
+    pairs = F.aggregate("_t", start, step, lambda state: state["pairs"])
+    return both.select(by, F.size("_t").alias("n_truth"), F.size("_f").alias("n_found"), pairs.alias("pairs"))
+
+
+def near_scores(truth: DataFrame, found: DataFrame, by: str, value: str, tolerance: float = 3) -> DataFrame:
+    """Counts per `by` of numbers matched one to one within `tolerance`."""
+    matched = near_matches(truth, found, by, value, tolerance).withColumn("n", F.size("pairs"))
+    return matched.select(by, F.col("n").alias("tp"), (F.col("n_found") - F.col("n")).alias("fp"), (F.col("n_truth") - F.col("n")).alias("fn"))
+
+
 # tests
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 def written(df: DataFrame, name: str = "round") -> DataFrame:
     """`df` as a table in the folder that executors share, which cuts the lineage; below the warehouse only where no folder is
-    named."""
+    named and all run on this machine."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -222,10 +222,11 @@ def sample_neighbourhood(g: MappedGraph) -> DataFrame:
 
 
 @on_graph(TRIPLES + f""", c AS (SELECT o AS class, min(s) AS centre, count(*) AS n FROM x WHERE p = '{TYPE}' GROUP BY o),
-h AS (SELECT centre, x.* FROM c JOIN x ON s = centre UNION SELECT centre, x.* FROM c JOIN x ON o = centre AND k = 'iri')
-SELECT class, n, c.centre AS sample, (SELECT count(*) FROM h WHERE h.centre = c.centre) AS n_triples FROM c""")
+h AS (SELECT centre, x.* FROM c JOIN x ON s = centre UNION SELECT centre, x.* FROM c JOIN x ON o = centre AND k = 'iri'), m AS (SELECT centre, s AS node FROM h UNION SELECT centre, o FROM h WHERE k = 'iri'),
+near AS (SELECT centre, s, p, o, k FROM h UNION SELECT centre, s, p, o, k FROM m JOIN x ON s = node UNION SELECT centre, s, p, o, k FROM m JOIN x ON o = node AND k = 'iri'), sizes AS (SELECT centre, count(*) AS n_triples FROM near GROUP BY centre)
+SELECT class, n, c.centre AS sample, n_triples FROM c JOIN sizes USING (centre)""")
 def class_report(g: MappedGraph) -> DataFrame:
-    return integration.class_report(g.triples, hops=1)
+    return integration.class_report(g.triples)
 
 
 @on_graph(TRIPLES + "SELECT s, count(*) AS n_facts, arg_min(p, (p, o)) AS first_p FROM (SELECT DISTINCT s, p, o FROM x) GROUP BY s")
@@ -274,9 +275,9 @@ def sameas_grounding(g: MappedGraph) -> DataFrame:
 
 @on_tables("""SELECT 'd' || doc_id AS s, 'd' || first AS iri FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first""")
 def canonical_merge(table) -> DataFrame:
-    docs = table("documents").where("text is not null")
     name = lambda c: F.lpad(c.cast("string"), 20, "0")  # noqa: E731 - so that the smallest name is that of the smallest id
-    facts = docs.select(name(F.col("doc_id")).alias("s"), F.lit("text").alias("p"), F.sha2("text", 256).alias("o"), F.lit("lit").alias("o_kind"))
+    digest = F.coalesce(F.sha2("text", 256), F.lit("no text"))
+    facts = table("documents").select(name(F.col("doc_id")).alias("s"), F.lit("text").alias("p"), digest.alias("o"), F.lit("lit").alias("o_kind"))
     short = lambda c: F.concat(F.lit("d"), F.col(c).cast("long").cast("string"))
     return grounding.canonical(facts).select(short("s").alias("s"), short("iri").alias("iri"))
 

@@ -111,29 +111,48 @@ def formula_score(table) -> DataFrame:
     return table("part").select("p_partkey", chemistry.candidate_score(chemistry.formula(mine), chemistry.weight(mine), chemistry.formula(target), chemistry.weight(target)).alias("score"))
 
 
-@on_tables("""SELECT id, model, n_a, n_b, closes, formula FROM (VALUES (1, 0, 12, 30, true, '[A]12[B]30^{18-}'), (2, 2, 12, 24, true, '[A]12[B]24^{12-}'), (3, 6, 6, 8, false, '[A]6[B]8^{2-}')) v(id, model, n_a, n_b, closes, formula) WHERE (SELECT count(*) FROM region) > 0""")
+@on_tables("""WITH u AS (SELECT p_partkey AS id, 2 + p_partkey % 4 AS a, 2 + p_size % 4 AS b, p_partkey % 3 = 0 AS flat_a, p_size % 3 <> 1 AS flat_b, p_size % 5 - 2 AS qa, p_partkey % 3 - 1 AS qb FROM part),
+kinds AS (SELECT *, a || CASE WHEN a = 2 THEN '-linear' WHEN a IN (3, 4) AND flat_a THEN '-planar' ELSE '-pyramidal' END AS kind_a,
+b || CASE WHEN b = 2 AND flat_b THEN '-linear' WHEN b = 2 THEN '-bent' WHEN b IN (3, 4) AND flat_b THEN '-planar' ELSE '-pyramidal' END AS kind_b FROM u),
+m(model, kind_a, kind_b, n_a, n_b) AS (VALUES (0, '5-pyramidal', '2-linear', 12, 30), (1, '2-linear', '5-pyramidal', 30, 12), (2, '4-planar', '2-bent', 12, 24), (3, '2-bent', '4-planar', 24, 12), (4, '4-pyramidal', '3-planar', 6, 8), (5, '3-planar', '4-pyramidal', 8, 6), (6, '3-pyramidal', '4-planar', 6, 8), (7, '4-planar', '3-pyramidal', 8, 6))
+SELECT id, model, n_a, n_b, n_a * a = n_b * b AS closes, '[A]' || n_a || '[B]' || n_b || CASE WHEN n_a * qa + n_b * qb = 0 THEN '' ELSE '^{' || abs(n_a * qa + n_b * qb) || CASE WHEN n_a * qa + n_b * qb > 0 THEN '+}' ELSE '-}' END END AS formula
+FROM kinds JOIN m USING (kind_a, kind_b)""")
 def assembly_closure(table) -> DataFrame:
-    spark = table("region").sparkSession
-    rows = [(1, "[A]", "[B]", 1, -1, 5, 2, "pyramidal", "linear"), (2, "[A]", "[B]", 1, -1, 4, 2, "planar", "bent"), (3, "[A]", "[B]", 1, -1, 3, 4, "pyramidal", "planar"), (4, "[A]", "[B]", 1, -1, 2, 2, "bent", "bent")]
-    pairs = spark.createDataFrame(rows, "id int, formula_a string, formula_b string, charge_a int, charge_b int, modularity_a int, modularity_b int, planarity_a string, planarity_b string")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pairs = table("part").select(
+        key.alias("id"), F.lit("[A]").alias("formula_a"), F.lit("[B]").alias("formula_b"), (size % 5 - 2).alias("charge_a"), (key % 3 - 1).alias("charge_b"), (2 + key % 4).alias("modularity_a"), (2 + size % 4).alias("modularity_b"),
+        F.when(key % 4 == 0, "linear").when(key % 3 == 0, "planar").otherwise("pyramidal").alias("planarity_a"), F.when((size % 4 == 0) & (size % 3 != 1), "linear").when(size % 3 != 1, "Planar ").otherwise("pyramidal").alias("planarity_b"),
+    )
     return chemistry.assembled(pairs).where("best").select("id", "model", "n_a", "n_b", "closes", "formula")
 
 
 # labels
 
 
+def part_labels(table) -> DataFrame:
+    label = F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand")
+    return table("part").select("p_partkey", F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("iri"), label.alias("label"))
+
+
 @on_tables()
 def fuzzy_topk(table) -> DataFrame:
-    nations = table("nation").select(F.col("n_name").alias("query"))
-    return grounding.fuzzy(nations, table("customer").select(F.col("c_name").alias("label")).unionByName(table("nation").select(F.reverse("n_name").alias("label"))), cutoff=0.3, limit=5)
+    """The five labels most like that of each part whose id is divisible by 100, of all parts but equal ones."""
+    labels = part_labels(table)
+    asked = labels.where("p_partkey % 100 = 0").select(F.reverse("label").alias("query")).unionByName(labels.where("p_partkey % 100 = 0").select(F.regexp_replace("label", "[aeiou]", "").alias("query")))
+    return grounding.fuzzy(asked, labels.select("label"), cutoff=0.3, limit=5)
+
 
+ASKED = """l AS (SELECT p_partkey, 'i' || p_partkey AS iri, p_name || ' ' || lower(p_type) || ' ' || p_brand AS label, lower(p_name || ' ' || p_type || ' ' || p_brand) AS name FROM part),
+q AS (SELECT DISTINCT upper(label) AS query, name AS key FROM l WHERE p_partkey % 200 = 0 UNION SELECT DISTINCT substr(label, 3, 9), trim(substr(name, 3, 9)) FROM l WHERE p_partkey % 100 = 0 UNION SELECT DISTINCT substr(label, 1, 3), substr(name, 1, 3) FROM l WHERE p_partkey % 100 = 0)"""
 
-@on_tables("""SELECT n_name AS query, 'i' || p_partkey AS iri, 50 AS score FROM nation JOIN part ON contains(lower(p_name || ' ' || substr(n_name, 1, 0)), lower(n_name)) UNION ALL SELECT r_name, 'r' || r_regionkey, 100 FROM region""")
+
+@on_tables(f"""WITH {ASKED} SELECT query, iri, 100 AS score FROM q JOIN l ON name = key UNION ALL SELECT query, iri, 50 FROM q JOIN l ON contains(name, key) WHERE NOT EXISTS (SELECT 1 FROM l x WHERE x.name = key)""")
 def label_lookup(table) -> DataFrame:
-    queries = table("nation").select(F.col("n_name").alias("query")).unionByName(table("region").select(F.col("r_name").alias("query")))
-    labels = table("part").select(F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("iri"), F.col("p_name").alias("label"))
-    labels = labels.unionByName(table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("iri"), F.upper("r_name").alias("label")))
-    return grounding.by_label(queries, labels)
+    """Whole labels, and parts of them, of parts whose id is divisible by 100, looked up among all parts."""
+    labels = part_labels(table)
+    hundredth = labels.where("p_partkey % 100 = 0")
+    asked = labels.where("p_partkey % 200 = 0").select(F.upper("label").alias("query")).union(hundredth.select(F.substring("label", 3, 9))).union(hundredth.select(F.substring("label", 1, 3)))
+    return grounding.by_label(asked, labels.select("iri", "label"))
 
 
 @on_tables("""SELECT 'p' || min(p_partkey) AS iri, p_name AS s FROM part GROUP BY p_name""")
@@ -293,6 +312,17 @@ def tolerance_match(table) -> DataFrame:
     return scoring.near_numbers(truth, found, "part", "v")
 
 
+@on_tables("""WITH RECURSIVE s AS (SELECT l_partkey AS k, coalesce(list_sort(list(DISTINCT l_quantity::DOUBLE) FILTER (l_linenumber % 2 = 1)), []) AS ts, coalesce(list_sort(list(DISTINCT l_quantity::DOUBLE) FILTER (l_linenumber % 2 = 0)), []) AS fs FROM lineitem GROUP BY 1),
+g AS (SELECT k, ts, fs AS free, 0 AS n, NULL::DOUBLE AS t, NULL::DOUBLE AS f FROM s
+UNION ALL SELECT k, ts, CASE WHEN pick IS NULL THEN free ELSE list_filter(free, lambda x: x <> pick) END, n + 1, ts[n + 1], pick
+FROM (SELECT *, list_sort(list_transform(list_filter(free, lambda x: abs(x - ts[n + 1]) <= 3), lambda x: {'d': abs(x - ts[n + 1]), 'x': x}))[1].x AS pick FROM g WHERE n < len(ts)))
+SELECT k AS part, t, f FROM g WHERE f IS NOT NULL""")
+def nearest_matches(table) -> DataFrame:
+    lines = table("lineitem").select(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("v"), "l_linenumber")
+    found = scoring.near_matches(lines.where("l_linenumber % 2 = 1"), lines.where("l_linenumber % 2 = 0"), "part", "v")
+    return found.select("part", F.explode("pairs").alias("m")).select("part", "m.t", "m.f")
+
+
 @on_tables("""SELECT source, count(*) AS n_expected, count(l.doc_id) AS n_got, count(l.doc_id) AS n_both, count(*) - count(l.doc_id) AS n_missing, 0 AS n_extra FROM (SELECT DISTINCT source, doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source""")
 def label_coverage(table) -> DataFrame:
     expected = table("documents").select("source", "doc_id")

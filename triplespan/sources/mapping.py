@@ -76,13 +76,16 @@ class MappedGraph(Graph):
 
     def __init__(self, spark: SparkSession, folder: str, entities: Sequence[Entity] = STAR, prefixes: dict[str, str] | None = None):
         self.spark, self.folder, self.entities, self.prefixes = spark, folder, entities, PREFIXES | (prefixes or {})
+        self._tables: dict[str, DataFrame] = {}  # opened once: listing files and reading schemas is work of the driver
 
     @property
     def triples(self) -> DataFrame:
         return self._union(self.rules(None))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def rules(self, predicates: Sequence[str] | None) -> list[tuple[Entity, str, object]]:
         """(entity, predicate, what) of the branches with these predicates; what: None or a Kind, an expression or (class, key)."""
