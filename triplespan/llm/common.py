@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,22 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-#: Bytes of an Arrow batch, fewer than Spark's own 64 MB, as batches are held in both processes of two tasks at a time.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch, fewer than Spark's own 64 MB, as batches are held in both processes of two tasks at a time, and in
+#: the JVM come from chunks of 16 MB that it keeps.
+BATCH_BYTES = 1 << 20
+
+
+def _then_trimmed(run):
+    """`run`, after which the worker, which stays for other tasks, gives its free memory back where it can."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return trimmed
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
@@ -31,12 +47,14 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(size, None) is None:
         conf.set(size, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_then_trimmed(run), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder under the warehouse only where none is named."""
+    """The folder that all executors share; a folder under the warehouse only where none is named and all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 
