@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from triplespan.sources import rdf
 
@@ -46,17 +44,9 @@ def repaired(text: str) -> str:
     return mended if not mended or mended.endswith(".") else mended.rstrip(";,") + " ."
 
 
-@F.pandas_udf(T.StringType())
-def _repaired(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(repaired)
-
-
 def lenient(files: DataFrame) -> DataFrame:
-    """Rows of `rdf.parsed` from (doc, text); a text that cannot be read is tried once more as `repaired`."""
-    first = rdf.parsed(files)
-    bad = first.where("error is not null").select("doc").distinct()
-    again = files.join(bad, "doc").select("doc", _repaired("text").alias("text"))  # only texts with errors
-    return first.where("error is null").unionByName(rdf.parsed(again))
+    """Rows of `rdf.parsed` from (doc, text); a text with errors is tried once more as `repaired`."""
+    return rdf.parsed(files, repaired)
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:

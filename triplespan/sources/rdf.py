@@ -1,138 +1,41 @@
 """Reading graphs from text files, one file per document, and writing them.
 
-N-Triples files are cut by Spark's own regular expressions, line by line. Turtle files are read whole, since prefixes and
-blank nodes hold for one file, and cut by a small tokenizer in an Arrow batch function; a file that cannot be read gives
-one row with `error` and no triple, and does not fail the job. Blank nodes are named by document, so those of different
-files never meet.
+N-Triples files are cut by Spark's own regular expressions, line by line. Small Turtle files are read whole, large ones by
+many tasks (`large_turtle_files`), and their statements by a small reader (`turtle.py`) in an Arrow batch function; a statement
+that cannot be read gives one row with `error` and no triple, and does not fail the job. Blank nodes are named by document,
+so those of different files never meet.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triplespan.plans.patterns import TYPE
+from triplespan.plans.tables import written
+from triplespan.sources.turtle import CLOSING, DIRECTIVE, ESCAPES, Reader, after, chunks, depth_after, turtle, unescaped  # noqa: F401
 
 SCHEMA = "doc string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string, error string"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 LINE = r'^\s*(<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(<([^>]*)>|_:([^\s.]\S*)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(#.*)?$'
-TOKEN = re.compile(
-    r'\s+|#[^\n]*|(?P<iri><[^<>"\s]*>)|(?P<text>"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|(?P<lang>@[A-Za-z][A-Za-z0-9-]*)'
-    r"|(?P<number>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<sign>\^\^|[.;,\[\]])|(?P<bnode>_:[\w-]+)|(?P<name>[\w-]*:(?:[\w%-]|\.(?=[\w%-]))*|\w+)",
-    re.S,
-)
-XSD = "http://www.w3.org/2001/XMLSchema#"
-ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
-
-
-def unescaped(s: str) -> str:
-    return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else ESCAPES.get(m[1], m[1]), s, flags=re.S)
-
-
-def turtle(text: str, doc: str) -> Iterator[tuple]:
-    """Triples (s, s_kind, p, o, o_kind, o_dt, o_lang) of one file. Collections are not supported and raise ValueError."""
-    tokens, at = [], 0
-    while at < len(text):
-        if not (m := TOKEN.match(text, at)):
-            raise ValueError(f"unexpected {text[at]!r} at {at}")
-        at = m.end()
-        tokens += [(m.lastgroup, m[0])] if m.lastgroup else []
-    tokens.append(("end", ""))
-    prefixes: dict[str, str] = {}
-    base, place, made, out = "", 0, 0, []
-
-    def take(expected: str | None = None) -> tuple[str, str]:
-        nonlocal place
-        kind, value = tokens[place]
-        if expected is not None and value != expected:
-            raise ValueError(f"{expected!r} expected, {value!r} found")
-        place += 1
-        return kind, value
-
-    def full(kind: str, value: str) -> str:
-        if kind == "iri":
-            return value[1:-1] if ":" in value else base + value[1:-1]
-        prefix, colon, local = value.partition(":")
-        if not colon or prefix not in prefixes:
-            raise ValueError(f"unknown name {value!r}")
-        return prefixes[prefix] + local
-
-    def term() -> tuple[str, str, str | None, str | None]:
-        nonlocal made
-        kind, value = take()
-        if value == "[":
-            made += 1
-            node = f"{doc}:b{made}."
-            properties(node, "bnode")
-            take("]")
-            return node, "bnode", None, None
-        if kind == "bnode":
-            return f"{doc}:{value[2:]}", "bnode", None, None
-        if kind == "text":
-            quotes = 3 if value.startswith('"""') else 1
-            content = unescaped(value[quotes:-quotes])
-            if tokens[place][0] == "lang":
-                return content, "lit", None, take()[1][1:]
-            if tokens[place][1] == "^^":
-                take()
-                return content, "lit", full(*take()), None
-            return content, "lit", None, None
-        if kind == "number":
-            return value, "lit", XSD + ("double" if "e" in value.lower() else "decimal" if "." in value else "integer"), None
-        if value in ("true", "false"):
-            return value, "lit", XSD + "boolean", None
-        if kind in ("iri", "name"):
-            return full(kind, value), "iri", None, None
-        raise ValueError(f"unexpected {value!r}")
-
-    def properties(s: str, s_kind: str) -> None:
-        while tokens[place][1] not in (".", "]"):
-            kind, value = take()
-            p = TYPE if value == "a" else full(kind, value)
-            while True:
-                o, o_kind, dt, lang = term()
-                out.append((s, s_kind, p, o, o_kind, dt, lang))
-                if tokens[place][1] != ",":
-                    break
-                take()
-            while tokens[place][1] == ";":
-                take()
-
-    while tokens[place][0] != "end":
-        word = tokens[place][1].lower()
-        if word in ("@prefix", "prefix", "@base", "base"):
-            take()
-            if word.endswith("prefix"):
-                name = take()[1]
-                prefixes[name[:-1]] = take()[1][1:-1]
-            else:
-                base = take()[1][1:-1]
-            if word[0] == "@":
-                take(".")
-            continue
-        s, s_kind, _, _ = term()
-        if s_kind == "lit":
-            raise ValueError(f"a literal as subject: {s!r}")
-        properties(s, s_kind)
-        take(".")
-    yield from out
-
-
-def parsed(files: DataFrame) -> DataFrame:
-    """Rows of SCHEMA from (doc, text) with Turtle texts. One text is the most that a task holds at a time."""
+def parsed(files: DataFrame, retry: Callable[[str], str] | None = None) -> DataFrame:
+    """Rows of SCHEMA from (doc, text) with Turtle texts; a null text has none. A text with errors is read once more as
+    `retry` gives it, and the reading with fewer errors stays, the first one if equal. One text is the most that a task holds
+    at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                try:
-                    rows = [(doc, *t, None) for t in turtle(text or "", doc)]
-                except (ValueError, IndexError) as e:
-                    rows = [(doc, *[None] * 7, str(e))]
-                yield pd.DataFrame(rows, columns=names, dtype=object)
+                rows = list(turtle(text or "", doc))
+                errors = sum(r[-1] is not None for r in rows)
+                if errors and retry:
+                    again = list(turtle(retry(text), doc))
+                    rows = again if sum(r[-1] is not None for r in again) < errors else rows
+                yield pd.DataFrame([(doc, *r) for r in rows], columns=NAMES, dtype=object)
 
     return files.select("doc", "text").mapInPandas(run, SCHEMA)
 
@@ -149,6 +52,104 @@ def turtle_files(spark: SparkSession, folder: str, skip: str | None = r"(_ground
     return parsed(files.where(~F.col("path").rlike(skip)) if skip else files)
 
 
+STATES = "path string, block long, quote string, depth int, prefixes string"
+PIECES = f"{SCHEMA}, path string, block long, part int, text string, prefixes string"
+BROADCAST = 16 << 20
+
+
+def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each split does to the state in which it begins: one row for no open quote and one for each kind of long quote.
+    A depth of formulas d becomes max(d + plus, least)."""
+    lines = chain.from_iterable(zip(b["path"], b["block"], b["line"], strict=True) for b in batches)
+    for (path, block), group in groupby(lines, key=lambda r: r[:2]):
+        states = {q: [q, 0, 0, {}] for q in ("", *CLOSING)}
+        for _, _, line in group:
+            seen = {}
+            for state in states.values():
+                if not state[0] and (m := DIRECTIVE.match(line)):
+                    state[3]["@base" if m[2] is None else m[2]] = m[3]
+                if state[0] not in seen:
+                    seen[state[0]] = after(line, state[0])
+                state[0], braces, _ = seen[state[0]]
+                for b in braces:
+                    state[1] += 1 if b == "{" else -1
+                    state[2] = depth_after(state[2], b)
+        yield pd.DataFrame([(path, block, q, s[0], s[1], s[2], json.dumps(s[3])) for q, s in states.items()], columns=["path", "block", "enters", "leaves", "plus", "least", "declared"])
+
+
+def _composed(outlines: pd.DataFrame) -> pd.DataFrame:
+    """The state in which each split of one file begins, three rows a split."""
+    quote, depth, prefixes, out = "", 0, {}, []
+    for block, rows in outlines.sort_values("block").groupby("block"):
+        out.append((rows["path"].iloc[0], block, quote, depth, json.dumps(prefixes)))
+        row = rows[rows["enters"] == quote].iloc[0]
+        quote, depth, prefixes = row["leaves"], max(depth + int(row["plus"]), int(row["least"])), prefixes | json.loads(row["declared"])
+    return pd.DataFrame(out, columns=["path", "block", "quote", "depth", "prefixes"])
+
+
+def _statements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the statements that lie within a split, and the pieces (0: until the first end, or all of a split without one;
+    1: after the last end) of those that do not."""
+    columns = ["path", "block", "doc", "quote", "depth", "prefixes", "line"]
+    rows = chain.from_iterable(zip(*(b[c] for c in columns), strict=True) for b in batches)
+    for (path, block), group in groupby(rows, key=lambda r: r[:2]):
+        first = next(group)
+        _, _, doc, quote, depth, prefixes, _ = first
+        reader, out = Reader(doc, json.loads(prefixes), f"b{block}." if block else "b"), []
+        for n, (text, whole) in enumerate(chunks((r[-1] for r in chain([first], group)), quote, int(depth))):
+            if n == 0 and block:
+                out.append((doc, *[None] * 8, path, block, 0 if whole else 2, text, prefixes))
+                for line in text.split("\n"):
+                    if not quote:
+                        reader.declare(line)
+                    quote = after(line, quote)[0]
+            elif whole:
+                out += [(doc, *r, path, block, None, None, None) for r in reader.rows(text)]
+            else:
+                out.append((doc, *[None] * 8, path, block, 1, text, json.dumps(reader.prefixes)))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=[*NAMES, "path", "block", "part", "text", "prefixes"], dtype=object)
+                out = []
+        yield pd.DataFrame(out, columns=[*NAMES, "path", "block", "part", "text", "prefixes"], dtype=object)
+
+
+def _stitched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for doc, number, prefixes, text in zip(batch["doc"], batch["number"], batch["prefixes"], batch["text"], strict=True):
+            reader = Reader(doc, json.loads(prefixes), f"p{number}.")
+            yield pd.DataFrame([(doc, *r) for chunk, _ in chunks(text.split("\n")) for r in reader.rows(chunk)], columns=NAMES, dtype=object)
+
+
+def large_turtle_files(spark: SparkSession, folder: str, skip: str | None = r"(_grounded|link)\.ttl$") -> DataFrame:
+    """The rows of `turtle_files`, with each file read by as many tasks as it has splits of spark.sql.files.maxPartitionBytes;
+    only nodes without a name are called differently.
+
+    A first pass finds what each split does to open quotes, formulas and prefixes; these are composed along each file, so
+    that a second pass knows the state in which its split begins. Statements that cross splits are put together from their
+    pieces. Directives stand on lines of their own. States are broadcast below 16 MB; above, lines are shuffled by split. The
+    rows are written to the shared folder."""
+    path = F.col("_metadata.file_path")
+    lines = spark.read.text(folder, recursiveFileLookup=True, pathGlobFilter="*.ttl").select(
+        path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1).alias("doc"), F.col("value").alias("line")
+    )
+    lines = lines.where(~F.col("path").rlike(skip)) if skip else lines
+    outlines = lines.select("path", "block", "line").mapInPandas(_outlines, "path string, block long, enters string, leaves string, plus int, least int, declared string")
+    states = written(outlines.groupBy("path").applyInPandas(_composed, STATES), "states")
+    size = states.agg(F.sum(F.length("prefixes") + F.length("path") + 40)).first()[0] or 0
+    if size <= BROADCAST:
+        placed = lines.join(F.broadcast(states), ["path", "block"])
+    else:  # lines of a split come together again, in their order
+        numbered = lines.withColumn("at", F.monotonically_increasing_id())
+        placed = numbered.join(states.hint("shuffle_merge"), ["path", "block"]).repartition("path", "block").sortWithinPartitions("path", "block", "at")
+    read = written(placed.select("path", "block", "doc", "quote", "depth", "prefixes", "line").mapInPandas(_statements, PIECES), "statements")
+    order = Window.partitionBy("path").orderBy("block", F.col("part") == 1)
+    ends = F.coalesce(F.sum((F.col("part") == 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = read.where("part is not null").withColumn("number", ends).groupBy("path", "doc", "number")
+    joined = pieces.agg(F.sort_array(F.collect_list(F.struct("block", "part", "text"))).alias("t"), F.min_by("prefixes", F.struct("block", "part")).alias("prefixes"))
+    text = F.array_join(F.transform("t", lambda t: t["text"]), "\n")
+    return read.where("part is null").select(*NAMES).unionByName(joined.select("doc", "number", "prefixes", text.alias("text")).mapInPandas(_stitched, SCHEMA))
+
+
 def corpus_files(spark: SparkSession, folder: str) -> DataFrame:
     """Only <doc>/<doc>.ttl files, the merged graph of each document."""
     files = _files(spark, folder, "*.ttl")
