@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triplespan.queries import graph, records, syntheses, tables  # noqa: F401 - registers the queries
+from triplespan.queries import changes, graph, records, steps, syntheses, tables  # noqa: F401 - registers the queries
 from triplespan.queries.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triplespan.functions.text import trimmed
 from triplespan.plans.patterns import first_hit
@@ -62,6 +66,46 @@ def json_records(text: Column, schema: str) -> Column:
     return F.transform(whole, lambda p: F.from_json(p, schema))
 
 
+BRACES = re.compile(r'"(?:[^"\\\n]|\\[^\n])*"|[{}]')
+
+
+def whole_objects(text: str | None) -> list[str]:
+    """The outermost balanced `{...}` of a text, in order, in one pass. Braces in strings do not count; a string ends with its
+    line; a brace that is never closed hides nothing after it."""
+    opened: list[int] = []
+    spans: list[tuple[int, int]] = []
+    for m in BRACES.finditer(text or ""):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif m[0] == "}" and opened:
+            start = opened.pop()
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, m.end()))
+    return [text[a:b] for a, b in spans]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _whole_objects(texts: pd.Series) -> pd.Series:
+    return texts.map(whole_objects)
+
+
+def recovered_records(text: Column, fields: tuple[str, ...] = ("name", "role")) -> Column:
+    """Structs of text fields from the first fenced block of JSON, or the whole text: of all whole objects with the first field;
+    if there are none, values of the fields wherever they stand, zipped by place. Absent values but the first are empty. A null
+    text has no records."""
+    block = fenced_json(text)
+    schema = ", ".join(f"`{f}` string" for f in fields)
+    valid = F.filter(_whole_objects(block), lambda o: F.try_parse_json(o).isNotNull())
+    tidy = lambda r: F.struct(*(F.coalesce(trimmed(r[f]), F.lit("")).alias(f) for f in fields))
+    read = F.filter(F.transform(valid, lambda o: tidy(F.from_json(o, schema))), lambda r: r[fields[0]] != "")
+    values = lambda f: F.regexp_extract_all(block, F.lit(rf'"{f}"\s*:\s*"([^"]+)"'), F.lit(1))
+    names, *others = (values(f) for f in fields)
+    pick = lambda v, i: F.coalesce(F.get(v, i), F.lit(""))
+    loose = F.transform(names, lambda n, i: F.struct(n.alias(fields[0]), *(pick(v, i).alias(f) for v, f in zip(others, fields[1:], strict=True))))
+    return F.when(F.size(read) > 0, read).otherwise(loose)
+
+
 def derived_in_truth(derived: DataFrame, truth: DataFrame) -> DataFrame:
     """Counts per category: formulas derived for a document, and those among the formulas that `truth` (category, dois,
     formula; DOIs joined by semicolons) has for it."""
