@@ -32,10 +32,11 @@ def without_orphans(triples: DataFrame, type_predicate: str = TYPE) -> DataFrame
 
 def linked(triples: DataFrame, classes: list[str], through: dict[str, str] | None = None) -> DataFrame:
     """The part of a graph between instances of `classes`: their types, labels and the edges among them; and for each
-    (p, q) of `through` a bridge node between s and o of s -p-> x -q-> o, named by a hash of both."""
+    (p, q) of `through` a bridge node between s and o of s -p-> x -q-> o, named by a hash of both. Nodes are distinct and joined,
+    as Spark would copy a semi-join's right side into every branch of a union."""
     nodes = triples.where((F.col("p") == TYPE) & F.col("o").isin(*classes)).select("s").distinct()
-    own = triples.where(F.col("p").isin(TYPE, LABEL)).join(nodes, "s", "left_semi")
-    edges = triples.where("o_kind = 'iri'").where(F.col("p") != TYPE).join(nodes, "s", "left_semi").join(nodes.select(F.col("s").alias("o")), "o", "left_semi")
+    own = triples.where(F.col("p") == TYPE).union(triples.where(F.col("p") == LABEL)).join(nodes, "s")
+    edges = triples.where("o_kind = 'iri'").where(F.col("p") != TYPE).join(nodes, "s").join(nodes.select(F.col("s").alias("o")), "o")
     parts = [own.select(*KEY), edges.select(*KEY)]
     for p, q in (through or {}).items():
         first = triples.where(F.col("p") == p).select("s", F.col("o").alias("x"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespan.plans.patterns import Graph, either, exists, joined, lit, local_name, optional, ordered
+from triplespan.plans.patterns import Graph, either, exists, having, joined, lit, local_name, optional, ordered, picked
 
 LABEL = "rdfs:label"
 #: Role of a chemical by the predicate that leads to it, for the synthesis and for its steps.
@@ -24,7 +24,7 @@ PLACEHOLDER = "MetalOrganicPolyhedron for"
 def syntheses(g: Graph, name: str | None = None) -> DataFrame:
     """synthesis, synthesisLabel; of one name if given."""
     found = g.bgp(("?synthesis", "a", "syn:ChemicalSynthesis"), ("?synthesis", LABEL, "?synthesisLabel"))
-    return found if name is None else found.where(F.col("synthesisLabel") == F.lit(name))
+    return found if name is None else having(found, F.col("synthesisLabel") == F.lit(name))
 
 
 def steps(g: Graph, name: str | None = None) -> DataFrame:
@@ -39,15 +39,16 @@ def quantity(g: Graph, solutions: DataFrame, predicate: str | list[str], value_r
     """Adds value and unit of the quantity that `predicate` leads to from step."""
     node = joined(solutions, g.match("?step", predicate, "?quantity"))
     value = g.match("?quantity", "om:hasNumericalValue", "?value")
-    node = joined(node, value) if value_required else optional(node, value)
-    return optional(node, g.match("?quantity", "om:hasUnit", "?unitIri")).withColumn("unit", local_name("unitIri")).drop("unitIri", "quantity")
+    if value_required:
+        node = optional(joined(node, value), g.match("?quantity", "om:hasUnit", "?unitIri"))
+    else:
+        node = g.described(node, "quantity", {"om:hasNumericalValue": "value", "om:hasUnit": "unitIri"})
+    return node.withColumn("unit", local_name("unitIri")).drop("unitIri", "quantity")
 
 
 def by_role(g: Graph, roles: dict[str, str], subject: str, target: str, column: str = "role") -> DataFrame:
     """(subject, target, role): one scan with a constant map instead of one branch a role."""
-    names = F.create_map(*(F.lit(x) for p, role in roles.items() for x in (g.iri(p), role)))
-    rows = g.rows([g.iri(p) for p in roles], [(f"?{subject}", list(roles), f"?{target}")], 0)
-    return rows.select(F.col("s").alias(subject), F.col("o").alias(target), F.element_at(names, F.col("p")).alias(column))
+    return g.named(f"?{subject}", roles, f"?{target}", column)
 
 
 # exact lookup
@@ -60,8 +61,8 @@ def synthesis_iri(g: Graph, name: str) -> DataFrame:
 def polyhedra(g: Graph, exclude_placeholders: bool = False) -> DataFrame:
     """mop, mopLabel, and its deposit number and formula where known."""
     found = g.bgp(("?mop", "a", "mop:MetalOrganicPolyhedron"), ("?mop", LABEL, "?mopLabel"))
-    found = optional(optional(found, g.match("?mop", "mop:hasCCDCNumber", "?ccdc")), g.match("?mop", "mop:hasMOPFormula", "?formula"))
-    return found.where(~F.col("mopLabel").startswith(PLACEHOLDER)) if exclude_placeholders else found
+    found = g.described(found, "mop", {"mop:hasCCDCNumber": "ccdc", "mop:hasMOPFormula": "formula"})
+    return having(found, ~F.col("mopLabel").startswith(PLACEHOLDER)) if exclude_placeholders else found
 
 
 def polyhedron_iri(g: Graph, name: str) -> DataFrame:
@@ -86,9 +87,7 @@ def polyhedra_by_unit_formula(g: Graph, part: str, limit: int | None = 100, orde
 def building_units(g: Graph, name: str | None = None) -> DataFrame:
     mops = polyhedra(g) if name is None else polyhedra(g).where(F.col("mopLabel") == F.lit(name))
     units = joined(mops.select("mop", "mopLabel", "ccdc").distinct(), g.match("?mop", "mop:hasChemicalBuildingUnit", "?cbu"))
-    for p, v in ((LABEL, "cbuLabel"), ("mop:hasCBUFormula", "cbuFormula")):
-        units = optional(units, g.match("?cbu", p, f"?{v}"))
-    return ordered(units, ["mopLabel", "ccdc", "cbuLabel"])
+    return ordered(g.described(units, "cbu", {LABEL: "cbuLabel", "mop:hasCBUFormula": "cbuFormula"}), ["mopLabel", "ccdc", "cbuLabel"])
 
 
 # corpus statistics
@@ -148,9 +147,8 @@ def recipe(g: Graph, name: str | None = None) -> DataFrame:
     """Chemicals with their role, and label, amount, formula, supplier and purity where known."""
     whole = joined(syntheses(g, name), by_role(g, CHEMICAL_ROLES, "synthesis", "chemical"))
     in_steps = joined(steps(g, name), by_role(g, STEP_CHEMICAL_ROLES, "step", "chemical"))
-    found = either(whole, in_steps).select("synthesisLabel", "role", "step", "chemical")
-    for p, v in ((LABEL, "chemicalLabel"), ("syn:hasAmount", "amount"), ("syn:hasChemicalFormula", "formula"), ("syn:hasPurity", "purity")):
-        found = optional(found, g.match("?chemical", p, f"?{v}"))
+    found = picked(either(whole, in_steps), "synthesisLabel", "role", "step", "chemical")
+    found = g.described(found, "chemical", {LABEL: "chemicalLabel", "syn:hasAmount": "amount", "syn:hasChemicalFormula": "formula", "syn:hasPurity": "purity"})
     found = optional(found, g.bgp(("?chemical", "syn:isSuppliedBy", "?_s"), ("?_s", LABEL, "?supplier")).drop("_s"))
     found = optional(found, labelled(g, "step", "stepLabel"))
     return ordered(found.drop("chemical", "step").distinct(), ["synthesisLabel", "role", "stepLabel", "chemicalLabel"])
@@ -166,13 +164,13 @@ def producing(g: Graph, mop: str) -> DataFrame:
 
 def step_list(g: Graph, name: str | None = None) -> DataFrame:
     """Labels and type names of steps, by label."""
-    typed = optional(steps(g, name), g.match("?step", "a", "?type").where(F.col("type").startswith(g.prefixes["syn"])))
+    typed = optional(steps(g, name), having(g.match("?step", "a", "?type"), F.col("type").startswith(g.prefixes["syn"])))
     return ordered(joined(typed, labelled(g, "step", "stepLabel")).select("synthesisLabel", "stepLabel", local_name("type").alias("type")).distinct(), ["synthesisLabel", "stepLabel"])
 
 
 def step_index(g: Graph, name: str | None = None) -> DataFrame:
-    found = optional(optional(steps(g, name), labelled(g, "step", "stepLabel")), g.match("?step", "syn:hasOrder", "?position"))
-    types = g.match("?step", "a", "?type").where(F.col("type").startswith(g.prefixes["syn"]))
+    found = g.described(steps(g, name), "step", {LABEL: "stepLabel", "syn:hasOrder": "position"})
+    types = having(g.match("?step", "a", "?type"), F.col("type").startswith(g.prefixes["syn"]))
     found = optional(found, types).withColumn("type", local_name("type"))
     return ordered(found.withColumn("_n", F.expr("try_cast(position AS int)")), ["synthesisLabel", "_n", "step"]).drop("_n")
 

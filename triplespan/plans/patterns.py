@@ -6,13 +6,18 @@ with one string column per variable; an unbound variable is NULL. Terms are writ
 spliced into query text.
 
 Joins carry no hints: Catalyst and AQE pick broadcast, sort-merge or skewed joins from measured sizes.
+
+Solutions of a mapped graph remember from which patterns they came and what kinds of IRIs their variables can hold. When they
+are joined with others, the patterns are asked again within the kinds that both sides allow, so that a label is read from
+the tables of the entities in question and not from all. Any other DataFrame operation forgets this and stays right.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from typing import NamedTuple
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +41,65 @@ class lit(NamedTuple):  # noqa: N801 - reads as a function in patterns
 
 Term = str | lit
 Pattern = tuple[Term, Term, Term]
+#: Kinds of IRIs that a variable can hold, by variable.
+Ends = dict[str, frozenset[str]]
+
+
+class Known(NamedTuple):
+    """What is known of solutions: the ends of variables, and how to ask for them again within fewer ends."""
+
+    ends: Ends
+    again: Callable[[Ends], DataFrame] | None = None
+
+
+_KNOWN: WeakKeyDictionary[DataFrame, Known] = WeakKeyDictionary()
+
+
+def noted(solutions: DataFrame, ends: Ends, again: Callable[[Ends], DataFrame] | None = None) -> DataFrame:
+    if ends:
+        _KNOWN[solutions] = Known(ends, again)
+    return solutions
+
+
+def ends_of(solutions: DataFrame) -> Ends:
+    known = _KNOWN.get(solutions)
+    return known.ends if known else {}
+
+
+def both_ends(a: Ends, b: Ends) -> Ends:
+    return {v: a[v] & b[v] if v in a and v in b else a.get(v, b.get(v)) for v in a | b}
+
+
+def within(solutions: DataFrame, other: DataFrame, but: Iterable[str] = ()) -> DataFrame:
+    """The solutions, asked again if `other` rules out ends of shared variables."""
+    known = _KNOWN.get(solutions)
+    if known is None or known.again is None:
+        return solutions
+    fewer = {v: e for v, e in ends_of(other).items() if v in known.ends and v not in but and not known.ends[v] <= e}
+    return known.again(fewer) if fewer else solutions
+
+
+def derived(solutions: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`build` of solutions, still narrowed by later joins. It must keep, drop or alter single rows, or group by the variables
+    that it keeps."""
+    out, known = build(solutions), _KNOWN.get(solutions)
+    if known is None:
+        return out
+    ends = {v: e for v, e in known.ends.items() if v in out.columns}
+    return noted(out, ends, known.again and (lambda fewer: derived(known.again(fewer), build)))
+
+
+def having(solutions: DataFrame, condition: Column | str) -> DataFrame:
+    return derived(solutions, lambda df: df.where(condition))
+
+
+def picked(solutions: DataFrame, *columns: str) -> DataFrame:
+    return derived(solutions, lambda df: df.select(*columns))
+
+
+def least(solutions: DataFrame, by: str, *values: str) -> DataFrame:
+    """The smallest of each of `values` by `by`."""
+    return derived(solutions, lambda df: df.groupBy(by).agg(*(F.min(v).alias(v) for v in values)))
 
 
 class Graph:
@@ -53,14 +117,14 @@ class Graph:
         prefix, _, local = term.partition(":")
         return self.prefixes[prefix] + local
 
-    def rows(self, predicates: Sequence[str] | None, patterns: Sequence[Pattern], at: int) -> DataFrame:
-        """Triples for pattern `at` of `patterns`; `predicates` are full IRIs, None for any."""
+    def rows(self, predicates: Sequence[str] | None, patterns: Sequence[Pattern], at: int, ends: Ends | None = None) -> DataFrame:
+        """Triples for pattern `at` of `patterns`; `predicates` are full IRIs, None for any. `ends` may be used to read less."""
         return self.triples if predicates is None else self.triples.where(F.col("p").isin(*predicates))
 
-    def match(self, s: Term, p: Term | Sequence[str], o: Term, context: Sequence[Pattern] = (), at: int = 0) -> DataFrame:
+    def match(self, s: Term, p: Term | Sequence[str], o: Term, context: Sequence[Pattern] = (), at: int = 0, ends: Ends | None = None) -> DataFrame:
         """Solutions of one pattern. `p` may be a list of predicates, which match alternatively."""
         alternatives = list(map(self.iri, p)) if isinstance(p, list) else None if is_variable(p) else [self.iri(p)]
-        found = self.rows(alternatives, context or [(s, p, o)], at)
+        found = self.rows(alternatives, context or [(s, p, o)], at, ends)
         columns: dict[str, list[str]] = {}
         for name, term in (("s", s), ("p", p), ("o", o)):
             if isinstance(term, list) or name == "p" and not is_variable(term):
@@ -76,13 +140,25 @@ class Graph:
             found = reduce(lambda df, n, first=names[0]: df.where(F.col(n) == F.col(first)), names[1:], found)
         return found.select(*(F.col(names[0]).alias(v) for v, names in columns.items()))
 
-    def pieces(self, patterns: Sequence[Pattern]) -> list[DataFrame]:
+    def named(self, s: str, names: dict[str, str], o: str, column: str, ends: Ends | None = None) -> DataFrame:
+        """Solutions of patterns that differ in their predicate, and in `column` the name that `names` gives it."""
+        rows = self.rows([self.iri(p) for p in names], [(s, list(names), o)], 0, ends)
+        of = F.create_map(*(F.lit(x) for p, name in names.items() for x in (self.iri(p), name)))
+        return rows.select(F.col("s").alias(s[1:]), F.col("o").alias(o[1:]), F.element_at(of, F.col("p")).alias(column))
+
+    def described(self, solutions: DataFrame, variable: str, properties: dict[str, str]) -> DataFrame:
+        """Adds what each of `properties` (predicate to column) says of a variable, where known."""
+        for p, v in properties.items():
+            solutions = optional(solutions, self.match(f"?{variable}", p, f"?{v}"))
+        return solutions
+
+    def pieces(self, patterns: Sequence[Pattern], ends: Ends | None = None) -> list[DataFrame]:
         """Solutions of the patterns, one DataFrame or fewer a pattern, whose natural join answers them all."""
-        return [self.match(*p, context=patterns, at=k) for k, p in enumerate(patterns)]
+        return [self.match(*p, context=patterns, at=k, ends=ends) for k, p in enumerate(patterns)]
 
-    def bgp(self, *patterns: Pattern) -> DataFrame:
+    def bgp(self, *patterns: Pattern, ends: Ends | None = None) -> DataFrame:
         """Natural inner join of the patterns, each next one sharing a variable with those before."""
-        left = self.pieces(patterns)
+        left = self.pieces(patterns, ends)
         out = left.pop(0)
         while left:
             k = next((k for k, df in enumerate(left) if set(df.columns) & set(out.columns)), None)
@@ -107,7 +183,9 @@ def shared(a: DataFrame, b: DataFrame) -> list[str]:
 
 
 def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, shared(a, b))
+    b = within(b, a)
+    a = within(a, b)
+    return noted(a.join(b, shared(a, b)), both_ends(ends_of(a), ends_of(b)))
 
 
 def optional(a: DataFrame, b: DataFrame, rebind: Iterable[str] = ()) -> DataFrame:
@@ -117,8 +195,9 @@ def optional(a: DataFrame, b: DataFrame, rebind: Iterable[str] = ()) -> DataFram
     on = [v for v in shared(a, b) if v not in again]
     if not on:
         raise ValueError("an optional group needs a shared variable that is always bound")
+    b = within(b, a, again)
     if not again:
-        return a.join(b, on, "left")
+        return noted(a.join(b, on, "left"), ends_of(b) | ends_of(a))
     b = b.select(*(F.col(c).alias(f"_{c}") if c in a.columns else F.col(c) for c in b.columns))
     same = reduce(Column.__and__, [F.col(v) == F.col(f"_{v}") for v in on] + [F.col(v).isNull() | (F.col(v) == F.col(f"_{v}")) for v in again])
     both = a.join(b, same, "left")
@@ -128,15 +207,18 @@ def optional(a: DataFrame, b: DataFrame, rebind: Iterable[str] = ()) -> DataFram
 
 def either(*branches: DataFrame) -> DataFrame:
     """Bag union; variables that a branch lacks are unbound there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+    every = [(df.columns, ends_of(df)) for df in branches]
+    known = [v for v in out.columns if all(v in ends or v not in columns for columns, ends in every)]
+    return noted(out, {v: frozenset().union(*(ends[v] for _, ends in every if v in ends)) for v in known})
 
 
 def exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, shared(a, b), "left_semi")
+    return noted(a.join(within(b, a), shared(a, b), "left_semi"), ends_of(a))
 
 
 def not_exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, shared(a, b), "left_anti")
+    return noted(a.join(within(b, a), shared(a, b), "left_anti"), ends_of(a))
 
 
 ORDERS = {"asc": lambda c: c.asc_nulls_first(), "desc": lambda c: c.desc_nulls_last()}

@@ -1,8 +1,9 @@
-"""Tables as graphs: declarative rules turn rows into triples, one literal-predicate projection per rule.
+"""Tables as graphs: declarative rules turn rows into triples.
 
-With a literal predicate in every branch, Catalyst folds a pattern's predicate test and drops the branches of other
-predicates, so a pattern reads only the tables and columns it needs. `MappedGraph` also drops branches whose IRI template
-cannot agree with the other patterns on the same variable.
+A pattern reads only the tables and columns of the rules that can answer it: those with its predicate, whose IRI template agrees
+with the other patterns on the same variable and with the solutions that it is joined with. All rules of one table are one
+scan, whose rows become arrays of triples. The triples of a whole graph read each table once for types and once for all else, and
+say which predicates a scan can give, so that Catalyst drops it where others are asked for.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplespan.plans.patterns import LABEL, PREFIXES, TYPE, Graph, Pattern, is_variable, lit
+from triplespan.plans.patterns import LABEL, PREFIXES, TYPE, Ends, Graph, Pattern, Term, both_ends, ends_of, is_variable, lit, noted, optional
 
 BASE = PREFIXES["ex"]
 
@@ -77,6 +78,7 @@ class MappedGraph(Graph):
     def __init__(self, spark: SparkSession, folder: str, entities: Sequence[Entity] = STAR, prefixes: dict[str, str] | None = None):
         self.spark, self.folder, self.entities, self.prefixes = spark, folder, entities, PREFIXES | (prefixes or {})
         self._tables: dict[str, DataFrame] = {}  # opened once: listing files and reading schemas is work of the driver
+        self._rules: list[tuple[Entity, str, object]] = []
 
     @property
     def triples(self) -> DataFrame:
@@ -89,12 +91,12 @@ class MappedGraph(Graph):
 
     def rules(self, predicates: Sequence[str] | None) -> list[tuple[Entity, str, object]]:
         """(entity, predicate, what) of the branches with these predicates; what: None or a Kind, an expression or (class, key)."""
-        found: list[tuple[Entity, str, object]] = []
-        for e in self.entities:
-            found += [(e, TYPE, None)] if e.typed else []
-            found += [(e, TYPE, Kind(name, condition)) for name, condition in e.classes.items()]
-            found += [(e, predicate(n), c) for n, c in e.literals.items()] + [(e, predicate(n), r) for n, r in e.references.items()]
-        return [x for x in found if predicates is None or x[1] in predicates]
+        if not self._rules:
+            for e in self.entities:
+                self._rules += [(e, TYPE, None)] if e.typed else []
+                self._rules += [(e, TYPE, Kind(name, condition)) for name, condition in e.classes.items()]
+                self._rules += [(e, predicate(n), c) for n, c in e.literals.items()] + [(e, predicate(n), r) for n, r in e.references.items()]
+        return [x for x in self._rules if predicates is None or x[1] in predicates]
 
     def _branch(self, e: Entity, p: str, what: object, wide: bool = False):
         """The triples of a rule; or, wide, its object column and kind."""
@@ -114,41 +116,87 @@ class MappedGraph(Graph):
         rows = rows.select(iri(e.name, e.key).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind")).where("s is not null and o is not null")
         return rows if e.unique else rows.distinct()
 
+    def _scan(self, rules: list) -> DataFrame:
+        """The triples of rules of one table by one read of it."""
+        if len(rules) == 1:
+            return self._branch(*rules[0])
+        parts, kinds = [], set()
+        for e, p, what in rules:
+            o, kind = self._branch(e, p, what, wide=True)
+            parts.append(F.struct(iri(e.name, e.key).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind")))
+            kinds.add(kind)
+        rows = self.table(rules[0][0].table).select(F.inline(F.array(*parts))).where("s is not null and o is not null")
+        # true of every row: comparisons that Catalyst folds to false beside `p = ...` of another predicate, or another kind
+        rows = rows.where(reduce(Column.__or__, [F.col("p") == F.lit(p) for p in sorted({p for _, p, _ in rules})]))
+        rows = rows.where(F.col("o_kind") != F.lit("iri" if kinds == {"lit"} else "lit")) if len(kinds) == 1 else rows
+        return rows if rules[0][0].unique else rows.distinct()
+
     def _union(self, rules: list) -> DataFrame:
         if not rules:
-            return self.spark.createDataFrame([], "s string, p string, o string, o_kind string")
-        return reduce(DataFrame.union, (self._branch(*r) for r in rules))
-
-    def rows(self, predicates: Sequence[str] | None, patterns: Sequence[Pattern], at: int) -> DataFrame:
-        return self._union(self._possible(patterns)[at])
-
-    def _possible(self, patterns: Sequence[Pattern]) -> list[list]:
-        """The rules of each pattern; an entity stays possible for a variable only while every pattern on it allows it."""
+            return self.spark.range(1).select(*(F.lit("").alias(c) for c in ("s", "p", "o", "o_kind"))).limit(0)
+        scans: dict[tuple, list] = {}
+        for e, p, what in rules:
+            scans.setdefault((e.table, e.unique, p == TYPE), []).append((e, p, what))
+        return reduce(DataFrame.union, map(self._scan, scans.values()))
+
+    def rows(self, predicates: Sequence[str] | None, patterns: Sequence[Pattern], at: int, ends: Ends | None = None) -> DataFrame:
+        return self._union(self._possible(patterns, ends)[0][at])
+
+    def _possible(self, patterns: Sequence[Pattern], ends: Ends | None = None) -> tuple[list[list], Ends]:
+        """The rules of each pattern, and the ends of variables; an entity stays possible for a variable only while every
+        pattern on it, and `ends`, allow it."""
         may = [self._rules_of(p) for p in patterns]
         changed = True
         while changed:
-            changed = False
-            names: dict[str, set[str]] = {}
+            changed, found = False, dict(ends or {})
             for pattern, rules in zip(patterns, may, strict=True):
                 for place, term in ((0, pattern[0]), (2, pattern[2])):
                     if is_variable(term):
-                        allowed = {self._end(r, place) for r in rules}
-                        names[term] = names[term] & allowed if term in names else allowed
+                        found = both_ends(found, {term[1:]: frozenset(self._end(r, place) for r in rules)})
             for k, pattern in enumerate(patterns):
-                kept = [r for r in may[k] if all(not is_variable(t) or self._end(r, i) in names[t] for i, t in ((0, pattern[0]), (2, pattern[2])))]
+                kept = [r for r in may[k] if all(not is_variable(t) or self._end(r, i) in found[t[1:]] for i, t in ((0, pattern[0]), (2, pattern[2])))]
                 changed |= len(kept) < len(may[k])
                 may[k] = kept
-        return may
+        own = {t[1:] for p in patterns for t in (p[0], p[2]) if is_variable(t)}
+        return may, {v: e for v, e in found.items() if v in own}
+
+    def _noted(self, found: DataFrame, patterns: Sequence[Pattern], ends: Ends | None, again) -> DataFrame:
+        return noted(found, self._possible(patterns, ends)[1], lambda fewer: again(both_ends(ends or {}, fewer)))
+
+    def match(self, s: Term, p: Term | Sequence[str], o: Term, context: Sequence[Pattern] = (), at: int = 0, ends: Ends | None = None) -> DataFrame:
+        found = super().match(s, p, o, context, at, ends)
+        return found if context else self._noted(found, [(s, p, o)], ends, lambda e: self.match(s, p, o, ends=e))
+
+    def bgp(self, *patterns: Pattern, ends: Ends | None = None) -> DataFrame:
+        return self._noted(super().bgp(*patterns, ends=ends), patterns, ends, lambda e: self.bgp(*patterns, ends=e))
+
+    def named(self, s: str, names: dict[str, str], o: str, column: str, ends: Ends | None = None) -> DataFrame:
+        return self._noted(super().named(s, names, o, column, ends), [(s, list(names), o)], ends, lambda e: self.named(s, names, o, column, e))
+
+    def described(self, solutions: DataFrame, variable: str, properties: dict[str, str]) -> DataFrame:
+        """Properties that one table has for all that the variable can hold are one projection of it, joined once."""
+        ends = {variable: ends_of(solutions)[variable]} if variable in ends_of(solutions) else None
+        stars: dict[tuple, list] = {}
+        for p, v in properties.items():
+            rules = self._possible([(f"?{variable}", p, f"?{v}")], ends)[0][0]
+            if len(rules) == 1 and rules[0][0].unique:
+                stars.setdefault((rules[0][0].table, rules[0][0].name, rules[0][0].key), []).append((rules[0], v))
+            else:
+                solutions = super().described(solutions, variable, {p: v})
+        for (table, name, key), members in stars.items():
+            facts = self.table(table).select(iri(name, key).alias(variable), *(self._branch(*r, wide=True)[0].alias(v) for r, v in members)).where(F.col(variable).isNotNull())
+            solutions = optional(solutions, noted(facts, {variable: frozenset({name})} | {v: frozenset({self._end(r, 2)}) for r, v in members}))
+        return solutions
 
-    def pieces(self, patterns: Sequence[Pattern]) -> list[DataFrame]:
+    def pieces(self, patterns: Sequence[Pattern], ends: Ends | None = None) -> list[DataFrame]:
         """Patterns on one subject that one table answers become one projection of it instead of self-joins."""
-        may, stars, out = self._possible(patterns), {}, []
+        may, stars, out = self._possible(patterns, ends)[0], {}, []
         for k, (s, p, o) in enumerate(patterns):
             plain = is_variable(s) and not isinstance(p, list) and not is_variable(p) and s != o
             if plain and len(may[k]) == 1 and may[k][0][0].unique:
                 stars.setdefault((s, may[k][0][0].table), []).append(k)
             else:
-                out.append(self.match(s, p, o, context=patterns, at=k))
+                out.append(self.match(s, p, o, context=patterns, at=k, ends=ends))
         for (s, _), members in stars.items():
             branches = [self._branch(*may[k][0], wide=True) for k in members]
             e = may[members[0]][0][0]
