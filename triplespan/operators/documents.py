@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from triplespan.functions.text import deposit_number, yield_text
 from triplespan.operators import named
 from triplespan.operators.grounding import valid_or_all
-from triplespan.plans.patterns import Graph, first_hit, joined, local_name, optional
+from triplespan.plans.patterns import Graph, derived, distinct, first_hit, having, joined, least, local_name, optional, picked
 
 MISSING = "N/A"
 
@@ -31,20 +31,21 @@ def gathered(rows: DataFrame, by: list[str], **values: str | Column) -> DataFram
 
 def chemical_names(g: Graph, skip: DataFrame | None = None) -> DataFrame:
     """(chemical, names): label first, then other names; not those in `skip` (name); Unknown if none is left."""
-    label = g.match("?chemical", "rdfs:label", "?name").withColumn("rank", F.lit(0))
-    other = g.match("?chemical", "skos:altLabel", "?name").withColumn("rank", F.lit(1))
-    every = label.unionByName(other)
-    every = every if skip is None else every.join(skip.select("name").distinct(), "name", "left_anti")
-    names = every.groupBy("chemical").agg(F.sort_array(F.collect_set(F.struct("rank", "name"))).alias("n"))
-    return names.select("chemical", F.array_distinct(F.transform("n", lambda x: x["name"])).alias("names"))
+
+    def listed(every: DataFrame) -> DataFrame:
+        every = every if skip is None else every.join(skip.select("name").distinct(), "name", "left_anti")
+        names = every.groupBy("chemical").agg(F.sort_array(F.collect_set(F.struct("rank", "name"))).alias("n"))
+        return names.select("chemical", F.array_distinct(F.transform("n", lambda x: x["name"])).alias("names"))
+
+    return derived(g.named("?chemical", {"rdfs:label": "0", "skos:altLabel": "1"}, "?name", "rank"), listed, ["chemical"])
 
 
 def chemical_records(g: Graph, links: DataFrame, key: list[str]) -> DataFrame:
     """Per `key` an array of chemical records for `links` (key, chemical)."""
     found = optional(links, chemical_names(g, g.match("?_c", "mop:hasCBUFormula", "?name").select("name")))
     for p, v in (("syn:hasAmount", "amount"), ("syn:hasChemicalFormula", "formula"), ("syn:hasPurity", "purity")):
-        found = optional(found, g.match("?chemical", p, f"?{v}").groupBy("chemical").agg(F.min(v).alias(v)))
-    supplier = joined(g.match("?chemical", "syn:isSuppliedBy", "?_s"), named.labelled(g, "_s", "supplier")).groupBy("chemical").agg(F.min("supplier").alias("supplier"))
+        found = optional(found, least(g.match("?chemical", p, f"?{v}"), "chemical", v))
+    supplier = least(g.bgp(("?chemical", "syn:isSuppliedBy", "?_s"), ("?_s", "rdfs:label", "?supplier")), "chemical", "supplier")
     found = optional(found, supplier)
     record = F.struct(
         F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit("Unknown"))).alias("chemicalName"),
@@ -60,7 +61,7 @@ def procedures(g: Graph) -> DataFrame:
     """Labelled syntheses but sessions, or where there is none anything that has a step."""
     session = g.bgp(("?synthesis", "a", "owl:NamedIndividual"), ("?synthesis", "rdfs:label", "?_l")).where(F.col("_l").contains("Session"))
     listed = named.syntheses(g).join(session.select("synthesis").distinct(), "synthesis", "left_anti").withColumn("all", F.lit(1))
-    stepped = optional(g.match("?synthesis", "syn:hasSynthesisStep", "?_s").select("synthesis").distinct(), named.labelled(g, "synthesis", "synthesisLabel"))
+    stepped = optional(distinct(picked(g.match("?synthesis", "syn:hasSynthesisStep", "?_s"), "synthesis")), named.labelled(g, "synthesis", "synthesisLabel"))
     stepped = stepped.withColumn("synthesisLabel", F.coalesce("synthesisLabel", local_name("synthesis"))).withColumn("all", F.lit(1))
     return first_hit(["all"], listed.select("synthesis", "synthesisLabel", "all"), stepped.select("synthesis", "synthesisLabel", "all")).drop("all")
 
@@ -68,11 +69,11 @@ def procedures(g: Graph) -> DataFrame:
 def outputs(g: Graph) -> DataFrame:
     """(synthesis, name, formula, yield, ccdc) of outputs: a species' deposit number before a polyhedron's; where a synthesis
     has outputs with a real deposit number only those."""
-    out = named.syntheses(g).select("synthesis").join(g.match("?synthesis", "syn:hasChemicalOutput", "?output"), "synthesis")
-    by_species = joined(g.match("?output", "spe:hasCCDCNumber", "?_n"), g.match("?_n", "spe:hasCCDCNumberValue", "?species_ccdc")).groupBy("output").agg(F.min("species_ccdc").alias("species_ccdc"))
-    mop = optional(optional(g.match("?output", "syn:isRepresentedBy", "?mop"), g.match("?mop", "mop:hasCCDCNumber", "?mop_ccdc")), g.match("?mop", "mop:hasMOPFormula", "?formula"))
+    out = joined(picked(named.syntheses(g), "synthesis"), g.match("?synthesis", "syn:hasChemicalOutput", "?output"))
+    by_species = least(g.bgp(("?output", "spe:hasCCDCNumber", "?_n"), ("?_n", "spe:hasCCDCNumberValue", "?species_ccdc")), "output", "species_ccdc")
+    mop = g.described(g.match("?output", "syn:isRepresentedBy", "?mop"), "mop", {"mop:hasCCDCNumber": "mop_ccdc", "mop:hasMOPFormula": "formula"})
     mop = optional(mop, named.labelled(g, "mop", "mopLabel")).groupBy("output").agg(F.min("mop_ccdc").alias("mop_ccdc"), F.min("formula").alias("formula"), F.min("mopLabel").alias("mopLabel"))
-    value = joined(g.match("?output", "syn:hasYield", "?_y"), g.match("?_y", "om:hasNumericalValue", "?yield")).groupBy("output").agg(F.max(F.expr("try_cast(`yield` AS double)")).alias("yield"))
+    value = g.bgp(("?output", "syn:hasYield", "?_y"), ("?_y", "om:hasNumericalValue", "?yield")).groupBy("output").agg(F.max(F.expr("try_cast(`yield` AS double)")).alias("yield"))
     found = optional(optional(optional(optional(out, named.labelled(g, "output", "outputLabel")), by_species), mop), value)
     found = found.select("synthesis", F.coalesce("outputLabel", "mopLabel", local_name("output")).alias("name"), or_missing("formula").alias("formula"), or_missing(yield_text(F.col("yield"))).alias("yield"), or_missing(F.coalesce("species_ccdc", "mop_ccdc")).alias("ccdc"))
     best = found.groupBy("synthesis", "name").agg(*(F.min_by(c, F.when(F.col(c) == MISSING, 1).otherwise(0)).alias(c) for c in ("formula", "yield", "ccdc")))
@@ -104,15 +105,14 @@ VESSEL_TYPES = {"syn:hasVessel": "usedVesselType", "syn:isTransferedTo": "target
 def step_fields(g: Graph) -> DataFrame:
     """One row a step with a column for each field: one scan and one pivot. An object that is a node counts by its label, or
     else by its value and unit."""
-    p = F.create_map(*(F.lit(x) for k, v in STEP_FIELDS.items() for x in (g.iri(k), v)))
-    rows = g.rows([g.iri(k) for k in STEP_FIELDS], [("?s", list(STEP_FIELDS), "?o")], 0).select(F.col("s").alias("step"), F.element_at(p, F.col("p")).alias("field"), F.col("o").alias("node"), "o_kind")
-    rows = optional(rows, named.labelled(g, "node", "label").groupBy("node").agg(F.min("label").alias("label")))
-    rows = optional(rows, g.match("?node", "om:hasNumericalValue", "?value").groupBy("node").agg(F.min("value").alias("value")))
-    rows = optional(rows, g.match("?node", "om:hasUnit", "?unit").groupBy("node").agg(F.min(local_name("unit")).alias("unit")))
+    rows = g.named("?step", STEP_FIELDS, "?node", "field")
+    rows = optional(rows, least(named.labelled(g, "node", "label"), "node", "label"))
+    rows = optional(rows, least(g.match("?node", "om:hasNumericalValue", "?value"), "node", "value"))
+    rows = optional(rows, derived(g.match("?node", "om:hasUnit", "?unit"), lambda df: df.groupBy("node").agg(F.min(local_name("unit")).alias("unit")), ["node"]))
     quantity = F.when(F.col("value").isNotNull(), F.concat_ws(" ", "value", "unit"))
     text = F.when(F.col("o_kind") == "lit", F.col("node")).otherwise(F.coalesce("label", quantity, local_name("node")))
     found = rows.select("step", "field", text.alias("text")).groupBy("step").pivot("field", list(dict.fromkeys(STEP_FIELDS.values()))).agg(F.min("text"))
-    kinds = joined(g.match("?vessel", "syn:hasVesselType", "?_t"), named.labelled(g, "_t", "label")).select("vessel", "label")
+    kinds = picked(g.bgp(("?vessel", "syn:hasVesselType", "?_t"), ("?_t", "rdfs:label", "?label")), "vessel", "label")
     for p, v in VESSEL_TYPES.items():
         found = optional(found, joined(g.match("?step", p, "?vessel"), kinds).groupBy("step").agg(F.min("label").alias(v)))
     return found
@@ -127,7 +127,7 @@ def step_order(g: Graph) -> DataFrame:
 
 def step_type(g: Graph) -> DataFrame:
     """(step, type): a specific type before the general one."""
-    types = joined(g.match("?_s", "syn:hasSynthesisStep", "?step").select("step").distinct(), g.match("?step", "a", "?t")).where(F.col("t").startswith(g.prefixes["syn"]))
+    types = joined(distinct(picked(g.match("?_s", "syn:hasSynthesisStep", "?step"), "step")), g.match("?step", "a", "?t")).where(F.col("t").startswith(g.prefixes["syn"]))
     name = local_name("t")
     return types.select("step", name.alias("type")).groupBy("step").agg(F.min_by("type", F.struct((F.col("type") == "SynthesisStep").cast("int"), F.col("type"))).alias("type"))
 
@@ -175,9 +175,9 @@ def steps_document(g: Graph) -> DataFrame:
 
 def step_dump(g: Graph) -> DataFrame:
     """(step, fields): every property of every step by its name with a lower-cased initial, as sorted distinct texts."""
-    steps = g.match("?_s", "syn:hasSynthesisStep", "?step").select("step").distinct()
-    facts = joined(steps, g.match("?step", "?p", "?node")).where(F.col("p") != g.iri("a"))
-    facts = optional(facts, named.labelled(g, "node", "label").groupBy("node").agg(F.min("label").alias("label")))
+    steps = distinct(picked(g.match("?_s", "syn:hasSynthesisStep", "?step"), "step"))
+    facts = having(joined(steps, g.match("?step", "?p", "?node")), F.col("p") != g.iri("a"))
+    facts = optional(facts, least(named.labelled(g, "node", "label"), "node", "label"))
     name = local_name("p")
     key = F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
     by_key = facts.select("step", key.alias("key"), F.coalesce("label", "node").alias("text")).groupBy("step", "key").agg(F.sort_array(F.collect_set("text")).alias("texts"))
@@ -223,7 +223,7 @@ def labelled_units(g: Graph) -> DataFrame:
     two labelled units or more: the first two by label. Names are the label and the other names, which are parted at commas
     unless they start with a locant."""
     mops = g.bgp(("?mop", "a", "mop:MetalOrganicPolyhedron"), ("?mop", "rdfs:label", "?_m"), ("?mop", "mop:hasCCDCNumber", "?ccdc"), ("?mop", "mop:hasChemicalBuildingUnit", "?cbu")).select("mop", "ccdc", "cbu").distinct()
-    label = named.labelled(g, "cbu", "label").groupBy("cbu").agg(F.min("label").alias("label"))
+    label = least(named.labelled(g, "cbu", "label"), "cbu", "label")
     other = g.match("?cbu", ["syn:hasAlternativeNames", "skos:altLabel"], "?o")
     parts = F.when(F.trim("o").rlike("^(4,4|1,3|1,4)"), F.array(F.trim("o"))).otherwise(F.transform(F.split("o", ","), lambda x: F.trim(x)))
     others = other.select("cbu", F.explode(parts).alias("name")).where("name <> ''").groupBy("cbu").agg(F.sort_array(F.collect_set("name")).alias("others"))

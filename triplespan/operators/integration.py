@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplespan.operators import graphs, grounding, named
-from triplespan.plans.patterns import LABEL, TYPE, Graph, first_hit, joined, optional
+from triplespan.plans.patterns import LABEL, TYPE, Graph, first_hit, joined, least, optional
 
 PARTS = ["doc", "s", "p", "o", "o_kind"]
 
@@ -115,8 +115,8 @@ def devices(g: Graph) -> DataFrame:
     """(kind, device, frequency): the device of each kind of the last species, by IRI, that has one; N/A without a label."""
     made = g.match("?_s", "syn:hasChemicalOutput", "?species").select("species").distinct()
     path = joined(joined(made, g.match("?species", "spe:hasCharacterizationSession", "?session")), named.by_role(g, named.DEVICES, "session", "node", "kind"))
-    label = named.labelled(g, "node", "device").groupBy("node").agg(F.min("device").alias("device"))
-    hertz = g.match("?node", "spe:hasFrequency", "?frequency").groupBy("node").agg(F.min("frequency").alias("frequency")).withColumn("kind", F.lit("HNMR"))
+    label = least(named.labelled(g, "node", "device"), "node", "device")
+    hertz = least(g.match("?node", "spe:hasFrequency", "?frequency"), "node", "frequency").withColumn("kind", F.lit("HNMR"))
     found = optional(optional(path, label), hertz).select("species", "node", "kind", F.coalesce("device", F.lit("N/A")).alias("device"), "frequency")
     last = found.groupBy("kind").agg(F.max_by(F.struct("device", "frequency"), F.struct("species", "node")).alias("d"))
     return last.select("kind", "d.device", "d.frequency")
@@ -140,7 +140,7 @@ def unit_labels(triples: DataFrame, terms: Terms, across: bool = True) -> DataFr
 def species_summary(g: Graph, limit: int = 20) -> DataFrame:
     """(species, label, formula) of the first species by label: the smallest label and formula value of each."""
     typed = g.match("?species", "a", "spe:Species").select("species").distinct()
-    label = named.labelled(g, "species", "label").groupBy("species").agg(F.min("label").alias("label"))
+    label = least(named.labelled(g, "species", "label"), "species", "label")
     formula = joined(g.match("?species", "spe:hasMolecularFormula", "?f"), g.match("?f", "spe:hasMolecularFormulaValue", "?formula")).groupBy("species").agg(F.min("formula").alias("formula"))
     return optional(optional(typed, label), formula).orderBy(F.col("label").asc_nulls_last(), "species").limit(limit)
 

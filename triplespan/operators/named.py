@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplespan.plans.patterns import Graph, either, exists, having, joined, lit, local_name, optional, ordered, picked
+from triplespan.plans.patterns import Graph, derived, either, exists, having, joined, lit, local_name, optional, ordered, picked
 
 LABEL = "rdfs:label"
 #: Role of a chemical by the predicate that leads to it, for the synthesis and for its steps.
@@ -43,12 +43,12 @@ def quantity(g: Graph, solutions: DataFrame, predicate: str | list[str], value_r
         node = optional(joined(node, value), g.match("?quantity", "om:hasUnit", "?unitIri"))
     else:
         node = g.described(node, "quantity", {"om:hasNumericalValue": "value", "om:hasUnit": "unitIri"})
-    return node.withColumn("unit", local_name("unitIri")).drop("unitIri", "quantity")
+    return derived(node, lambda df: df.withColumn("unit", local_name("unitIri")).drop("unitIri", "quantity"))
 
 
 def by_role(g: Graph, roles: dict[str, str], subject: str, target: str, column: str = "role") -> DataFrame:
     """(subject, target, role): one scan with a constant map instead of one branch a role."""
-    return g.named(f"?{subject}", roles, f"?{target}", column)
+    return picked(g.named(f"?{subject}", roles, f"?{target}", column), subject, target, column)
 
 
 # exact lookup
@@ -182,8 +182,7 @@ def temperatures(g: Graph, name: str | None = None, kind: str = "any", order: st
     roles = {p: k for p, k in TEMPERATURES.items() if kind in (k, "any")}
     found = joined(steps(g, name), by_role(g, roles, "step", "quantity", "temperatureKind"))
     found = joined(found, g.match("?quantity", "om:hasNumericalValue", "?value"))
-    found = optional(found, g.match("?quantity", "om:hasUnit", "?unitIri")).withColumn("unit", local_name("unitIri"))
-    found = optional(found, labelled(g, "step", "stepLabel"))
+    found = optional(optional(found, g.match("?quantity", "om:hasUnit", "?unitIri")), labelled(g, "step", "stepLabel")).withColumn("unit", local_name("unitIri"))
     return ordered(found.select("synthesisLabel", "stepLabel", "temperatureKind", "value", "unit"), ["value"], order, numeric=True)
 
 

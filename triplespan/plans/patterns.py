@@ -79,14 +79,14 @@ def within(solutions: DataFrame, other: DataFrame, but: Iterable[str] = ()) -> D
     return known.again(fewer) if fewer else solutions
 
 
-def derived(solutions: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`build` of solutions, still narrowed by later joins. It must keep, drop or alter single rows, or group by the variables
-    that it keeps."""
+def derived(solutions: DataFrame, build: Callable[[DataFrame], DataFrame], by: Sequence[str] | None = None) -> DataFrame:
+    """`build` of solutions, still narrowed by later joins on the variables that it keeps. It must work row by row, or group by
+    variables: those are `by` then, and only joins on them narrow it."""
     out, known = build(solutions), _KNOWN.get(solutions)
     if known is None:
         return out
-    ends = {v: e for v, e in known.ends.items() if v in out.columns}
-    return noted(out, ends, known.again and (lambda fewer: derived(known.again(fewer), build)))
+    ends = {v: e for v, e in known.ends.items() if v in (out.columns if by is None else by)}
+    return noted(out, ends, known.again and (lambda fewer: derived(known.again(fewer), build, by)))
 
 
 def having(solutions: DataFrame, condition: Column | str) -> DataFrame:
@@ -97,9 +97,13 @@ def picked(solutions: DataFrame, *columns: str) -> DataFrame:
     return derived(solutions, lambda df: df.select(*columns))
 
 
+def distinct(solutions: DataFrame) -> DataFrame:
+    return derived(solutions, DataFrame.distinct)
+
+
 def least(solutions: DataFrame, by: str, *values: str) -> DataFrame:
     """The smallest of each of `values` by `by`."""
-    return derived(solutions, lambda df: df.groupBy(by).agg(*(F.min(v).alias(v) for v in values)))
+    return derived(solutions, lambda df: df.groupBy(by).agg(*(F.min(v).alias(v) for v in values)), [by])
 
 
 class Graph:
@@ -141,10 +145,10 @@ class Graph:
         return found.select(*(F.col(names[0]).alias(v) for v, names in columns.items()))
 
     def named(self, s: str, names: dict[str, str], o: str, column: str, ends: Ends | None = None) -> DataFrame:
-        """Solutions of patterns that differ in their predicate, and in `column` the name that `names` gives it."""
+        """Solutions of patterns that differ in their predicate, in `column` the name that `names` gives it, and o_kind."""
         rows = self.rows([self.iri(p) for p in names], [(s, list(names), o)], 0, ends)
         of = F.create_map(*(F.lit(x) for p, name in names.items() for x in (self.iri(p), name)))
-        return rows.select(F.col("s").alias(s[1:]), F.col("o").alias(o[1:]), F.element_at(of, F.col("p")).alias(column))
+        return rows.select(F.col("s").alias(s[1:]), F.col("o").alias(o[1:]), F.element_at(of, F.col("p")).alias(column), "o_kind")
 
     def described(self, solutions: DataFrame, variable: str, properties: dict[str, str]) -> DataFrame:
         """Adds what each of `properties` (predicate to column) says of a variable, where known."""
@@ -263,7 +267,7 @@ def first_hit(key: Sequence[str], *attempts: DataFrame) -> DataFrame:
     """A fallback chain: for each key the rows of the first attempt that has any."""
     ranked = either(*(df.withColumn("_rank", F.lit(i)) for i, df in enumerate(attempts)))
     best = ranked.groupBy(*key).agg(F.min("_rank").alias("_rank"))
-    return ranked.join(best, [*key, "_rank"]).drop("_rank")
+    return noted(ranked.join(best, [*key, "_rank"]).drop("_rank"), ends_of(either(*attempts)))
 
 
 def local_name(iri: Column | str) -> Column:

@@ -246,6 +246,33 @@ MADE = f"""o AS (SELECT iri AS synthesis, 'output ' || o_orderkey AS name, coale
 UNION ALL SELECT iri, coalesce(sp.label, CAST(c_custkey AS VARCHAR)), 'N/A', 'N/A', coalesce(sp.ccdc, 'N/A') FROM syn JOIN species sp ON c_custkey = o_custkey WHERE o_orderstatus = 'F'),
 made AS (SELECT * FROM o WHERE ccdc <> 'N/A' OR synthesis NOT IN (SELECT synthesis FROM o WHERE ccdc <> 'N/A'))"""
 
+#: Every property of a step: its name and its text, which is the label of a node that has one.
+DUMP = f""", x AS (SELECT s.*, {NODE} AS node, coalesce(CASE WHEN u.s_acctbal > 1000 THEN u.s_name END, '{BASE}syn/Vessel/' || l_suppkey) AS vessel, 'env ' || n.label AS environment, CASE WHEN l_linenumber = 5 THEN '{BASE}syn/Equipment/5' ELSE 'equipment ' || n.label END AS equipment,
+    coalesce(c.label, '{BASE}syn/Chemical/' || l_partkey) AS made FROM step s LEFT JOIN supplier u ON u.s_suppkey = l_suppkey LEFT JOIN named n ON n.id = l_linenumber LEFT JOIN chemical c ON p_partkey = l_partkey)
+SELECT step, string_agg(field || '=' || texts, ';' ORDER BY field) AS fields FROM x, LATERAL (VALUES ('label', label), ('hasOrder', CASE WHEN l_tax > 0 THEN CAST(l_linenumber AS VARCHAR) END), ('isLayered', CASE WHEN l_discount > 0.05 THEN 'True' ELSE 'false' END), ('isStirred', CASE WHEN l_returnflag = 'A' THEN 'true' END),
+('isSealed', CASE WHEN l_returnflag = 'R' THEN 'true' END), ('isWait', CASE WHEN l_discount < 0.03 THEN 'true' ELSE 'false' END), ('isRepeated', CASE WHEN l_linestatus = 'F' THEN 'true' ELSE CAST(l_linenumber AS VARCHAR) END), ('isVacuumFiltration', CASE WHEN l_linestatus = 'O' THEN 'true' END),
+('hasTargetPh', CASE WHEN l_discount = 0.07 THEN CAST(l_quantity AS VARCHAR) END), ('hasParameter', CASE WHEN l_discount = 0.02 THEN 'p' || l_linenumber END), ('hasTargetTemperature', CASE WHEN l_returnflag = 'A' THEN '{BASE}syn/Temperature/' || node END),
+('hasCrystallizationTargetTemperature', CASE WHEN l_returnflag = 'R' THEN '{BASE}syn/Temperature/' || node END), ('hasStepDuration', CASE WHEN l_linestatus = 'F' THEN '{BASE}syn/Duration/' || node END), ('hasTemperatureRate', CASE WHEN l_discount = 0.01 THEN '{BASE}syn/Temperature/' || node END),
+('hasTransferredAmount', CASE WHEN l_discount = 0.04 THEN '{BASE}syn/Duration/' || node END), ('hasVessel', CASE WHEN l_linenumber <> 7 THEN vessel END), ('hasVesselEnvironment', CASE WHEN l_linestatus = 'O' THEN environment END), ('hasEquipment', CASE WHEN l_discount = 0.06 THEN equipment END),
+{", ".join(f"('{p}', CASE WHEN {c} THEN CASE WHEN l_linenumber + {k} = 4 THEN '{BASE}syn/Label/4' ELSE 'label ' || (l_linenumber + {k}) END END)" for p, c, k in (("hasDryingTemperature", "l_tax < 0.05", 0), ("hasDryingPressure", "l_tax > 0.02", 1), ("hasDryingAgent", "l_discount > 0.05", 2), ("hasEvaporationTemperature", "l_tax < 0.06", 0), ("hasEvaporationPressure", "l_discount < 0.05", 1), ("hasTargetVolume", "l_tax > 0.04", 3), ("removesSpecies", "l_discount > 0.02", 4), ("hasSeparationSolvent", "l_tax < 0.07", 0)))},
+{", ".join(f"('{p}', CASE WHEN {c} THEN made END)" for p, c in (("hasAddedChemicalInput", "l_linenumber = 1"), ("hasSolventDissolve", "l_linenumber = 2"), ("hasWashingSolvent", "l_linenumber = 3"), ("hasWashingChemical", "l_linenumber = 4 AND l_tax > 0.03")))}) v(field, texts) WHERE texts IS NOT NULL GROUP BY step"""
+STEPS = f"""f AS (SELECT '{BASE}syn/ChemicalSynthesis/' || l_orderkey AS synthesis, step, kind, CASE WHEN l_tax > 0 THEN l_linenumber ELSE 0 END AS nr, CASE WHEN l_linenumber <> 7 THEN CASE WHEN u.s_acctbal > 1000 THEN u.s_name ELSE CAST(l_suppkey AS VARCHAR) END ELSE 'N/A' END AS vessel,
+    coalesce(CASE WHEN l_linenumber <> 7 THEN r_name END, 'N/A') AS vessel_type, coalesce(CASE WHEN l_linestatus = 'O' THEN 'env ' || e.label END, 'N/A') AS air, CASE WHEN l_discount = 0.07 THEN CAST(trunc(l_quantity) AS INT) ELSE -1 END AS ph, CASE WHEN l_linestatus = 'F' THEN {LONG} ELSE 'N/A' END AS lasts,
+    CASE WHEN l_returnflag IN ('A', 'R') THEN {HOT} ELSE 'N/A' END AS hot, CASE WHEN l_returnflag = 'A' THEN {HOT} ELSE 'N/A' END AS target, CASE WHEN l_discount = 0.01 THEN {HOT} ELSE 'N/A' END AS rate, l_returnflag = 'A' AS stir, l_returnflag = 'R' AS sealed, l_discount > 0.05 AS layered,
+    l_linestatus = 'O' AS vacuum, l_discount < 0.03 AS waits, CASE WHEN l_linestatus = 'F' THEN 1 ELSE l_linenumber END AS times, [{{'chemicalName': [coalesce(c.label, 'Unknown')], 'chemicalAmount': coalesce(amount, 'N/A'), 'chemicalFormula': coalesce(c.formula, 'N/A'), 'purity': coalesce(purity, 'N/A'), 'supplierName': coalesce(c.supplier, 'N/A')}}] AS chemical
+    FROM step LEFT JOIN supplier u ON u.s_suppkey = l_suppkey LEFT JOIN region ON r_regionkey = u.s_nationkey % 6 AND u.s_acctbal > 3000 LEFT JOIN named e ON e.id = l_linenumber LEFT JOIN chemical c ON p_partkey = l_partkey),
+j AS (SELECT f.*, {{'usedVesselName': vessel, 'usedVesselType': vessel_type, 'stepNumber': nr, 'atmosphere': air, 'targetPH': ph, 'comment': 'N/A'}} AS shared FROM f),
+p AS (SELECT synthesis, string_agg(name, '|' ORDER BY name) AS names, coalesce(min(CASE WHEN ccdc <> 'N/A' THEN left(ccdc, -1) || ' ' || right(ccdc, 1) END), 'N/A') AS ccdc FROM (SELECT DISTINCT synthesis, name, ccdc FROM made) GROUP BY 1)
+SELECT j.synthesis, 'Synthesis ' || split_part(j.synthesis, '/', 6) AS "procedureName", names AS "productNames", ccdc AS "productCCDCNumber", nr AS "stepNumber", step, kind AS type, CAST(CASE kind WHEN 'Add' THEN to_json(struct_insert(shared, duration := lasts, "addedChemical" := chemical, stir := stir, "isLayered" := layered))
+WHEN 'HeatChill' THEN to_json(struct_insert(shared, duration := lasts, "usedDevice" := 'N/A', "targetTemperature" := hot, "heatingCoolingRate" := rate, "underVacuum" := false, "sealedVessel" := sealed, stir := stir)) WHEN 'Filter' THEN to_json(struct_insert(shared, "washingSolvent" := chemical, "vacuumFiltration" := vacuum, "numberOfFiltrations" := times))
+WHEN 'Stir' THEN to_json(struct_insert(shared, duration := lasts, temperature := target, wait := waits)) ELSE to_json(struct_insert(shared, duration := lasts)) END AS VARCHAR) AS fields FROM j JOIN p USING (synthesis)"""
+
+
+def _steps(g: MappedGraph) -> DataFrame:
+    found = _listed(documents.steps_document(g), "productNames").withColumnRenamed("synthesisLabel", "procedureName")
+    return found.select("synthesis", "procedureName", "productNames", "productCCDCNumber", F.explode("steps").alias("s")).select("synthesis", "procedureName", "productNames", "productCCDCNumber", "s.stepNumber", F.col("s.iri").alias("step"), "s.type", "s.fields")
+
+
 for _name, _query, _sql in (
     ("document_step_order", documents.step_order, f"""SELECT '{BASE}syn/ChemicalSynthesis/' || l_orderkey AS synthesis, step, CASE WHEN l_tax > 0 THEN l_linenumber ELSE 0 END AS "stepNumber", lower(label) AS "stepLabel" FROM step"""),
     ("document_step_type", documents.step_type, "SELECT step, kind AS type FROM step"),
@@ -266,6 +293,8 @@ m AS (SELECT synthesis, string_agg(name || ':' || ccdc, '|' ORDER BY name, formu
 coalesce((SELECT string_agg(label, ' ; ' ORDER BY label) FROM (SELECT DISTINCT n.label FROM material x JOIN named n ON n.id = x.m WHERE x.c_custkey = sp.c_custkey AND sp.c_nationkey % 2 = 0)), 'N/A') AS material,
 CASE WHEN c_nationkey % 3 = 0 THEN 'C ' || c_nationkey ELSE 'N/A' END AS "weightPercentageCalculated", CASE WHEN c_nationkey % 3 = 0 AND c_acctbal > 0 THEN 'C ' || c_nationkey || '.1' ELSE 'N/A' END AS "weightPercentageExperimental"
 FROM syn JOIN species sp ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 2000"""),
+    ("document_step_dump", lambda g: documents.step_dump(g).select("step", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|"))), ";").alias("fields")), DUMP),
+    ("document_steps", _steps, f", {MADE}, {STEPS}"),
     ("document_labelled_units", lambda g: _listed(documents.labelled_units(g), "cbuSpeciesNames1", "cbuSpeciesNames2"),
      """, u AS (SELECT ccdc, cbu.label AS n, row_number() OVER (PARTITION BY ccdc ORDER BY cbu.label) AS i, count(*) OVER (PARTITION BY ccdc) AS many FROM unit JOIN cbu ON u = cbu.id WHERE ccdc IS NOT NULL AND cbu.label IS NOT NULL)
 SELECT ccdc AS "mopCCDCNumber", 'N/A' AS "cbuFormula1", max(n) FILTER (i = 1) AS "cbuSpeciesNames1", 'N/A' AS "cbuFormula2", max(n) FILTER (i = 2) AS "cbuSpeciesNames2" FROM u WHERE many >= 2 GROUP BY ccdc"""),

@@ -179,7 +179,7 @@ class MappedGraph(Graph):
         stars: dict[tuple, list] = {}
         for p, v in properties.items():
             rules = self._possible([(f"?{variable}", p, f"?{v}")], ends)[0][0]
-            if len(rules) == 1 and rules[0][0].unique:
+            if len(rules) == 1 and rules[0][0].unique and v not in solutions.columns:
                 stars.setdefault((rules[0][0].table, rules[0][0].name, rules[0][0].key), []).append((rules[0], v))
             else:
                 solutions = super().described(solutions, variable, {p: v})
