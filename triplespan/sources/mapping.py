@@ -24,7 +24,7 @@ BASE = PREFIXES["ex"]
 class Entity:
     """How one table maps: its class, key, literals by predicate, references by predicate, and more classes of the rows that
     meet a condition. Keys, literals and conditions are SQL expressions over the table's columns. Rows of an entity that is
-    not `unique` share keys, so its triples are made distinct."""
+    not `unique` share keys, so its triples are made distinct; `unique` is a promise, by which facts of one row are read together."""
 
     table: str
     name: str
