@@ -110,16 +110,14 @@ def class_samples(triples: DataFrame) -> DataFrame:
 
 def neighbourhood(triples: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
     """(centre, s, p, o, o_kind): triples within `hops` edges of each centre, in both directions. The work is in
-    proportion to the triples found, so centres are meant to be few, such as one sample a class."""
-    reached = centres.select(F.col("s").alias("centre"), F.col("s").alias("node")).distinct()
-    found = None
+    proportion to the triples found, so centres are meant to be few, such as one sample a class. A hop reads the graph once, by
+    both ends of its triples, and is written, so that the next one does not repeat it."""
+    ends = triples.select(*KEY, F.explode(F.array_distinct(F.array("s", F.when(F.col("o_kind") != "lit", F.col("o"))))).alias("node")).where("node is not null")
+    reached, found = centres.select(F.col("s").alias("centre"), F.col("s").alias("node")).distinct(), None
     for _ in range(hops):
-        out = reached.join(triples, reached.node == triples.s).select("centre", *KEY)
-        into = reached.join(triples.where("o_kind <> 'lit'"), F.col("node") == F.col("o")).select("centre", *KEY)
-        step = out.union(into).distinct()
+        step = written(reached.join(ends, "node").select("centre", *KEY).distinct(), "hop")
         found = step if found is None else found.union(step).distinct()
-        ends = step.select("centre", F.explode(F.array("s", F.when(F.col("o_kind") != "lit", F.col("o")))).alias("node")).where("node is not null")
-        reached = ends.distinct()
+        reached = step.select("centre", F.explode(F.array("s", F.when(F.col("o_kind") != "lit", F.col("o")))).alias("node")).where("node is not null").distinct()
     return found
 
 

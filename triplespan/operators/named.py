@@ -236,9 +236,10 @@ def step_parameters(g: Graph, name: str | None = None) -> DataFrame:
 
 
 def equipment(g: Graph, name: str | None = None) -> DataFrame:
-    whole = joined(syntheses(g, name), g.match("?synthesis", "syn:hasEquipment", "?equipment")).withColumn("scope", F.lit("synthesis"))
-    in_steps = joined(steps(g, name), g.match("?step", "syn:hasEquipment", "?equipment")).withColumn("scope", F.lit("step"))
-    return joined(either(whole, in_steps), labelled(g, "equipment", "equipmentLabel")).select("synthesisLabel", "scope", "step", "equipmentLabel").distinct()
+    whole = joined(syntheses(g, name), g.match("?synthesis", "syn:hasEquipment", "?equipment"))
+    in_steps = joined(steps(g, name), g.match("?step", "syn:hasEquipment", "?equipment"))
+    in_scope = lambda df, scope: derived(df, lambda rows: rows.withColumn("scope", F.lit(scope)))
+    return joined(either(in_scope(whole, "synthesis"), in_scope(in_steps, "step")), labelled(g, "equipment", "equipmentLabel")).select("synthesisLabel", "scope", "step", "equipmentLabel").distinct()
 
 
 def documents(g: Graph, name: str | None = None) -> DataFrame:
@@ -247,9 +248,9 @@ def documents(g: Graph, name: str | None = None) -> DataFrame:
 
 def inheritance(g: Graph, name: str | None = None) -> DataFrame:
     """Procedures that a synthesis inherits from, and those that inherit from it, one step away."""
-    edge = g.match("?synthesis", "syn:inheritsFromProcedure", "?other")
-    turned = edge.select(F.col("other").alias("synthesis"), F.col("synthesis").alias("other"))
-    both = edge.withColumn("direction", F.lit("inherits_from")).unionByName(turned.withColumn("direction", F.lit("inherited_by")))
+    way = lambda df, direction: derived(df, lambda rows: rows.withColumn("direction", F.lit(direction)))
+    onward, back = g.match("?synthesis", "syn:inheritsFromProcedure", "?other"), g.match("?other", "syn:inheritsFromProcedure", "?synthesis")
+    both = either(way(onward, "inherits_from"), way(back, "inherited_by"))
     return optional(joined(syntheses(g, name), both), labelled(g, "other", "otherLabel"))
 
 
@@ -257,8 +258,8 @@ def yields(g: Graph, name: str | None = None) -> DataFrame:
     """Yield nodes of syntheses and of their outputs; the first of two value vocabularies counts where they differ. Rows
     without a value and a real label are left out."""
     direct = joined(syntheses(g, name), g.match("?synthesis", "syn:hasYield", "?yield"))
-    output = joined(syntheses(g, name), g.bgp(("?synthesis", "syn:hasChemicalOutput", "?_o"), ("?_o", "syn:hasYield", "?yield")).drop("_o"))
-    found = optional(direct.unionByName(output), g.match("?yield", "om:hasNumericalValue", "?value"))
+    output = joined(syntheses(g, name), g.bgp(("?synthesis", "syn:hasChemicalOutput", "?_o"), ("?_o", "syn:hasYield", "?yield")))
+    found = optional(either(direct, picked(output, *direct.columns)), g.match("?yield", "om:hasNumericalValue", "?value"))
     found = optional(found, g.match("?yield", "qudt:numericValue", "?value"), rebind=["value"])
     found = optional(found, labelled(g, "yield", "yieldLabel"))
     return found.where("value is not null or coalesce(upper(trim(yieldLabel)), '') not in ('', 'N/A', 'NA')").drop("synthesis").distinct()

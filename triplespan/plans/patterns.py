@@ -206,7 +206,8 @@ def optional(a: DataFrame, b: DataFrame, rebind: Iterable[str] = ()) -> DataFram
     same = reduce(Column.__and__, [F.col(v) == F.col(f"_{v}") for v in on] + [F.col(v).isNull() | (F.col(v) == F.col(f"_{v}")) for v in again])
     both = a.join(b, same, "left")
     mine = [F.coalesce(c, f"_{c}").alias(c) if c in again else F.col(c) for c in a.columns]
-    return both.select(*mine, *(c for c in b.columns if not c.startswith("_")))
+    out = both.select(*mine, *(c for c in b.columns if not c.startswith("_")))
+    return noted(out, {v: e for v, e in (ends_of(b) | ends_of(a)).items() if v in out.columns and v not in again})
 
 
 def either(*branches: DataFrame) -> DataFrame:
