@@ -10,8 +10,9 @@ hold cost little and are left alone. In an assignment without spaces (`private_k
 the token as a whole, and the values after the first and the last other name: five at most, so that work stays linear in the
 length of a token, however many `=` it holds.
 
-Spans are (kind, start, end) in code points, end exclusive, by start and then kind in the order above. Null and empty
-texts have none. Extra columns pass through `redacted`. An empty table gives an empty result.
+Spans are (kind, start, end) in code points, end exclusive, by start and then kind in the order above. With `matches`, as the
+query has them, the base span of an assignment is its whole match, name included, as its contract counts spans of
+matches; `redacted` blanks values only. Null and empty texts have none. Extra columns pass through `redacted`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,10 +58,15 @@ class Scanner:
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, place of the kind, end) of the base kinds, sorted."""
-        found = [(m.start(1), 0, m.end(1)) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        return sorted(found)
+        return sorted(self.assigned(text, 1) + self.keys(text))
+
+    def assigned(self, text: str, group: int) -> list[tuple[int, int, int]]:
+        """Spans of assignments: of whole matches (group 0) or of values (1)."""
+        return [(m.start(group), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+
+    def keys(self, text: str) -> list[tuple[int, int, int]]:
+        found = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+        return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
     def novelty(self, text: str, start: int, end: int) -> float:
         """Marginal compressed bytes a character of text[start:end] against its surroundings."""
@@ -93,25 +99,29 @@ class Scanner:
             return False
         return bool(SENSITIVE.search(text, max(0, start - NEAR), start)) and self.novelty(text, start, end) >= NOVEL
 
-    def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """(base spans, all spans)."""
-        base = self.base(text or "")
-        return base, sorted(base + self.added(text or "", base))
+    def spans(self, text: str | None, matches: bool = False) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """(base spans, all spans); with `matches` an assignment's span is its whole match."""
+        text = text or ""
+        base = self.base(text)
+        added = self.added(text, base)
+        if matches and any(x[1] == 0 for x in base):
+            base = sorted(self.assigned(text, 0) + [x for x in base if x[1]])
+        return base, sorted(base + added)
 
 
 def written_spans(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of (doc_id, text)."""
+def scanned(docs: DataFrame, matches: bool = False) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of (doc_id, text); of whole matches or, by default, of values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for b in batches:
             counts, sha, spans = [[], [], []], [], []
             for t in b.column("text"):
-                base, every = scanner.spans(t.as_py())
+                base, every = scanner.spans(t.as_py(), matches)
                 for k in range(3):
                     counts[k].append(sum(x[1] == k for x in base))
                 sha.append(hashlib.sha256(written_spans(base).encode()).hexdigest())
@@ -144,4 +154,4 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(common.documents(spark, sf_dir))
+    return scanned(common.documents(spark, sf_dir), matches=True)
