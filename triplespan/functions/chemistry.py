@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplespan.functions.text import let
+
 # Average atomic weights; other elements weigh 0.
 WEIGHTS = {
     "H": 1.00794, "C": 12.0107, "N": 14.0067, "O": 15.9994, "F": 18.9984032, "P": 30.973762,
@@ -52,10 +54,12 @@ def atoms(formula: Column) -> Column:
     factor = lambda g: F.coalesce(F.nullif(F.regexp_extract(g, r"[0-9]+$", 0), F.lit("")).cast("int"), F.lit(1))
     inner = F.flatten(F.transform(groups, lambda g: _elements(F.regexp_extract(g, r"^\(([^()]+)\)", 1), factor(g))))
     rest = _elements(F.regexp_replace(f, r"\([^()]+\)[0-9]*", " "), F.lit(1))
-    every = F.concat(inner, rest)
-    names = F.array_distinct(F.transform(every, lambda a: a["element"]))
-    total = lambda e: F.aggregate(F.filter(every, lambda a: a["element"] == e), F.lit(0), lambda s, a: s + a["n"])
-    return F.map_from_arrays(names, F.transform(names, total))
+
+    def totals(every: Column) -> Column:
+        total = lambda e: F.aggregate(F.filter(every, lambda a: a["element"] == e), F.lit(0), lambda s, a: s + a["n"])
+        return let(F.array_distinct(F.transform(every, lambda a: a["element"])), lambda names: F.map_from_arrays(names, F.transform(names, total)))
+
+    return let(F.concat(inner, rest), totals)
 
 
 def formula(counts: Column) -> Column:
@@ -71,6 +75,11 @@ def weight(counts: Column) -> Column:
     return F.round(F.aggregate(F.map_entries(counts), F.lit(0.0), lambda s, e: s + F.coalesce(F.element_at(table, e["key"]), F.lit(0.0)) * e["value"]), 4)
 
 
+def formula_and_weight(counts: Column) -> Column:
+    """(formula, weight) of `counts`, which are computed once."""
+    return let(counts, lambda c: F.struct(formula(c).alias("formula"), weight(c).alias("weight")))
+
+
 def candidate_score(found_formula: Column, found_weight: Column, target_formula: Column, target_weight: Column) -> Column:
     """6 for the same formula, and 4, 3, 2, 1 or 0 by relative error of the weight."""
     off = weight_error(found_weight, target_weight)
