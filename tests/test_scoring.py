@@ -106,3 +106,32 @@ def test_kept_tables(spark, tmp_path):
     assert listing.top_entities(spark.createDataFrame([("http://x/a", None)], "entity string, label string")).first()["label"] == "a"
     scores = grounding.compared(spark.createDataFrame([("CCO",)], "query string"), spark.createDataFrame([("CCO",), ("CCN",), ("cco",)], "label string"), 0.6, "structure")
     assert {r["label"]: round(r["score"], 3) for r in scores.collect()} == {"CCO": 1.0, "CCN": 0.667}
+
+
+def test_greedy_folds(spark):
+    """Ties by larger right, then larger left; missing and undefined scores last; columns and their order stay."""
+    rows = [(1, 1, 1, 0.5, "a"), (1, 1, 2, 0.5, "b"), (1, 2, 2, 0.5, "c"), (1, 2, 1, None, "d"), (1, 3, 3, float("nan"), "e"), (1, 3, 1, 0.1, "f"), (2, 1, 1, 9.0, "g")]
+    pairs = spark.createDataFrame(rows, "k long, t int, f int, score double, note string")
+    found = scoring.greedy(pairs, ["k"], "score", "t", "f")
+    assert found.columns == pairs.columns and found.dtypes == pairs.dtypes
+    assert sorted(r["note"] for r in found.collect()) == ["a", "c", "e", "g"]
+    assert "Pandas" not in found._jdf.queryExecution().toString()  # no Python worker for each document
+
+
+def test_missing_values_equal_none(spark):
+    t = spark.createDataFrame([(1, 1), (1, 1), (1, None), (None, 5)], "k int, v int")
+    f = spark.createDataFrame([(1, 1), (1, None), (None, 5), (2, 7)], "k int, v int")
+    counts = {r["k"]: (r["tp"], r["fp"], r["fn"]) for r in scoring.multisets(t, f, ["k"], "v").collect()}
+    assert counts == {1: (1, 1, 2), 2: (0, 1, 0), None: (0, 1, 1)}
+    counts = {r["k"]: (r["tp"], r["fp"], r["fn"]) for r in scoring.sets(t, f, ["k"], "v").collect()}
+    assert counts == {1: (1, 1, 1), 2: (0, 1, 0), None: (0, 1, 1)}
+
+
+def test_compared_rows_are_spread(spark, monkeypatch):
+    """A task compares a bounded number of rows, so its tables do not grow with the input."""
+    from triplespan.plans import tables
+
+    seen = []
+    monkeypatch.setattr(scoring, "spread", lambda df, *by: seen.append(tables.spread(df, *by, rows=10).rdd.getNumPartitions()) or tables.spread(df, *by))
+    rows = spark.range(500).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    assert scoring.sets(rows, rows, ["k"], "v").agg(F.sum("tp")).first()[0] == 500 and seen == [100]

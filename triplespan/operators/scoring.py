@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from triplespan.plans.tables import written
+from triplespan.plans.tables import spread, written
 
 COUNTS = ("tp", "fp", "fn")
 
@@ -31,9 +33,18 @@ def _sums(df: DataFrame, by: list[str], **columns: Column) -> DataFrame:
 
 
 def multisets(truth: DataFrame, found: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Counts per `by`: what both have, as often as the rarer one has it; surplus is a false positive or negative."""
-    t, f = truth.groupBy(*by, value).agg(F.count("*").alias("t")), found.groupBy(*by, value).agg(F.count("*").alias("f"))
-    both = t.join(f, [*by, value], "full").select(*by, F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("f", F.lit(0)).alias("f"))
+    """Counts per `by`: what both have, as often as the rarer one has it; surplus is a false positive or negative.
+
+    Rows of both sides meet in one shuffle by key and value, spread by their count, so that a task's tables stay small."""
+    return _compared(truth, found, by, value, F.sum)
+
+
+def _compared(truth: DataFrame, found: DataFrame, by: list[str], value: str, times) -> DataFrame:
+    """Counts per `by` of rows of two sides, `times` telling how often a side has a value. A missing value or key equals none."""
+    missing = reduce(Column.__or__, [F.col(c).isNull() for c in (*by, value)])
+    side = lambda df, t, f: df.select(*by, value, F.lit(t).alias("t"), F.lit(f).alias("f"), F.when(missing, F.lit(t)).alias("_apart"))
+    rows = spread(side(truth, 1, 0).union(side(found, 0, 1)), *by, value)
+    both = rows.groupBy(*by, value, "_apart").agg(times("t").alias("t"), times("f").alias("f"))
     return _sums(both, by, tp=F.least("t", "f"), fp=F.greatest(F.col("f") - F.col("t"), F.lit(0)), fn=F.greatest(F.col("t") - F.col("f"), F.lit(0)))
 
 
@@ -49,8 +60,7 @@ def fair_sets(truth: DataFrame, found: DataFrame, by: list[str], value: str) ->
 
 def sets(truth: DataFrame, found: DataFrame, by: list[str], value: str) -> DataFrame:
     """Counts per `by` on distinct values."""
-    keys = [*by, value]
-    return multisets(truth.select(*keys).distinct(), found.select(*keys).distinct(), by, value)
+    return _compared(truth, found, by, value, F.max)
 
 
 def anchored(truth: DataFrame, found: DataFrame, key: str, value: str, same=lambda a, b: a == b) -> DataFrame:
@@ -190,20 +200,25 @@ def record_scores(truth: DataFrame, found: DataFrame, key: str, names: str, text
 def greedy(pairs: DataFrame, by: list[str], score: str, left: str, right: str) -> DataFrame:
     """Matches of highest score first, each left and right once within `by`; ties prefer larger right, then larger left.
 
-    Matching one document is sequential, so `by` should name documents, whose pairs are few."""
-    columns = pairs.columns
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, right, left], ascending=False, kind="stable")
-        used_left, used_right, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip(rows[left], rows[right], strict=True)):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                keep.append(i)
-        return rows.iloc[keep][columns]
-
-    return pairs.groupBy(*by).applyInPandas(run, pairs.schema)
+    One fold over a document's sorted pairs. Matching one document is sequential, so `by` should name documents, whose pairs are
+    few. A missing or undefined score comes last, and a missing side is never used up."""
+    number = dict(pairs.dtypes)[score] in ("double", "float")
+    place = F.when(F.isnan(score), None).otherwise(F.col(score)) if number else F.col(score)
+    rest = [c for c in pairs.columns if c not in (*by, score, left, right)]
+    row = F.struct(place.alias("_place"), F.col(right).alias("_right"), F.col(left).alias("_left"), F.struct(F.col(score), *rest).alias("_rest"))
+    used = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
+
+    def step(state: Column, x: Column) -> Column:
+        free = ~used(state["lefts"], x["_left"]) & ~used(state["rights"], x["_right"])
+        taken = F.struct(F.array_append(state["lefts"], x["_left"]).alias("lefts"), F.array_append(state["rights"], x["_right"]).alias("rights"), F.array_append(state["kept"], x).alias("kept"))
+        return F.when(free, taken).otherwise(state)
+
+    rows = pairs.groupBy(*by).agg(F.sort_array(F.collect_list(row), asc=False).alias("_rows"))
+    of = rows.schema["_rows"].dataType
+    start = F.struct(*(F.array().cast(t).alias(n) for n, t in (("lefts", ArrayType(of.elementType["_left"].dataType)), ("rights", ArrayType(of.elementType["_right"].dataType)), ("kept", of))))
+    kept = rows.select(*by, F.explode(F.aggregate("_rows", start, step, lambda state: state["kept"])).alias("_row"))
+    value = {left: "_row._left", right: "_row._right"}
+    return kept.select(*(F.col(c if c in by else value.get(c, f"_row._rest.{c}")).alias(c) for c in pairs.columns))
 
 
 def unit_pairs(truth: DataFrame, found: DataFrame, by: str) -> DataFrame:
