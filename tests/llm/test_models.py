@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from helpers import frame, prose, texts, words
 from oracle import compare, connection
+from pyspark.sql import functions as F
 
 from triplespan.llm import common, mixing, quality_rules, queries, rule_ensemble, toxicity
 
@@ -273,3 +274,10 @@ def test_ordinal():
     grade = np.searchsorted([-1.0, 0.5, 2.0], latent)
     weights, thresholds = toxicity.ordinal(toxicity.Features.of(x), grade, 4, ridge=1e-4)
     assert np.allclose(weights, [2, -1, 0], atol=0.25) and np.allclose(thresholds, [-1, 0.5, 2], atol=0.25)
+
+
+def test_all_trusted_documents_count(spark):
+    """The target holds every document that is marked good, however many: if all are, it is the raw corpus."""
+    docs = spark.range(20_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 97).cast("string"), F.lit(" v"), (F.col("id") % 31).cast("string")).alias("text"))
+    weights = quality_rules.bucket_weights(docs, docs.select("doc_id", F.lit(1).alias("quality"))).first()["weights"]
+    assert len(weights) == quality_rules.BUCKETS and not any(weights)

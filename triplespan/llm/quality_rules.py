@@ -1,8 +1,7 @@
 """Operator 5: base quality counts and a hashed n-gram log-likelihood ratio.
 
 Every word and every pair of neighbouring words falls into one of `BUCKETS` hash buckets. Two multinomials
-with add-one smoothing are counted: the trusted target (a sample of at most `MOST_TRUSTED` documents that
-labels.quality marks 1, those with the smallest hash) and the raw corpus (all documents, all words). A
+with add-one smoothing are counted: the trusted target (all documents that labels.quality marks 1) and the raw corpus (all documents, all words). A
 document's score is the mean over its n-grams of log p_target - log p_raw; documents below `THRESHOLD`, or
 that fail the base rules, are not kept. Everything is deterministic.
 
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from triplespan.llm import common
 
 BUCKETS = 1 << 14
-MOST_TRUSTED = 20_000
 THRESHOLD = -0.1
 REPEAT_WINDOW = 8
 
@@ -74,13 +72,14 @@ def repeated_words(h2: Column) -> Column:
     return F.when(F.size(h2) > n, counted).otherwise(none)
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = MOST_TRUSTED) -> DataFrame:
+def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: weights, an array of `buckets` values log p_target - log p_raw.
 
-    The trusted ids are at most `most`, so their broadcast is bounded; counts merge map-side to `buckets` rows.
+    All trusted documents are counted; their ids are broadcast only if their count proves them small. Counts merge map-side to
+    `buckets` rows.
     """
-    trusted = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.lit(1).alias("trusted"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
+    trusted = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(1))
+    marked = docs.select("doc_id", "text").join(common.if_small(trusted), "doc_id", "left")
     grams = hashed(marked, F.col("trusted")).select("trusted", F.explode(F.concat("h1", "h2")).alias("h"))
     counts = grams.groupBy(bucket(F.col("h"), buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
