@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from triplespan.catalog import QUERIES
+from triplespan.operators import named
 from triplespan.plans.tables import spread
 
 
@@ -18,3 +19,11 @@ def test_spread(spark):
 @pytest.mark.parametrize("query", ["formula_score", "formula_weight", "normalize_values"])
 def test_small_files_are_spread(spark, query):
     assert QUERIES[query](spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_distinct_counts_are_spread(spark, monkeypatch):
+    """Values are shuffled before they are made distinct, by a bounded number a task."""
+    parts = []
+    monkeypatch.setattr(named, "spread", lambda df, *by: parts.append(spread(df, *by, rows=10)) or parts[-1])
+    got = named.distinct_counts({"a": spark.range(300).select(F.col("id") % 50), "b": spark.range(0)}).first()
+    assert (got["a"], got["b"]) == (50, 0) and parts[0].rdd.getNumPartitions() == 30
