@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from triplespan.operators import documents, graphs, named
 from triplespan.plans.patterns import TYPE, Graph, derived, either, ends_of, exists, first_hit, having, joined, least, not_exists, optional, picked
 from triplespan.queries.syntheses import STEP_KEY, view
-from triplespan.sources.mapping import Entity, MappedGraph
+from triplespan.sources.mapping import Entity, MappedGraph, given
 
 L = "rdfs:label"
 
@@ -132,3 +132,23 @@ def test_nothing_can_meet(mapped):
     assert none.columns == ["v", "x", "n"] and none.count() == 0 and scans(none) <= 1
     kept = optional(mapped.match("?x", "syn:hasVessel", "?v"), mapped.match("?v", "om:hasNumericalValue", "?n"))
     assert scans(kept) == 1 and kept.where("n is not null").count() == 0 < kept.count()
+
+
+@pytest.mark.parametrize(("query", "most"), [(named.durations, 2), (named.temperatures, 2), (documents.step_order, 1), (documents.step_dump, 20)])
+def test_facts_of_one_row_are_read_together(mapped, query, most):
+    """Steps, what they lead to in their own row, and the values and units of that are one scan of line items."""
+    found = query(mapped)
+    assert scans(found) <= most
+    assert found._jdf.queryExecution().sparkPlan().toString().count("lineitem") <= 3
+
+
+def test_a_row_is_told_by_its_own_keys_only(spark, tmp_path):
+    """A reference to another row of the same table is joined; one to the same row is read with it, where its condition holds."""
+    spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, 3, None)], "k int, other int, v string").write.parquet(str(tmp_path / "t.parquet"))
+    entities = [Entity("t", "A", ("k",), {}, {"own": ("B", given("k < 3", "k")), "far": ("B", ("other",))}), Entity("t", "B", ("k",), {"v": "v"})]
+    g = MappedGraph(spark, str(tmp_path), entities)
+    kept = Graph(g.triples, g.prefixes)
+    for p in ("ex:own", "ex:far"):
+        for join in (joined, optional):
+            assert rows(join(g.match("?a", p, "?b"), g.match("?b", "ex:v", "?v"))) == rows(join(kept.match("?a", p, "?b"), kept.match("?b", "ex:v", "?v")))
+    assert scans(joined(g.match("?a", "ex:own", "?b"), g.match("?b", "ex:v", "?v"))) == 1 and scans(joined(g.match("?a", "ex:far", "?b"), g.match("?b", "ex:v", "?v"))) == 2
