@@ -1,8 +1,10 @@
 """Candidate joins against all pairs."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,39 @@ def test_near_matches(spark):
     counts = scoring.near_scores(df(0), df(1), "k", "v").agg(F.sum("tp"), F.sum("fp"), F.sum("fn")).first()
     n = sum(len(loop(*two)) for two in data.values())
     assert tuple(counts) == (n, sum(len(set(f)) for _, f in data.values()) - n, sum(len(set(t)) for t, _ in data.values()) - n)
+
+
+def test_few_pairs_are_compared():
+    """The bound counts characters in the same order, over 64 and unknown ones too; with it a query reaches few labels, and its best ones are right."""
+    rng = random.Random(7)
+    labels = [" ".join(rng.choice("blue anvil economy small brand polished heavy 12 é 😀 steel copper".split()) for _ in range(5)) + f" {k}" for k in range(1500)]
+    queries = [x[::-1] for x in labels[:4]] + [labels[9] * 4, "zzz"]
+    alphabet = np.array(sorted({ord(c) for x in labels for c in x}), np.uint32)
+    width = max(map(len, labels[:80]))
+    codes = np.array([[list(alphabet).index(ord(c)) for c in x] + [len(alphabet)] * (width - len(x)) for x in labels[:80]]).T
+
+    def in_order(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for q in queries:
+        bound = candidates.most_in_order(q, codes, alphabet)
+        want = [in_order(q, x) for x in labels[:80]]
+        assert (bound >= want).all() and (len(q) > 64 or list(bound) == want)
+    calls = Counter()
+
+    def ratio(a, b):
+        calls[a] += 1
+        return SequenceMatcher(None, a, b).ratio()
+
+    found = list(candidates.best_in(queries, labels, 0.3, 5, ratio))
+    assert sum(calls[q] for q in queries[:4]) < 4 * len(labels) / 10
+    for q in queries:
+        every = sorted((SequenceMatcher(None, q, x).ratio() for x in labels), reverse=True)
+        least = max(every[4], 0.3)
+        assert sorted((s for a, _, s in found if a == q), reverse=True) == [s for s in every if s >= least]
