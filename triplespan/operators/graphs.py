@@ -6,15 +6,18 @@ sets: a merge or a rewrite that makes equal triples gives one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplespan.plans.patterns import COLUMNS, LABEL, TYPE, local_name
+from triplespan.plans.patterns import COLUMNS, LABEL, TYPE, Ends, local_name
 from triplespan.plans.tables import written
 
 KEY = list(COLUMNS)
+#: What is reached from centres is broadcast if it has at most this many bytes, as counted.
+REACHED_BYTES = 64 << 20
 #: Namespaces whose classes are the language's own.
 OWN_NAMESPACES = ("http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#")
 
@@ -30,23 +33,48 @@ def without_orphans(triples: DataFrame, type_predicate: str = TYPE) -> DataFrame
     return triples.join(tied, "s", "left_semi")
 
 
-def linked(triples: DataFrame, classes: list[str], through: dict[str, str] | None = None) -> DataFrame:
+def linked(triples: DataFrame, classes: list[str], through: dict[str, str] | None = None, whole: DataFrame | None = None, kinds: Ends | None = None) -> DataFrame:
     """The part of a graph between instances of `classes`: their types, labels and the edges among them; and for each
     (p, q) of `through` a bridge node between s and o of s -p-> x -q-> o, named by a hash of both. Nodes are distinct and joined,
-    as Spark would copy a semi-join's right side into every branch of a union."""
+    as Spark would copy a semi-join's right side into every branch of a union.
+
+    `whole` (kind, s, facts) has subjects that are not in `triples`, each with all its distinct facts, as `MappedGraph.subjects`
+    gives them: a row then tells whether it is a node, and only edges are joined, with nodes of the `kinds` (of s and o) that they can have."""
     nodes = triples.where((F.col("p") == TYPE) & F.col("o").isin(*classes)).select("s").distinct()
     own = triples.where(F.col("p") == TYPE).union(triples.where(F.col("p") == LABEL)).join(nodes, "s")
-    edges = triples.where("o_kind = 'iri'").where(F.col("p") != TYPE).join(nodes, "s").join(nodes.select(F.col("s").alias("o")), "o")
-    parts = [own.select(*KEY), edges.select(*KEY)]
+    edges = triples.where("o_kind = 'iri'").where(F.col("p") != TYPE).join(nodes, "s")
+    others, rows = nodes, None
+    if whole is not None:
+        rows = whole.where(F.exists("facts", lambda x: (x["p"] == TYPE) & x["o"].isin(*classes)))
+        rows = rows if kinds is None else rows.where(F.col("kind").isin(*kinds["s"]))
+        others = others.union((rows if kinds is None else rows.where(F.col("kind").isin(*kinds["o"]))).select("s"))
+    others = others.select(F.col("s").alias("o"))
+    parts = [own.select(*KEY), edges.join(others, "o").select(*KEY)]
     for p, q in (through or {}).items():
-        first = triples.where(F.col("p") == p).select("s", F.col("o").alias("x"))
-        second = triples.where(F.col("p") == q).select(F.col("s").alias("x"), F.col("o").alias("end"))
+        every = together(whole, triples)
+        first = every.where(F.col("p") == p).select("s", F.col("o").alias("x"))
+        second = every.where(F.col("p") == q).select(F.col("s").alias("x"), F.col("o").alias("end"))
         pairs = first.join(second, "x").select("s", "end").distinct().withColumn("node", F.concat(F.lit("http://example.org/bridge/"), F.sha1(F.concat_ws("|", "s", "end").cast("binary"))))
         parts += [
             pairs.select("s", F.lit(p).alias("p"), F.col("node").alias("o"), F.lit("iri").alias("o_kind")),
             pairs.select(F.col("node").alias("s"), F.lit(q).alias("p"), F.col("end").alias("o"), F.lit("iri").alias("o_kind")),
         ]
-    return merged(*parts)
+    found = merged(*parts)
+    if rows is None:
+        return found
+    among = lambda x: (x["o_kind"] == "iri") & (x["p"] != TYPE) & (F.lit(True) if kinds is None else x["end"].isin(*kinds["o"]))
+    return found.union(of_subjects(rows, lambda x: x["p"].isin(TYPE, LABEL))).union(of_subjects(rows, lambda x: among(x) & (x["p"] != LABEL)).join(others, "o").select(*KEY))
+
+
+def together(whole: DataFrame | None, others: DataFrame) -> DataFrame:
+    """All triples of a graph in these two parts."""
+    return others.select(*KEY) if whole is None else of_subjects(whole).union(others.select(*KEY))
+
+
+def of_subjects(whole: DataFrame, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The triples of (s, facts), those that are `wanted`."""
+    facts = F.filter("facts", wanted) if wanted else F.col("facts")
+    return whole.select("s", F.explode(facts).alias("x")).select("s", "x.p", "x.o", "x.o_kind")
 
 
 # updates
@@ -109,21 +137,31 @@ def class_samples(triples: DataFrame) -> DataFrame:
 
 
 def neighbourhood(triples: DataFrame, centres: DataFrame, hops: int = 2) -> DataFrame:
-    """(centre, s, p, o, o_kind): triples within `hops` edges of each centre, in both directions. The work is in
-    proportion to the triples found, so centres are meant to be few, such as one sample a class. A hop reads the graph once, by
-    both ends of its triples, and is written, so that the next one does not repeat it."""
-    ends = triples.select(*KEY, F.explode(F.array_distinct(F.array("s", F.when(F.col("o_kind") != "lit", F.col("o"))))).alias("node")).where("node is not null")
-    reached, found = centres.select(F.col("s").alias("centre"), F.col("s").alias("node")).distinct(), None
+    """(centre, s, p, o, o_kind): triples within `hops` edges of each centre, in both directions, of distinct triples. Centres are
+    meant to be few, such as one sample a class. A hop reads the graph once: a triple takes the centres that reach its subject or
+    its object, so it is found once a centre, and those of the last hop are all. What a hop starts from is written, and broadcast if its
+    counted bytes are few: then neither the graph nor what is found is shuffled."""
+    reached, none = centres.select(F.col("s").alias("centre"), F.col("s").alias("node")), F.array().cast("array<string>")
     for _ in range(hops):
-        step = written(reached.join(ends, "node").select("centre", *KEY).distinct(), "hop")
-        found = step if found is None else found.union(step).distinct()
-        reached = step.select("centre", F.explode(F.array("s", F.when(F.col("o_kind") != "lit", F.col("o")))).alias("node")).where("node is not null").distinct()
+        near = written(reached.where("node is not null").groupBy("node").agg(F.collect_set("centre").alias("centres")), "reached")
+        size = near.agg(F.sum(64 + F.octet_length("node") + F.aggregate("centres", F.lit(0), lambda n, c: n + 16 + F.octet_length(c)))).first()[0] or 0
+        near = F.broadcast(near) if size <= REACHED_BYTES else near
+        by_s, by_o = near.select(F.col("node").alias("s"), F.col("centres").alias("_by_s")), near.select(F.col("node").alias("_o"), F.col("centres").alias("_by_o"))
+        met = triples.select(*KEY).join(by_s, "s", "left").join(by_o, (F.col("o") == F.col("_o")) & (F.col("o_kind") != "lit"), "left")
+        met = met.where("_by_s is not null or _by_o is not null")
+        found = met.select(F.explode(F.array_union(F.coalesce("_by_s", none), F.coalesce("_by_o", none))).alias("centre"), *KEY)
+        reached = found.select("centre", F.explode(F.array("s", F.when(F.col("o_kind") != "lit", F.col("o")))).alias("node"))
     return found
 
 
-def subject_dump(triples: DataFrame) -> DataFrame:
-    """One row per subject with its sorted (p, o) pairs."""
-    return triples.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("p", "o"))).alias("facts"))
+def subject_dump(triples: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """One row per subject with its sorted (p, o) pairs. `whole` (s, facts) has subjects that are not in `triples`, each with all its
+    facts, which are sorted in their row."""
+    found = triples.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("p", "o"))).alias("facts"))
+    if whole is None:
+        return found
+    pairs = F.transform("facts", lambda x: F.struct(x["p"].alias("p"), x["o"].alias("o")))
+    return whole.select("s", F.sort_array(F.array_distinct(pairs)).alias("facts")).union(found)
 
 
 def labels_or_names(triples: DataFrame, kind: str) -> DataFrame:

@@ -218,7 +218,7 @@ def sample_per_class(g: MappedGraph) -> DataFrame:
 h AS (SELECT centre, x.* FROM c JOIN x ON s = centre UNION SELECT centre, x.* FROM c JOIN x ON o = centre AND k = 'iri'), n AS (SELECT centre, s AS node FROM h UNION SELECT centre, o FROM h WHERE k = 'iri')
 SELECT centre, s, p, o FROM h UNION SELECT centre, s, p, o FROM n JOIN x ON s = node UNION SELECT centre, s, p, o FROM n JOIN x ON o = node AND k = 'iri'""")
 def sample_neighbourhood(g: MappedGraph) -> DataFrame:
-    return graphs.neighbourhood(g.triples, graphs.class_samples(g.triples)).select("centre", "s", "p", "o")
+    return graphs.neighbourhood(graphs.together(*g.subjects()), graphs.class_samples(g.triples)).select("centre", "s", "p", "o")
 
 
 @on_graph(TRIPLES + f""", c AS (SELECT o AS class, min(s) AS centre, count(*) AS n FROM x WHERE p = '{TYPE}' GROUP BY o),
@@ -226,12 +226,13 @@ h AS (SELECT centre, x.* FROM c JOIN x ON s = centre UNION SELECT centre, x.* FR
 near AS (SELECT centre, s, p, o, k FROM h UNION SELECT centre, s, p, o, k FROM m JOIN x ON s = node UNION SELECT centre, s, p, o, k FROM m JOIN x ON o = node AND k = 'iri'), sizes AS (SELECT centre, count(*) AS n_triples FROM near GROUP BY centre)
 SELECT class, n, c.centre AS sample, n_triples FROM c JOIN sizes USING (centre)""")
 def class_report(g: MappedGraph) -> DataFrame:
-    return integration.class_report(g.triples)
+    return integration.class_report(g.triples, distinct=graphs.together(*g.subjects()))
 
 
 @on_graph(TRIPLES + "SELECT s, count(*) AS n_facts, arg_min(p, (p, o)) AS first_p FROM (SELECT DISTINCT s, p, o FROM x) GROUP BY s")
 def subject_dump(g: MappedGraph) -> DataFrame:
-    return graphs.subject_dump(g.triples).select("s", F.size("facts").alias("n_facts"), F.get("facts", F.lit(0))["p"].alias("first_p"))
+    whole, others = g.subjects()
+    return graphs.subject_dump(others, whole).select("s", F.size("facts").alias("n_facts"), F.get("facts", F.lit(0))["p"].alias("first_p"))
 
 
 @on_graph("""SELECT 'http://example.org/Order/' || o_orderkey AS s, 'http://example.org/status' AS p, o_orderstatus AS o FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
