@@ -57,3 +57,15 @@ def test_rows_of_repeated_keys(spark):
     assert whole.count() == whole.select("s").distinct().count()
     assert rows(graphs.subject_dump(others, whole)) == rows(graphs.subject_dump(g.triples))
     assert rows(graphs.together(whole, others)) == rows(g.triples.distinct())
+
+
+def test_links_of_rows(spark):
+    g = MappedGraph(spark, SMALL)
+    whole, others = g.subjects()
+    for classes, through in ((["Nation", "Order"], None), (["Document", "LineItem", "Order"], {f"{BASE}ofOrder": f"{BASE}placedBy"})):
+        classes = [BASE + c for c in classes]
+        assert rows(graphs.linked(others, classes, through, whole)) == rows(graphs.linked(g.triples, classes, through))
+    found = QUERIES["link_subgraph"](spark, SMALL)
+    assert rows(found) == rows(graphs.linked(g.triples, [BASE + c for c in ("Nation", "Customer", "Order", "LineItem")]).select("s", "p", "o"))
+    plan = QUERIES["link_subgraph"](spark, MEDIUM)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1  # the edges of all rows, with the nodes that they can lead to

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplespan.operators import graphs, grounding, integration, named
-from triplespan.plans.patterns import LABEL, TYPE, ask, construct, either, exists, first_hit, joined, lit, local_name, not_exists, optional, ordered, page, rendered, with_parameters
+from triplespan.plans.patterns import LABEL, TYPE, ask, construct, either, ends_of, exists, first_hit, joined, lit, local_name, not_exists, optional, ordered, page, rendered, with_parameters
 from triplespan.queries.registry import on_graph, on_tables
 from triplespan.sources.mapping import BASE, MappedGraph
 
@@ -248,7 +248,10 @@ LINKED = ("Nation", "Customer", "Order", "LineItem")
 @on_graph(TRIPLES + f""", n AS (SELECT DISTINCT s FROM x WHERE p = '{TYPE}' AND o IN ({', '.join(f"'{BASE}{c}'" for c in LINKED)}))
 SELECT DISTINCT s, p, o FROM x WHERE s IN (SELECT s FROM n) AND (p IN ('{TYPE}', '{LABEL}') OR k = 'iri' AND o IN (SELECT s FROM n))""")
 def link_subgraph(g: MappedGraph) -> DataFrame:
-    return graphs.linked(g.triples, [BASE + c for c in LINKED]).select("s", "p", "o")
+    whole, others = g.subjects()
+    nodes = frozenset().union(*(ends_of(g.match("?s", "a", f"ex:{c}"))["s"] for c in LINKED))
+    edges = ends_of(g.match("?s", "?p", "?o", ends={"s": nodes, "o": nodes}))
+    return graphs.linked(others, [BASE + c for c in LINKED], whole=whole, kinds={"s": nodes, "o": edges["o"]}).select("s", "p", "o")
 
 
 REGIONAL = """WITH m AS (SELECT n_nationkey AS k, 'http://example.org/Nation/' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS iri FROM nation)"""
