@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import frame, prose, texts, words
 from pyspark.sql import functions as F
 
-from triplespan.llm import jaccard_join, substring_dedup
+from triplespan.llm import jaccard_join, shingles, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -248,3 +250,29 @@ def test_query(spark, monkeypatch):
     rows = {r["doc_id"]: r for r in substring_dedup.op4_substring_dedup(spark, "").collect()}
     assert rows[2]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
     assert rows[12]["kept_sha256"] == hashlib.sha256(b"a b c d e").hexdigest()
+
+
+def test_powers_are_made_once_and_hashes_of_some_windows_are_those_of_all():
+    for n in (0, 1, 1023, 1025, 5000, shingles.CHUNK, shingles.CHUNK + 1, 3 * shingles.CHUNK + 7):
+        got = shingles.powers(shingles.BASE, n)
+        assert len(got) == n and all(int(got[k]) == pow(shingles.BASE, k, 1 << 64) for k in {*range(0, n, 997), *range(max(0, n - 3), n)})
+    assert np.shares_memory(shingles.powers(shingles.BASE, 10), shingles.powers(shingles.BASE, shingles.CHUNK))
+    words = shingles.Words(pa.array([prose(1, 50), None, "few words", prose(2, 13)]))
+    second = shingles.Words(pa.array([prose(1, 50), None, "few words", prose(2, 13)]), table=shingles.SECOND)
+    at = np.flatnonzero(words.whole(13))
+    assert len(at) == 38 + 1 and (words.windows_at(13, at[::3]) == words.windows(13)[at[::3]]).all()
+    assert (words.windows_at(13, at, words.hashed(shingles.SECOND)) == second.windows(13)[at]).all()
+
+
+def test_windows_of_all_documents_of_a_batch_are_chosen_together(spark):
+    """An anchor chooses windows of the documents that it is a hit of, and of no other that holds it."""
+    docs = substring_dedup.keyed(texts(spark, *[f"{prose(1, 30)} {prose(2 + i, 20)}" for i in range(3)])).coalesce(1)
+    ids = [r["doc_id"] for r in docs.orderBy("doc_id").collect()]
+    w = shingles.Words(pa.array([prose(1, 30)]))
+    anchor = int(substring_dedup.anchor_hashes(w)[4].astype(np.int64))
+    where = np.flatnonzero(substring_dedup.anchor_hashes(w)[:18].astype(np.int64) == anchor).tolist()
+    hits = spark.createDataFrame([(ids[0], anchor, True), (ids[2], anchor, False), (ids[2], 5, True)], "doc_id long, anchor long, is_first boolean")
+    found = substring_dedup.windows_on(docs, hits).collect()
+    assert sorted((r["doc_id"], r["start"], r["later"]) for r in found) == [(ids[0], k, False) for k in where] + [(ids[2], k, True) for k in where]
+    keys = substring_dedup.listed(pa.array([[9], [1, 2], [], [2]], pa.list_(pa.int64())).slice(1))
+    assert len(set(keys.tolist())) == 3 and keys.tolist() == substring_dedup.of_document(np.array([1, 2, 2], np.uint64), np.array([0, 0, 2])).tolist()

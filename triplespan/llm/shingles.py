@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +18,40 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: Another one, for a second hash that is independent of the first.
 SECOND = _rng.integers(0, 1 << 64, 256, U64)
 #: Bytes of text that are hashed at a time, so that memory is bounded whatever the batch holds.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    y ^= y >> U64(27)
+    y *= U64(0x94D049BB133111EB)
+    y ^= y >> U64(31)
+    return y
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base^2 and so on, n of them, modulo 2^64."""
+    return usual_powers(base)[:n] if n <= CHUNK else _powers(base, n)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if n <= 1 << 10:  # one depends on the other, which is slow
+        out = np.full(n, base, U64)
+        out[:1] = 1
+        return np.multiply.accumulate(out)
+    few = 1 << (n.bit_length() + 1) // 2
+    return np.multiply.outer(_powers(pow(base, few, 1 << 64), -(-n // few)), _powers(base, few)).ravel()[:n]
+
+
+@lru_cache(maxsize=2)
+def usual_powers(base: int) -> np.ndarray:
+    """As many as `parts` needs, but for longer texts."""
+    out = _powers(base, CHUNK)
+    out.flags.writeable = False
+    return out
 
 
 def parts(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int]]:
@@ -65,13 +86,23 @@ class Words:
         closes[inner - 1] = word[inner - 1]
         self.data, self.start, self.end = raw, np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, bounds)
-        if lower:
+        self.lower = lower
+        self.hash = self.hashed(table)
+
+    def hashed(self, table: np.ndarray) -> np.ndarray:
+        """Hash of each word, by one random value per byte."""
+        raw, n = self.data, len(self.data)
+        if self.lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
+        values = table.take(raw.astype(np.intp))
+        values *= powers(BASE, n)
         sums = np.zeros(n + 1, U64)
-        np.cumsum(table[raw] * powers(BASE, max(n, 1))[:n], out=sums[1:])
-        back = powers(INVERSE, max(n, 1))
-        length = (self.end - self.start).astype(U64)
-        self.hash = mixed((sums[self.end] - sums[self.start]) * (back[self.start] if n else U64(1)) + length * U64(0x9E3779B97F4A7C15))
+        np.cumsum(values, out=sums[1:])
+        out = sums[self.end]
+        out -= sums[self.start]
+        out *= powers(INVERSE, n)[self.start]
+        out += (self.end - self.start).astype(U64) * U64(0x9E3779B97F4A7C15)
+        return mixed(out)
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -85,6 +116,13 @@ class Words:
                 out[: n - k + 1] += mixed(h[i : n - k + 1 + i] + U64((i + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         return mixed(out)
 
+    def windows_at(self, k: int, at: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        """`windows` of the places `at` alone, which must be valid; `words`: other hashes of the words."""
+        h, out = self.hash if words is None else words, np.zeros(len(at), U64)
+        for i in range(k):
+            out += mixed(h[at + i] + U64((i + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        return mixed(out)
+
     def whole(self, k: int) -> np.ndarray:
         """Whether the k words from each word on lie in one text."""
         last = np.repeat(self.first[1:], np.diff(self.first))

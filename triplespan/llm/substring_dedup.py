@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplespan.llm import common
-from triplespan.llm.shingles import SECOND, U64, Words, parts
+from triplespan.llm.shingles import SECOND, U64, Words, mixed, parts
 
 WINDOW, ANCHOR, MOST_RUNS, BATCHES = 13, 6, 1, 3
 #: A side of at most this many bytes, as counted, is broadcast; larger ones are shuffled.
@@ -132,6 +133,17 @@ class FingerprintIndex:
         common.removed(self.spark, *old)
 
 
+def of_document(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Keys of anchors within documents. Two that met by chance would only add windows to those that are verified."""
+    return anchor + mixed(doc.astype(U64))
+
+
+def listed(lists: pa.ListArray) -> np.ndarray:
+    """`of_document` of a column of anchors, by place of the row."""
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return of_document(lists.flatten().to_numpy(zero_copy_only=False).astype(U64), doc)
+
+
 def windows_on(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(window, verify, doc_id, text_key, start, later) of the windows whose anchors are hits of their document;
     later: another document has the anchor first."""
@@ -142,21 +154,18 @@ def windows_on(docs: DataFrame, hits: DataFrame) -> DataFrame:
             for i, j in parts(b):
                 part = b.slice(i, j - i)
                 w = Words(part.column("text"))
-                first, anchor = w.first, anchor_hashes(w).astype(np.int64)
-                whole, start, doc, later = w.whole(WINDOW), [], [], []
-                for k in range(len(part)):
-                    lo, hi = first[k], max(first[k], first[k + 1] - WINDOW + 1)
-                    known = [part.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("firsts", "laters")]
-                    late = np.isin(anchor[lo:hi], known[1])
-                    at = np.flatnonzero(late | np.isin(anchor[lo:hi], known[0]))
-                    start.append(at + lo)
-                    doc.append(np.full(len(at), k))
-                    later.append(late[at])
-                start, doc, later = (np.concatenate(x) for x in (start, doc, later))
-                assert whole[start].all()
-                two = [x.windows(WINDOW)[start].astype(np.int64) for x in (w, Words(part.column("text"), table=SECOND))]
+                start = np.flatnonzero(w.whole(WINDOW))
+                doc = np.repeat(np.arange(len(part)), np.diff(w.first))[start]
+                key = of_document(anchor_hashes(w)[start], doc)
+                head = np.ones(len(key), bool)  # neighbours mostly share an anchor
+                head[1:] = key[1:] != key[:-1]
+                run_of = np.cumsum(head) - 1
+                late, known = (np.isin(key[head], listed(part.column(c)))[run_of] for c in ("laters", "firsts"))
+                at = np.flatnonzero(late | known)
+                start, doc, late = start[at], doc[at], late[at]
+                two = [w.windows_at(WINDOW, start, words).astype(np.int64) for words in (w.hash, w.hashed(SECOND))]
                 ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key"))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, two), pa.array(ids), pa.array(keys), pa.array((start - first[doc]).astype(np.int32)), pa.array(later)], ["window", "verify", "doc_id", "text_key", "start", "later"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, two), pa.array(ids), pa.array(keys), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(late)], ["window", "verify", "doc_id", "text_key", "start", "later"])
 
     schema = "window long, verify long, doc_id long, text_key long, start int, later boolean"
     return docs.select("doc_id", "text", "text_key").join(wanted, "doc_id").transform(common.in_arrow, run, schema)
