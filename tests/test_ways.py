@@ -64,5 +64,19 @@ def test_steps_of_a_synthesis_are_dealt_as_columns(spark, mapped, monkeypatch):
     """What is dealt by synthesis are columns of line items, not the fields of a step."""
     monkeypatch.setattr(patterns, "FEW", 0)
     found = plan(documents.steps_document(mapped))
-    above, below = found.split("RepartitionByExpression")
+    above, below = found.split("RepartitionByExpression [_by")
     assert "usedVesselName" in above and "usedVesselName" not in below
+
+
+def test_outputs_are_shuffled_once(spark, mapped, monkeypatch):  # noqa: F811
+    """Rows of orders are dealt once by customer for each kind of output, and once by synthesis; procedures not at all."""
+    monkeypatch.setattr(patterns, "FEW", 0)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(documents.procedures(mapped)) == 0
+        found = documents.outputs(mapped)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(o_custkey", found)) == 2 and len(re.findall(r"Exchange hashpartitioning\(synthesis", found)) == 1
+        assert "Exchange hashpartitioning(output" not in found and "Exchange hashpartitioning(mop" not in found
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
