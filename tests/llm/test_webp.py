@@ -223,3 +223,74 @@ def test_small_batches_are_decoded_together():
     (got,) = webp._gathered(iter(batches), "text")
     assert got.column("doc_id").to_pylist() == list(range(50)) and got.column("text").null_count == 17
     assert len(list(webp._gathered(iter(batches * 200), "text"))) > 1 and not list(webp._gathered(iter([]), "text"))
+
+
+def kinds_of(file):
+    return [[(kind, int(data[0]) >> 8 & 15 if kind == 0 else None if data is None else len(data)) for kind, _, _, data in webp.Header(webp.Bits(s)).transforms] for s in webp.streams(file)]
+
+
+def plain_size(payload):
+    rgba = np.frombuffer(payload, np.uint8).reshape(-1, 4)
+    rows = len(rgba) // webp.WIDTH
+    (stream,) = webp.coded(rgba, np.array([len(rgba)]), np.array([webp.WIDTH]), [(0x2F | (webp.WIDTH - 1) << 8 | (rows - 1) << 22 | 1 << 36, 40)])
+    return len(webp.container([(webp.WIDTH, rows, stream)]))
+
+
+def of_kind(kind):
+    """A payload that one transform shortens."""
+    rng, n = np.random.default_rng(3), webp.ROWS * webp.WIDTH
+    c = rng.integers(0, 256, (n, 4), dtype=np.uint8)
+    c[:, 1] >>= 1
+    if kind == "green":
+        c[:, 0] = c[:, 2] = c[:, 1] + 7
+    elif kind == "cross":
+        c[:, 0], c[:, 2] = c[:, 1] >> 1, c[:, 1] >> 2
+    elif isinstance(kind, int):
+        c = rng.integers(0, 256, (webp.ROWS, webp.WIDTH, 4), dtype=np.uint8)
+        noise = rng.integers(0, 3, c.shape, dtype=np.uint8)
+        for y in range(webp.ROWS):
+            for x in range(webp.WIDTH):
+                if x if kind == 1 else y:
+                    over = c[y - 1] if y and kind != 1 else None
+                    by = [None, c[y, x - 1], *((over[x], over[x + 1] if x + 1 < webp.WIDTH else c[y, 0], over[x - 1]) if over is not None else (None,) * 3)]
+                    mean = lambda a, b: ((a.astype(int) + b) // 2).astype(np.uint8)
+                    at = by[2] if not x and kind != 1 else by[kind] if kind < 5 else mean(by[4], by[2]) if kind == 8 else mean(by[2], by[3])
+                    c[y, x] = at + noise[y, x]
+    else:  # the colours in a few patterns of eight pixels
+        patterns = np.arange(max(3, kind[1] // 8) * 8).reshape(-1, 8) % kind[1]
+        c = rng.integers(0, 256, (kind[1], 4), dtype=np.uint8)[patterns[rng.integers(0, len(patterns), n // 8)].ravel()]
+    return c.tobytes()
+
+
+@pytest.mark.parametrize(("kind", "want"), [("green", (2, None)), ("cross", (1, 1)), *((m, (0, m)) for m in webp.BY_ROWS), *((("palette", k), (3, k)) for k in (2, 4, 16, 200))])
+def test_written_transforms(kind, want):
+    """The writer's own files hold a transform where it shortens them, and pass through its inverse."""
+    payload = of_kind(kind)
+    (file,) = webp.encode_payloads([payload])
+    assert webp.decode_payloads([file]) == [payload] and kinds_of(file) == [[want]] and len(file) < plain_size(payload)
+    batch = [b"a" * 192, payload, bytes(range(192)), payload[:192]]
+    assert webp.encode_payloads(batch)[1] == file and webp.decode_payloads(webp.encode_payloads(batch)) == batch
+
+
+def test_transforms_in_files_of_documents():
+    """Files of sf0.01 are never longer than without transforms, and some hold predictors and palettes."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    payloads = [webp.padded((x or "").encode()) for x in texts]
+    files = webp.encode_payloads(payloads)
+    assert webp.decode_payloads(files) == payloads
+    found = [kinds_of(f) for f in files]
+    assert {k for f in found for s in f for k, _ in s} >= {0, 3}
+    for file, kinds, payload in zip(files, found, payloads, strict=True):
+        if len(kinds) == 1 and kinds[0]:
+            assert len(file) < plain_size(payload)
+
+
+@pytest.mark.parametrize("mode", webp.BY_ROWS)
+@pytest.mark.parametrize("width", [1, 2, 9])
+def test_rows_are_undone_as_pixels_are(monkeypatch, mode, width):
+    rest, modes = np.random.default_rng(mode).integers(0, 1 << 32, 5 * width), np.full(1, mode << 8)
+    found = webp.unpredicted(rest, width, 9, modes)
+    monkeypatch.setattr(webp, "BY_ROWS", ())
+    assert (found == webp.unpredicted(rest, width, 9, modes)).all()
