@@ -3,13 +3,37 @@
 import re
 
 import pytest
-from test_narrowing import mapped, rows, stored  # noqa: F401 - fixtures
 
 from triplespan.operators import documents
 from triplespan.plans import patterns
-from triplespan.plans.patterns import keyed, led, optional, optional_fact, parts_of
+from triplespan.plans.patterns import Graph, keyed, led, optional, optional_fact, parts_of
+from triplespan.queries.syntheses import STEP_KEY, view
 from triplespan.sources.mapping import Entity, MappedGraph, given
 
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def mapped(spark, tmp_path_factory):
+    """A view whose line items have keys of their own, as entities that are said to be unique must."""
+    folder = tmp_path_factory.mktemp("tables")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders"):
+        (folder / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    spark.read.parquet(f"{SMALL}/lineitem.parquet").dropDuplicates(list(STEP_KEY)).write.parquet(str(folder / "lineitem.parquet"))
+    return view(spark, str(folder))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, mapped, tmp_path_factory):
+    """The same graph as one table of triples, which goes the general way."""
+    path = str(tmp_path_factory.mktemp("stored") / "triples")
+    mapped.triples.distinct().write.parquet(path)
+    return Graph(spark.read.parquet(path), mapped.prefixes)
+
+
+def rows(df):
+    return sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
+
 
 @pytest.fixture(params=["few", "many"])
 def few(request, spark, monkeypatch):
@@ -26,12 +50,12 @@ def plan(df):
 
 
 @pytest.mark.parametrize("query", [documents.step_dump, documents.step_fields, documents.step_type, documents.steps_document])
-def test_rows_of_stored_triples(mapped, stored, few, query):  # noqa: F811
+def test_rows_of_stored_triples(mapped, stored, few, query):
     found = rows(query(mapped))
     assert found and found == rows(query(stored))
 
 
-def test_a_dump_is_dealt_once(spark, mapped, monkeypatch):  # noqa: F811
+def test_a_dump_is_dealt_once(spark, mapped, monkeypatch):
     """Chemicals are joined once by the key in the row for all four predicates, before any text of a step is made."""
     monkeypatch.setattr(patterns, "FEW", 0)
     found = plan(documents.step_dump(mapped))
@@ -60,7 +84,7 @@ def test_facts_by_key(spark, tmp_path):
     assert len(parts_of(both)[0].ways) == 1 and {tuple(r) for r in both.select("v1", "v2").collect()} == {("two", "two"), (None, None)}
 
 
-def test_steps_of_a_synthesis_are_dealt_as_columns(spark, mapped, monkeypatch):  # noqa: F811
+def test_steps_of_a_synthesis_are_dealt_as_columns(spark, mapped, monkeypatch):
     """What is dealt by synthesis are columns of line items, not the fields of a step."""
     monkeypatch.setattr(patterns, "FEW", 0)
     found = plan(documents.steps_document(mapped))
@@ -68,7 +92,7 @@ def test_steps_of_a_synthesis_are_dealt_as_columns(spark, mapped, monkeypatch):
     assert "usedVesselName" in above and "usedVesselName" not in below
 
 
-def test_outputs_are_shuffled_once(spark, mapped, monkeypatch):  # noqa: F811
+def test_outputs_are_shuffled_once(spark, mapped, monkeypatch):
     """Rows of orders are dealt once by customer for each kind of output, and once by synthesis; procedures not at all."""
     monkeypatch.setattr(patterns, "FEW", 0)
     exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
